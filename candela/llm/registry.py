@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from candela.llm import exact_dedup, sharding
+from candela.llm import bpe, exact_dedup, sharding, simhash, token_counts
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op4_simhash": simhash.op4_simhash,
     "op5_sharding": sharding.op5_sharding,
+    "op6_token_counts": token_counts.op6_token_counts,
+    "op7_bpe": bpe.op7_bpe,
 }
 
 ORACLE_SQL = {
