@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from candela.llm import bpe, exact_dedup, mixing, quality, sharding, simhash, token_counts
+from candela.llm import ann, bpe, exact_dedup, mixing, quality, sharding, simhash, token_counts, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_warc": warc.op3_warc,
     "op4_simhash": simhash.op4_simhash,
     "op5_sharding": sharding.op5_sharding,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_bpe": bpe.op7_bpe,
     "op8_quality": quality.op8_quality,
+    "op10_neighbours": ann.op10_neighbours,
 }
 
 ORACLE_SQL = {
     "op1_mixing": mixing.OP1_SQL,
     "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op3_warc": warc.OP3_SQL,
     "op5_sharding": sharding.OP5_SQL,
 }
