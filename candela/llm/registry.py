@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from candela.llm import ann, bpe, exact_dedup, mixing, quality, sharding, simhash, token_counts, warc
+from candela.llm import ann, bpe, exact_dedup, html_extract, mixing, quality, sharding, simhash, token_counts, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_bpe": bpe.op7_bpe,
     "op8_quality": quality.op8_quality,
+    "op9_html": html_extract.op9_html,
     "op10_neighbours": ann.op10_neighbours,
 }
 
