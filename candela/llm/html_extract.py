@@ -121,7 +121,7 @@ def blocks(page: str) -> list[Block]:
     while at < n:
         m = TAG.search(page, at, tags_end)
         if m is None:
-            text(page[at:])
+            text(page[at:].partition("<!--")[0])
             break
         text(page[at : m.start()])
         at, closing, tag = m.end(), m[1], (m[2] or "").lower()
