@@ -7,10 +7,10 @@ volume features and the bands (supports and resistances: arrays of centre prices
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candela.functions.windows import KEY, clip, rounded, score_sum
+from candela.functions.windows import KEY, clip, position, rounded, score_sum, series
 from candela.sources.bars import latest
 
 COST, STOP_ATR, MOST_RISK, FAR = 0.5, 3.0, 12.0, 3.0
@@ -145,6 +145,37 @@ def screens(state: DataFrame) -> DataFrame:
     return state.withColumn("strategies", F.array_compact(F.array(*(F.when(t, name) for name, t in tests.items()))))
 
 
+def similar_patterns(frame: DataFrame, state: DataFrame, gap: int = 10, first: int = 30, longest: int = 20, least: int = 5) -> DataFrame:
+    """One row a symbol: how past bars that meet its active conditions went on, 5, 10 and 20 bars after.
+
+    Active are: near support (close to ma_20), oversold (J up to 45), uptrend (ma_60 not above ma_20). Samples keep `gap`
+    bars between them, earliest first; a low at three ATRs below ends a path at the stop; costs are taken off. Rates are
+    null under `least` samples. In sample: a description, not a trading result.
+    """
+    w = series()
+    active = state.select(
+        KEY, (F.col("s_dist") <= 3.0).alias("_near"), ((F.col("kdj_j") < 35) | F.coalesce("bullish_divergence", F.lit(False))).alias("_low"), (F.col("trend_score") >= 55).alias("_up"),
+    )
+    c = F.col("close")
+    stop = c - STOP_ATR * F.when(F.col("atr") > 0, F.col("atr")).otherwise(c * 0.02)
+    rows = frame.withColumns({"_i": position(), "_n": F.count(F.lit(1)).over(Window.partitionBy(KEY)), "_stop": stop})
+    for h in (5, 10, 20):
+        touched = F.min("low").over(w.rowsBetween(1, h)) <= F.col("_stop")
+        rows = rows.withColumn(f"_g{h}", (F.when(touched, F.col("_stop")).otherwise(F.lead("close", h).over(w)) - c) / c * 100 - 2 * COST)
+    rows = rows.join(active, KEY).where((F.col("_near") | F.col("_low") | F.col("_up")) & F.col("_i").between(first, F.col("_n") - longest - 1))
+    near = F.coalesce((c >= 0.975 * F.col("ma_20")) & (c <= 1.03 * F.col("ma_20")), F.lit(False))
+    rows = rows.where((~F.col("_near") | near) & (~F.col("_low") | (F.col("kdj_j") <= 45)) & (~F.col("_up") | ~F.coalesce(F.col("ma_60") > F.col("ma_20"), F.lit(False))))
+    found = rows.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct(F.col("_i").alias("i"), *(F.col(f"_g{h}").alias(f"g{h}") for h in (5, 10, 20))))).alias("m"))
+    none = F.slice("m", 1, 0)
+    kept = F.aggregate("m", none, lambda a, x: F.when((F.size(a) == 0) | (x["i"] - F.try_element_at(a, F.lit(-1))["i"] >= gap), F.concat(a, F.array(x))).otherwise(a))
+    samples = found.select(KEY, F.explode(kept).alias("s")).select(KEY, "s.*")
+    n = F.count(F.lit(1))
+    rate = lambda h: F.when(n >= least, rounded(100 * F.avg((F.col(f"g{h}") > 0).cast("double")), 1)).alias(f"win_{h}")
+    stats = samples.groupBy(KEY).agg(n.alias("samples"), rate(5), rate(10), rate(20), F.when(n >= least, rounded(F.avg("g10"), 1)).alias("mean_10"))
+    out = state.select(KEY).join(stats, KEY, "left").withColumn("samples", F.coalesce("samples", F.lit(0).cast("long")))
+    return out.withColumn("status", F.when(F.col("samples") >= least, "sufficient").otherwise("insufficient"))
+
+
 def universe_filter(quotes: DataFrame, count: int, least_price: float = 2.0, least_amount: float = 1e7, barred: tuple[str, ...] = ("ST", "*ST", "退")) -> DataFrame:
     """Quotes with a sound name, price and amount, the largest by amount."""
     named = ~F.lit(False)

@@ -285,17 +285,18 @@ def _(spark, d):
 
 
 #: All recursions of a table `bars`, one step of each symbol at a time.
-def recursion_cte(bars: str = "bars") -> str:
+def recursion_cte(bars: str = "bars", tag: str = "", rsv: str | None = None) -> str:
+    low, high = full_sql("min(low) " + win(9), "low", 9), full_sql("max(high) " + win(9), "high", 9)
+    rsv = rsv or f"coalesce((close - {low}) / ({high} - {low} + 1e-9) * 100, 50e0)"
     return f"""
-_f as materialized (select symbol, date, close, row_number() over (partition by symbol order by date) as i,
-         coalesce((close - {full_sql('min(low) ' + win(9), 'low', 9)}) / ({full_sql('max(high) ' + win(9), 'high', 9)} - {full_sql('min(low) ' + win(9), 'low', 9)} + 1e-9) * 100, 50e0) as rsv from {bars}),
-_r(symbol, date, i, ema_12, ema_26, dea, kdj_k, kdj_d) as (
-  select symbol, date, i, close, close, 0e0, 2e0/3*50e0 + 1e0/3*rsv, 2e0/3*50e0 + 1e0/3*(2e0/3*50e0 + 1e0/3*rsv) from _f where i = 1
+_f{tag} as materialized (select symbol, date, close, row_number() over (partition by symbol order by date) as i, {rsv} as rsv from {bars}),
+_r{tag}(symbol, date, i, ema_12, ema_26, dea, kdj_k, kdj_d) as (
+  select symbol, date, i, close, close, 0e0, 2e0/3*50e0 + 1e0/3*rsv, 2e0/3*50e0 + 1e0/3*(2e0/3*50e0 + 1e0/3*rsv) from _f{tag} where i = 1
   union all
   select symbol, date, i, a, b, (1 - 2e0/10)*dea + 2e0/10*(a - b), k, 2e0/3*kdj_d + 1e0/3*k
-  from (select _f.symbol, _f.date, _f.i, dea, kdj_d, (1 - 2e0/13)*ema_12 + 2e0/13*close as a, (1 - 2e0/27)*ema_26 + 2e0/27*close as b, 2e0/3*kdj_k + 1e0/3*rsv as k
-        from _r join _f on _f.symbol = _r.symbol and _f.i = _r.i + 1) _x),
-rec as materialized (select symbol, date, ema_12, ema_26, ema_12 - ema_26 as dif, dea, 2*((ema_12 - ema_26) - dea) as hist, kdj_k, kdj_d, 3*kdj_k - 2*kdj_d as kdj_j from _r)"""
+  from (select f.symbol, f.date, f.i, dea, kdj_d, (1 - 2e0/13)*ema_12 + 2e0/13*close as a, (1 - 2e0/27)*ema_26 + 2e0/27*close as b, 2e0/3*kdj_k + 1e0/3*rsv as k
+        from _r{tag} r join _f{tag} f on f.symbol = r.symbol and f.i = r.i + 1) _x),
+rec{tag} as materialized (select symbol, date, ema_12, ema_26, ema_12 - ema_26 as dif, dea, 2*((ema_12 - ema_26) - dea) as hist, kdj_k, kdj_d, 3*kdj_k - 2*kdj_d as kdj_j from _r{tag})"""
 
 
 BR = f"with recursive bars as materialized ({DAILY}), {recursion_cte()}"
