@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 HOT_PARTS = 256
 #: Rows of one bitmap of a Bloom filter: the built-in bitmap functions use 4,096 bytes.
 BITMAP_BITS = 1 << 15
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 512
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,7 +42,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors' Python this package, once for each application."""
+    """Give the executors' Python this package, once for each application, and whole texts in small batches.
+
+    The batch size is changed only where it has its default: 10,000 long documents at once would fill a worker's memory.
+    """
+    if spark.conf.get(BATCH_SETTING) == "10000":
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_candela_shipped", False):
         return

@@ -28,7 +28,7 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SPACE + r"\p{L}\p{N}]+"
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 #: Pieces of text remembered by each Python worker, twice at most; and fragments.
-MEMORY = 1 << 18
+MEMORY = 1 << 16
 #: Fragments up to so many bytes are merged by a plain scan; a pair without a merge ranks last.
 SHORT, NO_MERGE = 48, (1 << 30, -1)
 #: Bits of an id within the key of a pair.

@@ -23,7 +23,7 @@ BUCKETS, RANK, THRESHOLD = 1 << 12, 8, 0.3
 #: Passes over the sample, and rows seen in all of them at least.
 EPOCHS, SEEN = 8, 60_000
 #: Words of a text hashed at once, and words remembered by each task.
-BLOCK, MEMORY = 1 << 16, 1 << 18
+BLOCK, MEMORY = 1 << 16, 1 << 16
 #: Structure statistics, then metadata: the text's length and number of lines as powers of two, one feature each.
 STATS, LENGTHS, LINES = 15, 24, 16
 WIDTH = BUCKETS + STATS + LENGTHS + LINES
@@ -138,7 +138,7 @@ def _features(batches: Iterator) -> Iterator[pd.DataFrame]:
     featurize = Featurizer()
     for pdf in batches:
         rows = [featurize(t) for t in pdf["text"]]
-        yield pd.DataFrame({"id": pdf["id"], "label": pdf["label"], "at": [i for i, _ in rows], "x": [x for _, x in rows]})
+        yield pd.DataFrame({"id": pdf["id"], "label": pdf["label"], "at": [i.tobytes() for i, _ in rows], "x": [x.tobytes() for _, x in rows]})
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", sample: int = SAMPLE) -> FactorisationMachine:
@@ -150,8 +150,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_c
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     known = known.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(known), "id")
-    got = rows.mapInPandas(_features, "id long, label int, at array<int>, x array<float>").orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
-    pairs = [(np.asarray(a, np.int32), np.asarray(x, np.float32)) for a, x in zip(got["at"], got["x"])]
+    got = rows.mapInPandas(_features, "id long, label int, at binary, x binary").orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
+    pairs = [(np.frombuffer(a, np.int32), np.frombuffer(x, np.float32)) for a, x in zip(got["at"], got["x"])]
     return FactorisationMachine().fit(pairs, got["label"].to_numpy(dtype=np.float32))
 
 

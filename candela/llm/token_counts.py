@@ -22,7 +22,7 @@ from candela.llm.bpe import SPACE
 
 MARK, UNKNOWN, PENALTY = "▁", "<unk>", 10.0
 #: Words remembered by each task.
-MEMORY = 1 << 18
+MEMORY = 1 << 17
 
 
 def unigram_vocabulary(path: str) -> list[tuple[str, float]]:
