@@ -73,9 +73,10 @@ def executable_exit(path: Column, stop: Column, horizon: Column | int, limit: fl
     def step(s: Column, x: Column) -> Column:
         o, h, low, c = x["open"], x["high"], x["low"], x["close"]
         touched = F.coalesce(low <= stop, no)
-        valid = sound(o) & sound(h) & sound(low) & sound(c) & sound(s["before"])
+        valid = sound(o) & (h.isNull() | sound(h)) & sound(low) & sound(c) & sound(s["before"])
         same = lambda a, b: F.abs(a - b) <= 1e-8
-        locked = (c <= s["before"] * (1 - limit / 100 + 0.001)) & same(low, c) & same(h, low) & same(o, low)
+        # Without highs a close at the low and at the limit counts as locked.
+        locked = (c <= s["before"] * (1 - limit / 100 + 0.001)) & same(low, c) & (h.isNull() | (same(h, low) & same(o, low)))
         trades = (s["k"] > 0) & s["price"].isNull() & F.coalesce(valid & ~locked, no)
         is_due = s["k"] >= horizon
         price = F.when(trades & (s["stop"] | s["due"]), o).when(trades & touched, F.least(o, stop)).when(trades & is_due, c).otherwise(s["price"])
@@ -151,7 +152,7 @@ def rank_ic(pit: DataFrame, scores: list[str], ret: str = "ret_10", least_rows:
     days = F.count(F.lit(1))
     t = F.avg("ic") / F.nullif(F.stddev_samp("ic"), F.lit(0.0)) * F.sqrt(days)
     daily = daily.groupBy("score").agg(days.alias("days"), F.when(days >= least_days, F.avg("ic")).alias("mean_ic"), F.when(days >= least_days, F.stddev_samp("ic")).alias("std_ic"), F.when(days >= least_days, t).alias("t"))
-    return pooled.join(daily, "score", "left")
+    return pooled.join(daily, "score", "left").withColumn("days", F.coalesce("days", F.lit(0).cast("long")))
 
 
 def score_quintiles(pit: DataFrame, score: str, ret: str = "ret_10") -> DataFrame:

@@ -353,7 +353,7 @@ def _ranks(by: str) -> str:
 @query("e11_rank_ic", f"""{PIT}, m as (select 'kdj_j' as score, date, round(kdj_j, 6) as x, ret_10 as y from pit where kdj_j is not null and ret_10 is not null union all select 'rsi_6', date, round(rsi_6, 6), ret_10 from pit where rsi_6 is not null and ret_10 is not null),
 po as (select score, case when count(*) >= 5 then corr(rx, ry) end as pooled_ic from (select *, {_ranks('score')} from m) _p group by score),
 da as (select score, date, case when count(*) >= 8 and count(distinct x) >= 2 and count(distinct y) >= 2 then corr(rx, ry) end as ic from (select *, {_ranks('score, date')} from m) _d group by score, date)
-select score, max(pooled_ic) as pooled_ic, count(ic) as days, case when count(ic) >= 5 then avg(ic) end as mean_ic, case when count(ic) >= 5 then stddev_samp(ic) end as std_ic, case when count(ic) >= 5 then avg(ic)/stddev_samp(ic)*sqrt(count(ic)) end as t from da join po using (score) where ic is not null group by score""", "pooled_ic mean_ic std_ic t")
+select score, max(pooled_ic) as pooled_ic, count(ic) as days, case when count(ic) >= 5 then avg(ic) end as mean_ic, case when count(ic) >= 5 then stddev_samp(ic) end as std_ic, case when count(ic) >= 5 then avg(ic)/stddev_samp(ic)*sqrt(count(ic)) end as t from po left join (select * from da where ic is not null) da using (score) group by score""", "pooled_ic mean_ic std_ic t")
 def _(spark, d):
     return ev.rank_ic(pit(spark, d).withColumns({c: F.round(c, 6) for c in ("kdj_j", "rsi_6")}), ["kdj_j", "rsi_6"])
 

@@ -1,0 +1,184 @@
+"""The market-bar library: vectors, properties and every query against its DuckDB SQL."""
+
+import math
+import random
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from candela.functions.stats import normal_tail, wilson
+from candela.operators import evaluation, indicators, levels, normalise, profile, regime, scoring, structure
+from candela.plans import catalog
+from candela.streaming.bars import merge_live_bar
+
+TABLES = "region nation customer supplier part orders lineitem events".split()
+NAN = float("nan")
+
+
+@pytest.fixture(scope="module")
+def con(sf):
+    c = duckdb.connect()
+    for t in TABLES:
+        c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    return c
+
+
+def plain(v):
+    if v is None or isinstance(v, float) and math.isnan(v):
+        return "null"
+    if isinstance(v, bool) or not isinstance(v, int | float):
+        return str(v)
+    return f"{float(v) + 0.0:.6f}"
+
+
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE))
+def test_query(spark, sf, con, name):
+    df = catalog.QUERIES[name](spark, sf)
+    columns = sorted(df.columns)
+    got = sorted(tuple(plain(r[c]) for c in columns) for r in df.collect())
+    quoted = ", ".join(f'"{c}"' for c in columns)
+    want = sorted(tuple(map(plain, r)) for r in con.sql(f"select {quoted} from ({catalog.ORACLE[name]}) q").fetchall())
+    assert got == want
+
+
+def bars(spark, closes, symbol=1, **more):
+    rows = [(symbol, i, float(c)) for i, c in enumerate(closes)]
+    df = spark.createDataFrame(rows, "symbol int, n int, close double").withColumn("date", F.date_add(F.lit("2020-01-01"), F.col("n"))).drop("n")
+    base = {"open": F.col("close"), "high": F.col("close") + 1, "low": F.col("close") - 1, "volume": F.lit(1000.0), "amount": F.col("close") * 1000}
+    return df.withColumns(base | {k: F.lit(v) for k, v in more.items()})
+
+
+def test_normal_tail(spark):
+    xs = [i / 4 for i in range(-32, 33)]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", normal_tail(F.col("x")).alias("p")).collect()
+    assert max(abs(r.p - math.erfc(r.x / math.sqrt(2)) / 2) for r in got) < 1e-14
+    one = spark.range(1).select(regime.exceedance_probability(F.lit(1.0), 1.0).alias("p"), regime.exceedance_probability(F.lit(0.0)).alias("none")).head()
+    assert one.p == pytest.approx(0.15865525, abs=5e-8) and one.none is None
+
+
+def test_wilson_of_nothing(spark):
+    low, high = wilson(F.lit(0), F.lit(0))
+    assert tuple(spark.range(1).select(low, high).head()) == (0.0, 1.0)
+
+
+def test_score_bins(spark):
+    df = spark.createDataFrame([(float(x),) for x in (0, 19.9, 20, 40, 60, 80, 100)], "s double")
+    assert [r[0] for r in df.select(regime.score_bin(F.col("s"))).collect()] == [0, 0, 1, 2, 3, 4, 4]
+    with pytest.raises(Exception, match="out of range"):
+        spark.range(1).select(regime.score_bin(F.lit(101.0))).collect()
+
+
+@pytest.mark.parametrize(
+    ("values", "weights", "fitted"),
+    [([0.9, 0.8, 0.1], [1, 1, 1], [0.6] * 3), ([0.8, 0.2, 0.3], [1, 2, 3], [0.35] * 3), ([0.8, None, 0.2], [1, 0, 3], [0.35, None, 0.35])],
+)
+def test_isotonic(spark, values, weights, fitted):
+    df = spark.createDataFrame([(i, v, float(w)) for i, (v, w) in enumerate(zip(values, weights))], "bin int, value double, weight double")
+    got = [r.fitted for r in regime.weighted_isotonic(df).orderBy("bin").collect()]
+    assert got == [None if x is None else pytest.approx(x) for x in fitted]
+
+
+#: open, low, close, high, horizon, stop -> price and hit.
+EXITS = [
+    ([100, 103, 110], [94, 101, 108], [100, 102, 109], None, 2, 95, (103, True)),
+    ([100, 102], [99, 101], [100, 103], None, 0, 95, (102, False)),
+    ([100], [90], [95], None, 0, 95, (None, None)),
+    ([100, 92, 100], [99, 91, 99], [100, 93, 100], None, 2, 95, (92, True)),
+    ([100, 98], [99, 94], [100, 97], None, 1, 95, (95, True)),
+    ([100, 90, 81, 98], [99, 90, 81, 97], [100, 90, 81, 99], [102, 90, 81, 100], 1, 95, (98, True)),
+    ([100, 96, 98], [99, 90, 97], [100, 90, 99], None, 2, 95, (98, True)),
+    ([100, 96, 98], [99, 90, 97], [100, 90, 99], [102, 97, 100], 2, 95, (95, True)),
+    ([100, 90, 91], [99, 90, 90], [100, 90, 92], [102, 90, 93], 1, 50, (91, False)),
+    ([100, 90, 81, 85], [99, 90, 81, 70], [100, 90, 81, 84], [102, 90, 81, 86], 1, 82, (85, False)),
+    ([100, 101], [99, 100], [100, 102], None, 1, 95, (102, False)),
+    ([100, 90], [99, 90], [100, 90], [102, 90], 1, 95, (None, None)),
+    ([100, 90], [99, 90], [100, 90], [102, 90], 1, 50, (None, None)),
+    ([100, 101], [99, 100], [100, 102], None, 5, 95, (None, None)),
+    ([100, NAN, 103], [94, 90, 102], [100, 100, 104], None, 1, 95, (103, True)),
+]
+
+
+@pytest.mark.parametrize(("opens", "lows", "closes", "highs", "horizon", "stop", "want"), EXITS)
+def test_executable_exit(spark, opens, lows, closes, highs, horizon, stop, want):
+    path = [(float(o), None if highs is None else float(highs[i]), float(low), float(c)) for i, (o, low, c) in enumerate(zip(opens, lows, closes))]
+    df = spark.createDataFrame([(path,)], "path array<struct<open double, high double, low double, close double>>")
+    got = df.select(evaluation.executable_exit(F.col("path"), F.lit(float(stop)), horizon, 10.0).alias("x")).head().x
+    assert (got.price, got.hit) == want
+
+
+def test_neutral_composite_is_50(spark):
+    rows = [tuple(w) for w in ((0.25, 0.25, 0.25, 0.25), (0.35, 0.2, 0.2, 0.25), (0.35, 0.2, 0.25, 0.2), (0.2, 0.25, 0.35, 0.2), (0.2, 0.3, 0.2, 0.3))]
+    state = spark.createDataFrame([(i, *w, 50.0, 50.0, 50.0, 50.0) for i, w in enumerate(rows)], "symbol int, w_trend double, w_chips double, w_momentum double, w_position double, trend_score double, chip_score double, momentum_score double, position_score double")
+    assert {r.bullish_score for r in scoring.composite_score(scoring.normalise_weights(state)).collect()} == {50.0}
+
+
+def series(spark, n=320, symbol=1, seed=5):
+    rng, c, out = random.Random(seed), 100.0, []
+    for _ in range(n):
+        c = round(c * math.exp(rng.gauss(0, 0.012)), 2)
+        out.append(c)
+    return bars(spark, out, symbol)
+
+
+def test_no_look_ahead(spark):
+    whole = series(spark)
+    cut = whole.where(F.col("date") <= "2020-08-01")
+    columns = ["date", "ma_20", "boll_upper", "rsi_6", "atr", "vol_ratio", "dif", "dea", "kdj_j", "heavy_run"]
+    early = indicators.all_indicators(cut).select(columns).orderBy("date").collect()
+    late = indicators.all_indicators(whole).where(F.col("date") <= "2020-08-01").select(columns).orderBy("date").collect()
+    assert early == late and len(early) > 200
+
+
+def test_row_order_and_partitions_do_not_matter(spark):
+    df = series(spark).unionByName(series(spark, symbol=2, seed=6))
+    made = lambda x: sorted(map(str, profile.volume_profile(x).collect())) + sorted(map(str, structure.price_gaps(x).collect())) + sorted(map(str, indicators.recursions(x).select("symbol", "date", "hist").collect()))
+    assert made(df) == made(df.orderBy(F.rand(3)).repartition(13))
+
+
+@pytest.mark.parametrize("n", [1, 5, 9, 10, 15, 20, 30])
+def test_short_series(spark, n):
+    df = series(spark, n)
+    assert indicators.all_indicators(df).count() == (n if n >= 10 else 0)
+    assert structure.swing_points(df).count() >= 0 and structure.price_gaps(df).count() >= 0
+    assert structure.fibonacci_wave(df).count() == (1 if n >= 20 else 0)
+    assert structure.macd_divergence(indicators.recursions(indicators.atr(df))).count() == (1 if n >= 30 else 0)
+    assert evaluation.asof_grid(df).count() == 0 and regime.regime_features(df).count() == 0
+
+
+def test_flat_prices_and_no_volume(spark):
+    flat = bars(spark, [10.0] * 60).withColumns({"high": F.col("close"), "low": F.col("close")})
+    assert profile.volume_profile(flat).agg(F.sum("density")).head()[0] == pytest.approx(1)
+    assert indicators.all_indicators(flat).where("kdj_j is null or rsi_6 is null").where("date > '2020-01-10'").count() == 0
+    assert profile.volume_profile(flat.withColumn("volume", F.lit(0.0))).count() == 0
+
+
+def test_empty_bars(spark):
+    none = series(spark, 10).limit(0)
+    assert indicators.all_indicators(none).count() == 0 and normalise.weekly(none).count() == 0 and profile.volume_profile(none).count() == 0
+
+
+def test_week_label(spark):
+    days = spark.sql("select date_add(date '2024-01-06', cast(id as int)) as d from range(7)")  # Saturday to Friday
+    assert {str(r[0]) for r in days.select(normalise.week_of(F.col("d"))).collect()} == {"2024-01-12"}
+
+
+def test_clusters_do_not_chain(spark):
+    rows = [(1, 100.0 + 1.2 * k, 10, f"s{k}", "MA_CHANNEL", 200.0, "support") for k in range(6)]
+    df = spark.createDataFrame(rows, "symbol int, price double, weight int, source string, category string, close double, side string")
+    got = levels.cluster_levels(df).orderBy("price").collect()
+    for c in {r.cluster for r in got}:
+        prices = [r.price for r in got if r.cluster == c]
+        assert max(prices) - min(prices) <= min(prices) * 0.03
+
+
+def test_live_bar_rules(spark):
+    history = bars(spark, [10.0, 11.0]).select("symbol", "date", "open", "high", "low", "close", "volume", "amount")
+    snap = lambda day, o, h, low, c, v: spark.createDataFrame([(1, day, o, h, low, c, v, 5.0)], "symbol int, date string, open double, high double, low double, close double, volume double, amount double").withColumn("date", F.col("date").cast("date"))
+    last = lambda s: merge_live_bar(history, s).orderBy(F.desc("date")).head()
+    same = last(snap("2020-01-02", 11.0, 11.5, 9.0, 13.0, 0.0))
+    assert (same.close, same.high, same.low, same.volume, same.merged) == (13.0, 13.0, 9.0, 1000.0, True)
+    new = last(snap("2020-01-03", 11.0, 11.5, 10.5, 12.0, 7.0))
+    assert (str(new.date), new.high, new.low, new.volume) == ("2020-01-03", 12.0, 10.5, 7.0)
+    for s in (snap("2020-01-03", 11.0, 11.5, 10.5, 12.0, 0.0), snap("2020-01-03", 11.0, 11.5, 0.0, 12.0, 7.0), snap("2020-01-01", 11.0, 11.5, 9.0, 12.0, 7.0)):
+        assert str(last(s).date) == "2020-01-02" and merge_live_bar(history, s).count() == 2
