@@ -182,6 +182,41 @@ def walk_forward_report(evaluated: DataFrame) -> DataFrame:
     return out.select(KEY, "n", F.floor(n / OVERLAP).alias("n_eff"), (F.col("_m") / n).alias("brier"), (F.col("_b") / n).alias("brier_base"), (1 - F.col("_m") / F.nullif(F.col("_b"), F.lit(0.0))).alias("skill"), (F.col("_log") / n).alias("log_loss"), "positive_parts")
 
 
+def walk_forward_binned(rows: DataFrame, horizon: int = HORIZON, least: int = 120) -> DataFrame:
+    """Out-of-sample predictions of bins refitted at each origin from labels that ended before it.
+
+    rows: symbol, pos, bin, rebound. Origins of a symbol lie horizon + 1 places apart or more, earliest first, so that no
+    two label windows overlap. Result: symbol, pos, p, baseline, rebound, train_n, bin_n.
+    """
+    known = rows.where(F.col("rebound").isNotNull() & F.col("bin").isNotNull())
+    until = lambda *by: Window.partitionBy(*by).orderBy("pos").rangeBetween(Window.unboundedPreceding, -(horizon + 1))
+    count = lambda w: (F.count("rebound").over(w), F.coalesce(F.sum("rebound").over(w), F.lit(0)))
+    (n, hits), (bin_n, bin_hits) = count(until(KEY)), count(until(KEY, "bin"))
+    out = known.withColumns({"train_n": n, "_hits": hits, "bin_n": bin_n, "_bin_hits": bin_hits}).where(F.col("train_n") >= least)
+    out = out.withColumn("baseline", (F.col("_hits") + 1) / (F.col("train_n") + 2))
+    out = out.withColumn("p", (F.col("_bin_hits") + PRIOR * F.col("baseline")) / (F.col("bin_n") + PRIOR))
+    places = out.groupBy(KEY).agg(F.array_sort(F.collect_list("pos")).alias("_all"))
+    apart = lambda a, x: F.when((F.size(a) == 0) | (x - F.try_element_at(a, F.lit(-1)) > horizon), F.concat(a, F.array(x))).otherwise(a)
+    origins = places.select(KEY, F.explode(F.aggregate("_all", F.slice("_all", 1, 0), apart)).alias("pos"))
+    return out.join(origins, [KEY, "pos"]).select(KEY, "pos", "p", "baseline", "rebound", "train_n", "bin_n")
+
+
+def binned_report(evaluated: DataFrame, least: int = 60) -> DataFrame:
+    """Per symbol: n, Brier scores, skill, log losses and status of walk_forward_binned()."""
+    y, n = F.col("rebound"), F.count(F.lit(1))
+
+    def loss(c: str) -> Column:
+        q = F.greatest(F.lit(1e-8), F.least(F.lit(1 - 1e-8), F.col(c)))
+        return F.avg(-(y * F.log(q) + (1 - y) * F.log(1 - q)))
+
+    out = evaluated.groupBy(KEY).agg(
+        n.alias("n"), F.avg(F.pow(F.col("p") - y, 2)).alias("brier"), F.avg(F.pow(F.col("baseline") - y, 2)).alias("brier_base"), loss("p").alias("log_loss"), loss("baseline").alias("log_loss_base"),
+    )
+    skill = 1 - F.col("brier") / F.nullif(F.col("brier_base"), F.lit(0.0))
+    out = out.withColumn("skill", skill)
+    return out.withColumn("status", F.when(F.col("n") < least, "insufficient_oos").when(F.col("skill") > 0, "positive_oos_skill").otherwise("no_oos_edge"))
+
+
 def reliability_bucket(p: Column) -> Column:
     value = F.lit(len(RELIABILITY_EDGES) - 2)
     for k in reversed(range(len(RELIABILITY_EDGES) - 2)):

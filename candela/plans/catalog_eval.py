@@ -164,6 +164,29 @@ def _(spark, d):
     return rg.walk_forward_report(walked(spark, d))
 
 
+BINNED = """wb0 as (select *, count(rebound) over s as train_n, coalesce(sum(rebound) over s, 0) as h, count(rebound) over b as bin_n, coalesce(sum(rebound) over b, 0) as bh from labelled
+  window s as (partition by symbol order by pos range between unbounded preceding and 11 preceding), b as (partition by symbol, bin order by pos range between unbounded preceding and 11 preceding)),
+wb1 as materialized (select *, (h + 1)/(train_n + 2e0) as baseline, (bh + 20*((h + 1)/(train_n + 2e0)))/(bin_n + 20) as p_bin from wb0 where train_n >= 120),
+wb2 as (select symbol, unnest(list_reduce(list([pos] order by pos), lambda a, x: case when x[1] - a[-1] > 10 then list_concat(a, x) else a end)) as pos from wb1 group by symbol),
+wbin as materialized (select symbol, pos, p_bin as p, baseline, rebound, train_n, bin_n from wb1 join wb2 using (symbol, pos))"""
+
+
+def binned(spark, d):
+    rows = rg.labelled(regime(spark, d).withColumn("pos", position()))
+    return rg.walk_forward_binned(rows.select("symbol", "pos", "bin", "rebound"))
+
+
+@query("p12_walk_forward_binned", f"{FULL}, {BINNED} select * from wbin", "p baseline")
+def _(spark, d):
+    return binned(spark, d)
+
+
+@query("p12_binned_report", f"""{FULL}, {BINNED}, g as (select symbol, count(*) as n, avg(pow(p - rebound, 2)) as brier, avg(pow(baseline - rebound, 2)) as brier_base, avg(-(rebound*ln(p) + (1 - rebound)*ln(1 - p))) as log_loss, avg(-(rebound*ln(baseline) + (1 - rebound)*ln(1 - baseline))) as log_loss_base from wbin group by symbol)
+select *, 1 - brier/brier_base as skill, case when n < 60 then 'insufficient_oos' when 1 - brier/brier_base > 0 then 'positive_oos_skill' else 'no_oos_edge' end as status from g""", "brier brier_base log_loss log_loss_base skill")
+def _(spark, d):
+    return rg.binned_report(binned(spark, d))
+
+
 _WR = wilson_sql("realised*n_eff", "n_eff")
 REL = f"rel as (select *, {_WR[0]} as low, {_WR[1]} as high from (select symbol, case when p < 0.15e0 then 0 when p < 0.25e0 then 1 when p < 0.35e0 then 2 when p < 0.45e0 then 3 else 4 end as bucket, count(*) as n, avg(p) as predicted, avg(rebound) as realised, count(*)//11 as n_eff from wf group by all) _g)"
 
