@@ -200,3 +200,70 @@ def significance_flags(groups: DataFrame, base_hit: float | Column) -> DataFrame
 def eligibility(tags: DataFrame, weekly_tags: DataFrame, least: int = WARMUP + max(HORIZONS) + 2) -> DataFrame:
     """One row a symbol: the adjustment gate and the length; tags need bars."""
     return adjustment_gate(tags, weekly_tags).join(tags.select(KEY, "bars"), KEY).withColumn("evaluated", F.col("eligible") & (F.col("bars") >= least))
+
+
+#: Symbols of slices are symbol * SLICE + t, so a series may have up to SLICE bars.
+SLICE = 1_000_000
+
+
+def asof_slices(bars: DataFrame, lookback: int = WARMUP, warmup: int = WARMUP, step: int = 20, longest: int = max(HORIZONS)) -> DataFrame:
+    """What each as-of point may know: its last `lookback` bars, as a series of its own with symbol = symbol * SLICE + t.
+
+    Every operator then works on the slices as on any other series, and can't look ahead. A bar is copied into the at most
+    lookback / step slices that hold it, with no join; choose the step before the lookback.
+    """
+    n = F.count(F.lit(1)).over(Window.partitionBy(KEY))
+    rows = bars.withColumns({"_t": position(), "_n": n}).where(F.col("_n") >= warmup + longest + 2)
+    first = F.greatest(F.lit(0), F.ceil((F.col("_t") - (warmup - 1)) / step)).cast("int")
+    last = F.floor((F.least(F.col("_t") + lookback - 1, F.col("_n") - longest - 2) - (warmup - 1)) / step).cast("int")
+    rows = rows.where(first <= last).withColumn("_k", F.explode(F.sequence(first, last)))
+    key = F.col(KEY).cast("long") * SLICE + (warmup - 1) + F.col("_k") * step
+    return rows.withColumn(KEY, key).drop("_t", "_n", "_k")
+
+
+def point_in_time(analysed: DataFrame, bars: DataFrame, limit: float, horizon: int = 10, cost: float = COST) -> DataFrame:
+    """Analysed slices (columns of scoring.score_all) with their later returns, and the plan's executable exit.
+
+    path_ret and path_hit: return in percent and stop of a sale by the plan's stop or after `horizon` bars.
+    """
+    t, symbol = F.col(KEY) % SLICE, F.floor(F.col(KEY) / SLICE)
+    state = analysed.drop("date", "open", "high", "low", "close", "volume", "amount").withColumns({"t": t.cast("int"), KEY: symbol.cast("long")})
+    later = horizon_returns(entry_fill(forward_path(bars), limit)).withColumn("t", position())
+    out = later.withColumn(KEY, F.col(KEY).cast("long")).join(state, [KEY, "t"])
+    out = out.withColumn("_x", executable_exit(F.col("path"), F.col("stop_loss"), horizon, limit)).drop("path")
+    ret = F.when(F.col("fillable"), rounded((F.col("_x.price") - F.col("entry")) / F.col("entry") * 100 - cost, 2))
+    return out.withColumns({"path_ret": ret, "path_hit": F.when(F.col("fillable"), F.col("_x.hit"))}).drop("_x")
+
+
+def support_band_stats(pit: DataFrame, bands: DataFrame) -> DataFrame:
+    """Rate blocks of entries near the first support (0 to 2.5 % above it), of those by its stars, and of the others.
+
+    bands: symbol, t, stars of the first support.
+    """
+    rows = pit.join(bands, [KEY, "t"], "left")
+    near = F.coalesce(F.col("s_dist").between(0, 2.5), F.lit(False))
+    names = F.when(near, F.array(F.lit("near"), F.concat(F.lit("near_"), F.col("stars").cast("string"), F.lit("_stars")))).otherwise(F.array(F.lit("away")))
+    return rows.withColumn("group", F.explode(names)).groupBy("group").agg(*rate_block(F.col("ret_10"), "ret"))
+
+
+def bin_label(x: Column, edges: tuple[float, ...]) -> Column:
+    """Label of the bin (low, high] that holds x."""
+    out = F.lit(None).cast("string")
+    for a, b in zip(edges, edges[1:]):
+        out = F.when((x > a) & (x <= b), f"({a:g},{b:g}]").otherwise(out)
+    return out
+
+
+def rr_groups(pit: DataFrame) -> DataFrame:
+    """Rate blocks of the plan's path return by its gain/loss ratio, and the share sold by a stop."""
+    rows = pit.withColumn("group", bin_label(F.col("rr_ratio"), (-1, 0, 1, 2, 3, 100))).where(F.col("group").isNotNull())
+    stop = 100 * F.avg(F.when(F.col("path_ret").isNotNull(), F.col("path_hit").cast("double")))
+    return rows.groupBy("group").agg(*rate_block(F.col("path_ret"), "ret"), stop.alias("stop_hit"))
+
+
+def insample_validity(pit: DataFrame, least: int = 30) -> DataFrame:
+    """Realised rate blocks by the in-sample win rate (column win_10); none at all under `least` rows with one."""
+    rows = pit.where(F.col("win_10").isNotNull() & F.col("ret_10").isNotNull())
+    enough = rows.agg((F.count(F.lit(1)) >= least).alias("_ok"))  # one row
+    rows = rows.crossJoin(F.broadcast(enough)).where("_ok").withColumn("group", bin_label(F.col("win_10"), (-1, 50, 60, 70, 101)))
+    return rows.groupBy("group").agg(*rate_block(F.col("ret_10"), "ret"))

@@ -58,9 +58,13 @@ def state(spark, d):
 
 def _state(spark, d):
     bars = daily(spark, d)
+    return state_of(bars, lev.levels(candidates(spark, d, bars), closes(bars)))
+
+
+def state_of(bars, bands):
+    """State rows of any series with date, prices and volume."""
     frame = ind.recursions(ind.vol_ratio(ind.atr(ind.bollinger(ind.sma(bars)))))
     week = ind.sma(norm.weekly(bars))
-    bands = lev.levels(candidates(spark, d, bars), closes(bars))
     return sc.state_rows(frame, week, prof.profile_summary(prof.volume_profile(bars)), st.macd_divergence(frame), st.volume_features(ind.vol_ratio(norm.change_pct(bars))), bands)
 
 
@@ -85,13 +89,16 @@ def _gain(h: int) -> str:
     return f"(case when min(low) {f} <= stop then stop else lead(close, {h}) over (partition by symbol order by date) end - close)/close*100 - 1 as g{h}"
 
 
-@query("c10_similar_patterns", f"""{STATE}, sp as (select b.*, atr, kdj_j, m.ma_20, m.ma_60, row_number() over (partition by b.symbol order by b.date) - 1 as i, count(*) over (partition by b.symbol) as n, b.close - 3*case when atr > 0 then atr else b.close*0.02e0 end as stop
+PATTERNS = f"""sp as (select b.*, atr, kdj_j, m.ma_20, m.ma_60, row_number() over (partition by b.symbol order by b.date) - 1 as i, count(*) over (partition by b.symbol) as n, b.close - 3*case when atr > 0 then atr else b.close*0.02e0 end as stop
     from bars b join atrs using (symbol, date) join rec using (symbol, date) join ({MA}) m using (symbol, date)),
 sg as (select *, {_gain(5)}, {_gain(10)}, {_gain(20)} from sp), ac as (select symbol, s_dist <= 3 as near, kdj_j < 35 or coalesce(bullish_divergence, false) as low, trend_score >= 55 as up from signals),
 sm as (select sg.symbol, i, g5, g10, g20 from sg join ac using (symbol) where (near or ac.low or up) and i between 30 and n - 21 and (not near or coalesce(close >= 0.975e0*ma_20 and close <= 1.03e0*ma_20, false)) and (not ac.low or kdj_j <= 45) and (not up or not coalesce(ma_60 > ma_20, false))),
 sk as (select symbol, unnest(list_reduce(list([i] order by i), lambda a, x: case when x[1] - a[-1] >= 10 then list_concat(a, x) else a end)) as i from sm group by symbol),
 sc as (select symbol, count(*) as samples, avg(case when g5 > 0 then 1e0 else 0e0 end) as w5, avg(case when g10 > 0 then 1e0 else 0e0 end) as w10, avg(case when g20 > 0 then 1e0 else 0e0 end) as w20, avg(g10) as m10 from sm join sk using (symbol, i) group by symbol)
-""" + portable("""select s.symbol, coalesce(samples, 0)::bigint as samples, case when samples >= 5 then round(100*w5, 1) end as win_5, case when samples >= 5 then round(100*w10, 1) end as win_10, case when samples >= 5 then round(100*w20, 1) end as win_20, case when samples >= 5 then round(m10, 1) end as mean_10, case when samples >= 5 then 'sufficient' else 'insufficient' end as status from signals s left join sc on sc.symbol = s.symbol"""))
+""" + portable("""select s.symbol, coalesce(samples, 0)::bigint as samples, case when samples >= 5 then round(100*w5, 1) end as win_5, case when samples >= 5 then round(100*w10, 1) end as win_10, case when samples >= 5 then round(100*w20, 1) end as win_20, case when samples >= 5 then round(m10, 1) end as mean_10, case when samples >= 5 then 'sufficient' else 'insufficient' end as status from signals s left join sc on sc.symbol = s.symbol""")
+
+
+@query("c10_similar_patterns", f"{STATE}, {PATTERNS}")
 def _(spark, d):
     bars = daily(spark, d)
     frame = ind.recursions(ind.atr(ind.sma(bars, (20, 60))))
