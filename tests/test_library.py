@@ -130,6 +130,15 @@ def test_no_look_ahead(spark):
     assert early == late and len(early) > 200
 
 
+def test_slices_do_not_look_ahead(spark):
+    df = series(spark)
+    sliced = evaluation.asof_slices(df, step=20)
+    last = {r.symbol % evaluation.SLICE: r for r in sliced.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.max("date").alias("to")).collect()}
+    days = [r.date for r in df.orderBy("date").collect()]
+    assert sorted(last) == list(range(249, len(days) - 21, 20))
+    assert all(r.n == 250 and r.to == days[t] for t, r in last.items())
+
+
 def test_row_order_and_partitions_do_not_matter(spark):
     df = series(spark).unionByName(series(spark, symbol=2, seed=6))
     made = lambda x: sorted(map(str, profile.volume_profile(x).collect())) + sorted(map(str, structure.price_gaps(x).collect())) + sorted(map(str, indicators.recursions(x).select("symbol", "date", "hist").collect()))
