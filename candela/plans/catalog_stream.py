@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from datetime import datetime
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +20,13 @@ _LOCAL = set(cb.QUERIES)
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or a temporary one in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = Path(tempfile.mkdtemp(prefix="candela-")).as_uri()
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/candela-{name}-{uuid.uuid4().hex}"
 
 
