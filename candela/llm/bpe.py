@@ -28,7 +28,7 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SPACE + r"\p{L}\p{N}]+"
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 #: Pieces of text remembered by each Python worker, twice at most; and fragments.
-MEMORY = 1 << 16
+MEMORY = 1 << 18
 #: Fragments up to so many bytes are merged by a plain scan; a pair without a merge ranks last.
 SHORT, NO_MERGE = 48, (1 << 30, -1)
 #: Bits of an id within the key of a pair.
@@ -43,7 +43,8 @@ def _byte_letters() -> list[str]:
 class Codec:
     """Encoder and decoder of one tokenizer file (byte alphabet, word-end suffix, NFC, lower case, spaces dropped)."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int | None = None):
+        self.memory = memory or MEMORY
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -114,7 +115,7 @@ class Codec:
         for a, b in zip([0, *cuts], [*cuts, len(data)]):
             key = data[a:b], b == len(data)
             if (ids := fragments.get(key)) is None:
-                if len(fragments) >= MEMORY:
+                if len(fragments) >= self.memory:
                     fragments.clear()
                 ids = fragments[key] = self.fragment(*key)
             out += ids
@@ -149,7 +150,7 @@ class Codec:
                 continue
             for raw in self.spaces.split(part) if self.odd_spaces.search(part) else part.split():
                 if (got := known.get(raw)) is None:
-                    if len(known) >= MEMORY:  # what is still in use comes back from the older half
+                    if len(known) >= self.memory:  # what is still in use comes back from the older half
                         self.older, known = known, {}
                         self.known = known
                     got = known[raw] = self.older.get(raw) or self.chunk(raw)
@@ -166,17 +167,17 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def codec_of(path: str) -> Codec:
+def codec_of(path: str, memory: int | None = None) -> Codec:
     """One codec for each Python worker, so that what it remembers outlives a task."""
-    return Codec(path)
+    return Codec(path, memory)
 
 
-def bpe_digests(text: Column, path: str) -> Column:
+def bpe_digests(text: Column, path: str, memory: int | None = None) -> Column:
     """Struct (n_tokens, ids_sha256, decoded_sha256) of a text column; a null text counts as empty."""
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        codec = codec_of(path)
+        codec = codec_of(path, memory)
         sha = lambda parts: hashlib.sha256(" ".join(parts).encode()).hexdigest()
         for batch in batches:
             rows = []
@@ -204,10 +205,13 @@ def bpe_encode(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     return out.select(*[c for c in out.columns if c != "_bpe"], "_bpe.*")
 
 
-def bpe_report(df: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row per row of df: id, n_tokens, ids_sha256, decoded_sha256. Rows stay where they are: no shuffle."""
+def bpe_report(df: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id", memory: int | None = None) -> DataFrame:
+    """One row per row of df: id, n_tokens, ids_sha256, decoded_sha256. Rows stay where they are: no shuffle.
+
+    memory: pieces of text that a worker remembers; fewer take more time and change nothing else.
+    """
     ship(df.sparkSession)
-    return df.select(id_col, bpe_digests(df[text_col], path).alias("d")).select(id_col, "d.*")
+    return df.select(id_col, bpe_digests(df[text_col], path, memory).alias("d")).select(id_col, "d.*")
 
 
 def tokenizer_path() -> str:

@@ -38,8 +38,11 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document."""
-    return bpe_report(docs, tokenizer_path())
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document.
+
+    Workers outlive stages, and here hold what earlier ones left, so this one remembers less than op7 alone does.
+    """
+    return bpe_report(docs, tokenizer_path(), memory=1 << 16)
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact), ("simhash_dedup", near), ("mixing", mixing), ("bpe", encode)]
