@@ -141,7 +141,11 @@ def near_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", fi
     Ids that go form a Bloom filter; rows certainly outside pass straight through, only the others shuffle with their texts.
     Rows with a null id stay.
     """
-    found = near_duplicates(df, text_col, id_col)
+    return without_larger_ids(df, near_duplicates(df, text_col, id_col), id_col, filter_bits)
+
+
+def without_larger_ids(df: DataFrame, found: DataFrame, id_col: str, filter_bits: int) -> DataFrame:
+    """The rows of df but for those whose id is larger than its component. found: id, component."""
     gone = stored(found.where("id > component").select(F.col("id").alias("_gone")).distinct(), "gone")
     names = [f"_c{i}" for i in range(len(df.columns))]
     packed = df.select(df[id_col].alias("_id"), F.struct(*(df[c].alias(n) for c, n in zip(df.columns, names))).alias("_row"))

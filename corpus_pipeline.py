@@ -1,6 +1,6 @@
 """A training corpus from `documents`, in stages that each write and reread Parquet.
 
-Quality classifier, exact dedup, SimHash near-dedup, mixing of sources, BPE. Each stage works on all that the one before
+Quality classifier, exact dedup, near-dedup, mixing of sources, BPE. Each stage works on all that the one before
 kept; all but the last return the columns of `documents`.
 """
 
@@ -12,8 +12,8 @@ from candela.llm._shared import stored
 from candela.llm.bpe import bpe_report, tokenizer_path
 from candela.llm.exact_dedup import exact_dedup
 from candela.llm.mixing import mix_documents, unpack
+from candela.llm.near_copies import near_copy_dedup
 from candela.llm.quality import keep_good
-from candela.llm.simhash import near_dedup
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the row with the smallest id stays."""
-    return near_dedup(docs)
+    """Of each group of near copies (Jaccard similarity of 5-word shingles 0.8 or more) the row with the smallest id stays."""
+    return near_copy_dedup(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
