@@ -155,14 +155,21 @@ def rank_ic(pit: DataFrame, scores: list[str], ret: str = "ret_10", least_rows:
     return pooled.join(daily, "score", "left").withColumn("days", F.coalesce("days", F.lit(0).cast("long")))
 
 
+def fixed(df: DataFrame) -> DataFrame:
+    """df computed once: in the checkpoint folder, or without one on the executors, where a lost one fails the job."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
 def score_quintiles(pit: DataFrame, score: str, ret: str = "ret_10") -> DataFrame:
     """Rate blocks of five equal buckets of the score, ties broken by date and symbol.
 
-    All rows of the score are ordered at once: a global rank, by a range sort and counts of the parts before.
+    All rows of the score are ordered at once: a global rank, by a range sort and counts of the parts before. The parts are
+    fixed once, as counts and ranks must come from the same ones and a second range exchange may cut elsewhere.
     """
     rows = pit.where(F.col(score).isNotNull() & F.col(ret).isNotNull()).select(KEY, "date", F.col(score).alias("x"), F.col(ret).alias("y"))
     ordered = rows.repartitionByRange("x", "date", KEY).sortWithinPartitions("x", "date", KEY).withColumn("_at", F.spark_partition_id())
     ordered = ordered.withColumn("_in", F.row_number().over(Window.partitionBy("_at").orderBy("x", "date", KEY)))
+    ordered = fixed(ordered)
     parts = ordered.groupBy("_at").agg(F.count(F.lit(1)).alias("_n"))
     before = parts.select("_at", F.coalesce(F.sum("_n").over(Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
     ranked = ordered.join(F.broadcast(before), "_at").withColumn("_r", F.col("_before") + F.col("_in"))  # a row a partition
