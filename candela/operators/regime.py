@@ -247,6 +247,26 @@ def weighted_isotonic(points: DataFrame, x: str = "bin", y: str = "value", weigh
     return points.join(fitted, x, "left")
 
 
+def isotonic_curves(points: DataFrame, key: str = KEY, x: str = "bin", y: str = "value", weight: str = "weight") -> DataFrame:
+    """points of many short curves with fitted: each key's weighted isotonic fit; points of weight 0 or without a value stay null.
+
+    A pool-adjacent-violators fold over the key's sorted points: a new block takes in the blocks before it that are larger.
+    """
+    used = points.where((F.col(weight) > 0) & F.col(y).isNotNull())
+    row = F.struct(F.col(x).alias("x"), (F.col(y) * F.col(weight)).cast("double").alias("s"), F.col(weight).cast("double").alias("w"))
+    rows = used.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("_p"))
+    # Blocks are walked from the last one: while its mean is larger than the new block's, it is taken in.
+    blocks = """aggregate(_p, cast(array() as array<struct<s: double, w: double, xs: array<double>>>), (done, q) ->
+      aggregate(reverse(done), named_struct('new', named_struct('s', q.s, 'w', q.w, 'xs', array(cast(q.x as double))), 'left', cast(array() as array<struct<s: double, w: double, xs: array<double>>>)),
+        (a, b) -> if(size(a.left) = 0 and b.s / b.w > a.new.s / a.new.w,
+          named_struct('new', named_struct('s', b.s + a.new.s, 'w', b.w + a.new.w, 'xs', concat(b.xs, a.new.xs)), 'left', a.left),
+          named_struct('new', a.new, 'left', concat(array(b), a.left))),
+        a -> concat(a.left, array(a.new))))"""
+    fitted = rows.select(key, F.explode(F.expr(blocks)).alias("_b")).select(key, F.explode("_b.xs").alias("_x"), (F.col("_b.s") / F.col("_b.w")).alias("fitted"))
+    at = points.withColumn("_x", F.when((F.col(weight) > 0) & F.col(y).isNotNull(), F.col(x).cast("double")))
+    return at.join(fitted, [key, "_x"], "left").select(*points.columns, "fitted")
+
+
 def block_bootstrap(gains: DataFrame, iterations: int = 4000, block: int = OVERLAP) -> DataFrame:
     """Per symbol: share of moving-block bootstrap means that are 0 or less; null under five blocks.
 

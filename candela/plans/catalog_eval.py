@@ -213,8 +213,8 @@ def _(spark, d):
 
 @query("p10_isotonic")
 def _(spark, d):
-    bins = rg.shrunk_bins(rg.labelled(regime(spark, d))).where("symbol = 0")
-    return rg.weighted_isotonic(bins.select("bin", F.col("probability").alias("value"), F.col("n").cast("double").alias("weight")))
+    bins = rg.shrunk_bins(rg.labelled(regime(spark, d)))
+    return rg.isotonic_curves(bins.select("symbol", "bin", F.col("probability").alias("value"), F.col("n").cast("double").alias("weight")))
 
 
 @query("p13_bootstrap")
