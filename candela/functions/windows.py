@@ -19,9 +19,18 @@ def last_rows(n: int, by: str = "date") -> WindowSpec:
     return series(by).rowsBetween(-(n - 1), 0)
 
 
+#: Ten decimals hold a price, or a difference of prices, if they are within HELD of its value.
+EXACT, HELD = "decimal(28,10)", 1e-9
+
+
 def exact_sum(x: Column, w: WindowSpec) -> Column:
-    """Window sum of prices with two decimals, free of rounding, so that later comparisons don't flip on a last bit."""
-    return F.sum(x.cast("decimal(12,2)")).over(w).cast("double")
+    """Window sum of doubles, added as decimals where these hold every value, so that later comparisons don't flip on a last bit.
+
+    A window with a value that they don't hold (tiny, 1e18 or more, NaN) is summed as plain doubles.
+    """
+    held = x.try_cast(EXACT)
+    holds = x.isNull() | F.coalesce(F.abs(held.cast("double") - x) <= HELD * F.abs(x), F.lit(False))
+    return F.when(F.every(holds).over(w), F.sum(held).over(w).cast("double")).otherwise(F.sum(x).over(w))
 
 
 def full(value: Column, x: Column, n: int, by: str = "date") -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candela.functions.stats import average_rank, rate_block
+from candela.functions.tables import stored
 from candela.functions.windows import KEY, position, rounded, series
 from candela.operators.normalise import adjustment_gate
 
@@ -137,29 +138,41 @@ def by_group(pit: DataFrame, group: str, horizon: int = 10) -> DataFrame:
     return out.select(group, *(f"ret_{c}" for c in ("n", "hit", "low", "high", "mean", "median", "pf")), (F.col("ret_hit") - F.col("base_hit")).alias("lift_hit"), (F.col("ret_mean") - F.col("base_mean")).alias("lift_mean"), (100 * F.col("ret_n") / F.col("base_n")).alias("share"))
 
 
+def pooled_rank(df: DataFrame, by: str, x: str, name: str) -> DataFrame:
+    """df with name: the rank of x (not null) within by, ties averaged, however many rows one value of by has.
+
+    Values are counted first, so what is ordered is one row a value, in range partitions that are stored once.
+    """
+    values = df.groupBy(by, x).agg(F.count(F.lit(1)).alias("_n")).repartitionByRange(by, x).withColumn("_at", F.spark_partition_id())
+    values = stored(values, "values")
+    parts = values.groupBy(by, "_at").agg(F.sum("_n").alias("_part"))
+    earlier = Window.partitionBy(by).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.select(by, "_at", F.coalesce(F.sum("_part").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.sum("_n").over(Window.partitionBy(by, "_at").orderBy(x)) - F.col("_n")
+    ranks = values.withColumn("_in", inside).join(F.broadcast(before), [by, "_at"])  # a row for each partition and by
+    return df.join(ranks.select(by, x, (F.col("_before") + F.col("_in") + (F.col("_n") + 1) / 2).alias(name)), [by, x])
+
+
 def rank_ic(pit: DataFrame, scores: list[str], ret: str = "ret_10", least_rows: int = 8, least_days: int = 5) -> DataFrame:
     """Per score: pooled Spearman correlation with the return, and the daily ones' mean, deviation, t value and days."""
     items = F.explode(F.array(*(F.struct(F.lit(s).alias("score"), F.col(s).cast("double").alias("x")) for s in scores)))
     rows = pit.select("date", F.col(ret).alias("y"), items.alias("s")).select("date", "y", "s.*").where(F.col("x").isNotNull() & F.col("y").isNotNull())
 
-    def spearman(df: DataFrame, least: int, *by: str) -> DataFrame:
-        ranked = df.withColumns({"_rx": average_rank(F.col("x"), *by), "_ry": average_rank(F.col("y"), *by)})
-        enough = (F.count(F.lit(1)) >= least) & (F.count_distinct("x") >= 2) & (F.count_distinct("y") >= 2)
-        return ranked.groupBy(*by).agg(F.when(enough, F.covar_pop("_rx", "_ry") / F.nullif(F.stddev_pop("_rx") * F.stddev_pop("_ry"), F.lit(0.0))).alias("ic"))
+    def spearman(ranked: DataFrame, least: int, *by: str) -> DataFrame:
+        # Ranks that are all equal have no deviation, so fewer than two values give null.
+        ic = F.covar_pop("_rx", "_ry") / F.nullif(F.stddev_pop("_rx") * F.stddev_pop("_ry"), F.lit(0.0))
+        return ranked.groupBy(*by).agg(F.when(F.count(F.lit(1)) >= least, ic).alias("ic"))
 
-    pooled = spearman(rows, 5, "score").withColumnRenamed("ic", "pooled_ic")
-    daily = spearman(rows, least_rows, "score", "date").where(F.col("ic").isNotNull())
+    # A score has all rows of the table, so its ranks come from counts of values in range partitions; a day's fit a window.
+    pooled = spearman(pooled_rank(pooled_rank(rows, "score", "x", "_rx"), "score", "y", "_ry"), 5, "score").withColumnRenamed("ic", "pooled_ic")
+    by_day = rows.withColumns({"_rx": average_rank(F.col("x"), "score", "date"), "_ry": average_rank(F.col("y"), "score", "date")})
+    daily = spearman(by_day, least_rows, "score", "date").where(F.col("ic").isNotNull())
     days = F.count(F.lit(1))
     t = F.avg("ic") / F.nullif(F.stddev_samp("ic"), F.lit(0.0)) * F.sqrt(days)
     daily = daily.groupBy("score").agg(days.alias("days"), F.when(days >= least_days, F.avg("ic")).alias("mean_ic"), F.when(days >= least_days, F.stddev_samp("ic")).alias("std_ic"), F.when(days >= least_days, t).alias("t"))
     return pooled.join(daily, "score", "left").withColumn("days", F.coalesce("days", F.lit(0).cast("long")))
 
 
-def fixed(df: DataFrame) -> DataFrame:
-    """df computed once: in the checkpoint folder, or without one on the executors, where a lost one fails the job."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
-
-
 def score_quintiles(pit: DataFrame, score: str, ret: str = "ret_10") -> DataFrame:
     """Rate blocks of five equal buckets of the score, ties broken by date and symbol.
 
@@ -168,8 +181,7 @@ def score_quintiles(pit: DataFrame, score: str, ret: str = "ret_10") -> DataFram
     """
     rows = pit.where(F.col(score).isNotNull() & F.col(ret).isNotNull()).select(KEY, "date", F.col(score).alias("x"), F.col(ret).alias("y"))
     ordered = rows.repartitionByRange("x", "date", KEY).sortWithinPartitions("x", "date", KEY).withColumn("_at", F.spark_partition_id())
-    ordered = ordered.withColumn("_in", F.row_number().over(Window.partitionBy("_at").orderBy("x", "date", KEY)))
-    ordered = fixed(ordered)
+    ordered = stored(ordered.withColumn("_in", F.row_number().over(Window.partitionBy("_at").orderBy("x", "date", KEY))), "ordered")
     parts = ordered.groupBy("_at").agg(F.count(F.lit(1)).alias("_n"))
     before = parts.select("_at", F.coalesce(F.sum("_n").over(Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
     ranked = ordered.join(F.broadcast(before), "_at").withColumn("_r", F.col("_before") + F.col("_in"))  # a row a partition

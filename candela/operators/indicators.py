@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candela.functions.folds import fold_rows
-from candela.functions.windows import KEY, full, last_rows, mean, series
+from candela.functions.windows import KEY, exact_sum, full, last_rows, mean, series
 
 TINY = 1e-9
 SPANS = (5, 10, 20, 30, 60, 120, 250)
@@ -54,13 +54,12 @@ def recursions(bars: DataFrame) -> DataFrame:
 
 def rsi(bars: DataFrame, spans: tuple[int, ...] = (6, 12, 24)) -> DataFrame:
     """Simple means of gains and losses; the first bar's change counts as 0, so n bars suffice."""
-    delta = F.coalesce(F.col("close").cast("decimal(12,2)") - F.lag("close").over(series()).cast("decimal(12,2)"), F.lit(0).cast("decimal(13,2)"))
-    out = bars.withColumn("_delta", delta)
-    zero = F.lit(0).cast("decimal(13,2)")
+    out = bars.withColumn("_delta", F.coalesce(F.col("close") - F.lag("close").over(series()), F.lit(0.0)))
+    zero = F.lit(0.0)
     gain, loss = F.greatest("_delta", zero), F.greatest(-F.col("_delta"), zero)
 
     def one(n: int) -> Column:
-        g, l = (full(F.sum(x).over(last_rows(n)).cast("double") / n, F.col("close"), n) for x in (gain, loss))  # noqa: E741
+        g, l = (full(exact_sum(x, last_rows(n)) / n, F.col("close"), n) for x in (gain, loss))  # noqa: E741
         return 100 - 100 / (1 + g / (l + TINY))
 
     return out.withColumns({f"rsi_{n}": one(n) for n in spans}).drop("_delta")

@@ -118,10 +118,10 @@ def band_coverage(df: DataFrame) -> DataFrame:
 
 
 def score_bin(score: Column) -> Column:
-    """0..4 for [0,20), [20,40), [40,60), [60,80), [80,101); other scores raise an error."""
+    """0..4 for [0,20), [20,40), [40,60), [60,80), [80,100]; other scores raise an error."""
     value = F.raise_error(F.lit("score out of range")).cast("int")
     for k in range(len(SCORE_EDGES) - 1):
-        value = F.when((score >= SCORE_EDGES[k]) & (score < SCORE_EDGES[k + 1]), k).otherwise(value)
+        value = F.when((score >= SCORE_EDGES[k]) & (score < SCORE_EDGES[k + 1]) & (score <= 100), k).otherwise(value)
     return F.when(score.isNotNull(), value)
 
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from datetime import datetime
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candela.functions.tables import shared_path as folder
 from candela.plans import catalog_bars as cb
 from candela.plans.catalog_bars import B, daily, query
 from candela.plans.fixtures import derive
@@ -19,17 +18,6 @@ from candela.streaming import bars as sb
 _LOCAL = set(cb.QUERIES)
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or a temporary one in local mode only."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = Path(tempfile.mkdtemp(prefix="candela-")).as_uri()
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/candela-{name}-{uuid.uuid4().hex}"
-
-
 def run_stream(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
     """A stream run to its end into a Parquet table of the shared folder."""
     out, at = folder(spark, name), folder(spark, f"{name}-at")
@@ -104,8 +92,8 @@ def _(spark, d):
 @query("st6_daily_job", "select cast(ts as date) as date, event_type as symbol, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 def _(spark, d):
     out, at = folder(spark, "st6"), folder(spark, "st6-at")
-    job = lambda b: b.groupBy(F.col("ts").cast("date").alias("date"), F.col("event_type").alias("symbol")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    sb.daily_job(event_stream(spark, d), out, at, job).awaitTermination()
+    job = lambda b: b.groupBy("date", F.col("event_type").alias("symbol")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    sb.daily_job(event_stream(spark, d).withColumn("date", F.col("ts").cast("date")), out, at, job).awaitTermination()
     return spark.read.parquet(out)
 
 

@@ -17,13 +17,7 @@ def write_calibration(documents: DataFrame, path: str) -> None:
 
     documents: symbol, model_version, generated_at and the document's fields.
     """
-    spark = documents.sparkSession
-    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        documents.write.mode("overwrite").partitionBy(KEY).json(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+    documents.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(KEY).json(path)
 
 
 def read_calibration(spark: SparkSession, path: str, schema, model_version: str, now: datetime) -> DataFrame:

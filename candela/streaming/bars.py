@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from candela.functions.windows import KEY
 
@@ -71,14 +72,20 @@ def merge_stream(snapshots: DataFrame, history_path: str, checkpoint: str) -> St
 
 
 def daily_job(bars: DataFrame, path: str, checkpoint: str, job) -> StreamingQuery:
-    """Run job(new rows) over what has come since the last run and keep its result in one folder a date.
+    """Run job(rows of a date) for every date that has had rows since the last run; its result has one folder a date.
 
-    A date that comes again replaces its folder, so a repeated run leaves the same table. The timer is outside.
+    bars: a stream with a column date. Its rows are kept beside the result, by date and batch, and a date that gets more of
+    them is computed again from all it has, so no batch pushes out another's. A repeated batch writes the same folders
+    again. The timer is outside.
     """
+    inbox, kinds = f"{path.rstrip('/')}-rows", bars.schema
+    overwrite = lambda df: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
 
     def once(batch: DataFrame, batch_id: int) -> None:
-        out = job(batch)
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+        overwrite(batch.withColumn("_batch", F.lit(batch_id))).partitionBy("date", "_batch").parquet(inbox)
+        held = batch.sparkSession.read.schema(StructType([*kinds, StructField("_batch", LongType())])).parquet(inbox)
+        touched = held.where(F.col("_batch") == batch_id).select("date").distinct()
+        overwrite(job(held.join(touched, "date", "left_semi").select(*batch.columns))).partitionBy("date").parquet(path)
 
     return bars.writeStream.foreachBatch(once).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
