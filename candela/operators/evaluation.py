@@ -225,16 +225,20 @@ def eligibility(tags: DataFrame, weekly_tags: DataFrame, least: int = WARMUP + m
 SLICE = 1_000_000
 
 
-def asof_slices(bars: DataFrame, lookback: int = WARMUP, warmup: int = WARMUP, step: int = 20, longest: int = max(HORIZONS)) -> DataFrame:
-    """What each as-of point may know: its last `lookback` bars, as a series of its own with symbol = symbol * SLICE + t.
+def asof_slices(bars: DataFrame, lookback: int | None = None, warmup: int = WARMUP, step: int = STEP, longest: int = max(HORIZONS)) -> DataFrame:
+    """What each as-of point may know: all bars up to it, as a series of its own with symbol = symbol * SLICE + t.
 
-    Every operator then works on the slices as on any other series, and can't look ahead. A bar is copied into the at most
-    lookback / step slices that hold it, with no join; choose the step before the lookback.
+    Every operator then works on the slices as on any other series, and can't look ahead. A bar is copied, with no join,
+    into each slice that holds it: (length of the series - its place) / step of them, or lookback / step if only the last
+    `lookback` bars are wanted. A series of SLICE bars or more raises an error.
     """
     n = F.count(F.lit(1)).over(Window.partitionBy(KEY))
     rows = bars.withColumns({"_t": position(), "_n": n}).where(F.col("_n") >= warmup + longest + 2)
+    rows = rows.withColumn("_n", F.when(F.col("_n") < SLICE, F.col("_n")).otherwise(F.raise_error(F.lit("series too long for slices")).cast("long")))
+    until = F.col("_n") - longest - 2
+    until = until if lookback is None else F.least(F.col("_t") + lookback - 1, until)
     first = F.greatest(F.lit(0), F.ceil((F.col("_t") - (warmup - 1)) / step)).cast("int")
-    last = F.floor((F.least(F.col("_t") + lookback - 1, F.col("_n") - longest - 2) - (warmup - 1)) / step).cast("int")
+    last = F.floor((until - (warmup - 1)) / step).cast("int")
     rows = rows.where(first <= last).withColumn("_k", F.explode(F.sequence(first, last)))
     key = F.col(KEY).cast("long") * SLICE + (warmup - 1) + F.col("_k") * step
     return rows.withColumn(KEY, key).drop("_t", "_n", "_k")
