@@ -1,9 +1,13 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page becomes a row of text blocks. A linear classifier over a block's ancestors, class names, link density and wording
-gives the cost of calling it content or boilerplate: these costs are the capacities to the two terminals. Neighbouring
-blocks, and blocks next to each other under one parent, are joined by smoothness edges. The minimum cut, found by
-maximum flow, is the labelling of least total cost; the content blocks in page order are the text.
+A page becomes a graph. Its text blocks are nodes: a linear classifier over length, link density, wording and the nearest
+content element gives the cost of calling one content or boilerplate, and these costs are its capacities to the two
+terminals. Elements that look like boilerplate by tag, role or class are nodes too, with a price for being content after
+all, and an edge that no cut may cross from each block or such element to the next one around it: a block can be
+content only if the elements around it are. So a page-wide form or a misleading class is paid for by the paragraphs it
+holds, while a small one closes with all that is in it. Neighbouring blocks, and blocks next to each other under one
+parent, are joined by smoothness edges. The minimum cut, found by maximum flow, is the labelling of least total cost; the
+content blocks in page order are the text.
 """
 
 from __future__ import annotations
@@ -11,8 +15,9 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import defaultdict, deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,75 +27,121 @@ from candela.llm._shared import ship
 
 #: Fixed values of HTML: elements without content, elements whose content is raw text, and elements that make blocks.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea iframe noembed noframes xmp template svg math object canvas select".split())
+RAW = set("script style textarea iframe noembed noframes xmp template canvas select".split())
 BLOCKS = set(
-    "html head body title address article aside blockquote button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr label legend li main menu nav noscript ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
+    "html head body title address article aside blockquote button caption center dd details dialog dir div dl dt fieldset "
+    "figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr label legend li main menu nav noscript ol "
+    "optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
-#: Elements that end at the next of their kind, and elements that end an open paragraph (all blocks do).
+#: Elements that end at the next of their kind; an open paragraph ends at any block.
 SELF_ENDING = set("p li dt dd tr td th option".split())
-#: Evidence of the classifier.
-AWAY_TAGS = set("head title nav footer aside form button dialog noscript menu label legend fieldset search option".split())
-AWAY_ROLES = set("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form status".split())
+#: Elements and roles that are boilerplate, and those of the page as a whole, whose classes tell nothing.
+AWAY_TAGS = set("head title nav footer aside button dialog noscript menu label legend search option".split())
+AWAY_ROLES = set("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar status".split())
+ROOTS = {"html", "body", "head"}
 AWAY_WORDS = set(
-    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disclaimer disqus footer gdpr header hidden legal login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags teaser toolbar topbar widget".split()
+    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline comment comments "
+    "commentlist consent cookie cookies copyright disclaimer disqus footer gdpr header legal login masthead menu modal nav "
+    "navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion "
+    "recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe "
+    "tags teaser toolbar topbar widget".split()
 )
+#: Parts of a class name that leave the meaning of a boilerplate word beside them, and parts that deny it.
+PLAIN_PARTS = set(
+    "area bar block body bottom box btn button buttons col column container content entry footer form global group holder icons inner item "
+    "items left links list main meta module outer page panel post primary reader region right row secondary section site "
+    "slot text thread top unit user view wrap wrapper zone article story".split()
+)
+DENIALS = set("no not non without has have with is js hide hides show shows toggle".split())
 NEAR_WORDS = set("article articlebody body content entry main post story text".split())
 NEAR_TAGS = {"article", "main"}
-AWAY, NEAR, NEAR_WORD = -8.0, 2.5, 1.5
-#: Capacities of smoothness edges, and whole units in one unit of cost.
-ADJACENT, SIBLING, KIN, UNITS = 0.3, 0.6, 0.4, 1000
+NEAR, NEAR_WORD = 2.5, 1.5
+#: Prices of an element for being content: certain, likely and doubtful boilerplate; of a certain one that holds <main>.
+CERTAIN, LIKELY, FORM, DOUBTFUL, AROUND_MAIN = 1000.0, 15.0, 3.0, 2.5, 6.0
+#: Capacities of smoothness edges, whole units in one unit of cost, and the capacity of an edge that no cut crosses.
+ADJACENT, SIBLING, KIN, UNITS, UNCUT = 0.3, 0.6, 0.4, 1000, 1 << 60
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
+PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in RAW}
+HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|/|=|$)")
 
 
 class Block:
-    """Text of one block, its evidence for content and its parent element's number."""
+    """Text of one block, its evidence for content, its parent element's number and the boilerplate element around it (or -1)."""
 
-    __slots__ = ("text", "evidence", "parent")
+    __slots__ = ("text", "evidence", "parent", "mark")
 
-    def __init__(self, text: str, evidence: float, parent: int):
-        self.text, self.evidence, self.parent = text, evidence, parent
+    def __init__(self, text: str, evidence: float, parent: int, mark: int):
+        self.text, self.evidence, self.parent, self.mark = text, evidence, parent, mark
 
 
 class _Open:
-    """An open element: what it and its ancestors say about content."""
+    """An open element: its nearest content element's strength and the nearest boilerplate element, itself included."""
+
+    __slots__ = ("tag", "number", "parent", "near", "mark")
+
+    def __init__(self, tag: str, number: int, parent: int, near: float, mark: int):
+        self.tag, self.number, self.parent, self.near, self.mark = tag, number, parent, near, mark
+
 
-    __slots__ = ("tag", "number", "parent", "near", "away")
+def class_price(name: str) -> float:
+    """Price of one class or id name. Whole names and names with plain parts are certain; "no-sidebar" tells nothing."""
+    if name.lower() in AWAY_WORDS:
+        return CERTAIN
+    parts = [w.lower() for w in PARTS.findall(name)]
+    if len(parts) < 2 or DENIALS.intersection(parts) or not AWAY_WORDS.intersection(parts):
+        return 0.0
+    if all(w in AWAY_WORDS or w in PLAIN_PARTS for w in parts):
+        return CERTAIN
+    return LIKELY if parts[-1] in AWAY_WORDS else DOUBTFUL
 
-    def __init__(self, tag: str, number: int, parent: int, near: float, away: bool):
-        self.tag, self.number, self.parent, self.near, self.away = tag, number, parent, near, away
 
+@lru_cache(maxsize=1 << 12)
+def class_evidence(value: str) -> tuple[float, float, bool]:
+    """(price of the clearest name, nearness, whether a whole name is a boilerplate word or "hidden") of a class or id value."""
+    names = value.split()
+    price = max(map(class_price, names), default=0.0)
+    whole = any(n.lower() in AWAY_WORDS or n.lower() == "hidden" for n in names)
+    near = any(NEAR_WORDS.intersection(w.lower() for w in PARTS.findall(n)) and not class_price(n) for n in names)
+    return price, NEAR_WORD if near else 0.0, whole
 
-def _element(tag: str, attributes: str, above: _Open, number: int) -> _Open:
-    near, away = above.near, above.away or tag in AWAY_TAGS
-    if tag in NEAR_TAGS:
-        near = max(near, NEAR)
+
+def _element(tag: str, attributes: str, above: _Open, number: int, marks: list[list]) -> _Open:
+    """The element that a start tag opens; boilerplate elements are added to marks as [price, mark around it, holds <main>]."""
+    near = NEAR if tag in NEAR_TAGS else 0.0
     # A header of the article itself holds its title; any other header is the site's.
-    away = away or tag == "header" and above.near < NEAR
-    if attributes and not away:
+    price = CERTAIN if tag in AWAY_TAGS or tag == "header" and above.near < NEAR else FORM if tag in ("form", "fieldset") else 0.0
+    if attributes and tag not in ROOTS:
         for name, a, b, c in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), a or b or c
             if name in ("class", "id"):
-                words = {w.lower() for w in WORDS.findall(value)}
-                away = away or bool(words & AWAY_WORDS)
-                near = max(near, NEAR_WORD) if words & NEAR_WORDS else near
+                if len(value) <= 1000:
+                    found, nearness, whole = class_evidence(value)
+                    # An article's compound names are its topic or state, not its kind.
+                    price = max(price, found if tag not in NEAR_TAGS else CERTAIN if whole else 0.0, CERTAIN if whole else 0.0)
+                    near = max(near, nearness)
             elif name == "role":
-                away = away or value.lower() in AWAY_ROLES
+                price = max(price, CERTAIN if value.lower() in AWAY_ROLES else FORM if value.lower() == "form" else 0.0)
                 near = max(near, NEAR) if value.lower() in ("main", "article") else near
-            elif name == "aria-hidden":
-                away = away or value.lower() == "true"
-            elif name == "style":
-                away = away or "display:none" in value.replace(" ", "").lower()
-        away = away or re.search(r"(?:^|\s)hidden(?:\s|/|$)", attributes) is not None
-    return _Open(tag, number, above.number, near, away)
+            elif name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
+                price = CERTAIN
+        if HIDDEN.search(attributes):
+            price = CERTAIN
+    mark = above.mark
+    if tag == "main" and mark >= 0:
+        marks[mark][2] = True
+    if price:
+        marks.append([price, mark, False])
+        mark = len(marks) - 1
+    return _Open(tag, number, above.number, near or (0.0 if price else above.near), mark)
 
 
 def evidence(text: str, linked: int, of: _Open) -> float:
     """Log odds that a block is content."""
-    z = of.near + (AWAY if of.away else 0.0) + min(len(text) / 80, 2.0) - 4.0 * min(1.0, linked / len(text)) - 0.5
+    z = of.near + min(len(text) / 80, 2.0) - 4.0 * min(1.0, linked / len(text)) - 0.5
     if of.tag in HEADINGS:
         z += 0.7
     elif of.tag in ("p", "blockquote", "pre", "td"):
@@ -98,15 +149,20 @@ def evidence(text: str, linked: int, of: _Open) -> float:
     return z + (0.7 if text[-1] in ".!?:;…。\"'”»" else 0.0)
 
 
-def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order; markup, comments, scripts and styles are gone, white space is one space."""
-    stack, out, parts, linked, in_link, number = [_Open("", 0, -1, 0.0, False)], [], [], 0, False, 0
+def blocks(page: str) -> tuple[list[Block], list[list]]:
+    """The text blocks of a page in order, and its boilerplate elements (see _element).
+
+    Markup, comments, scripts and styles are gone, white space is one space. Time is linear in the page.
+    """
+    stack, places = [_Open("", 0, -1, 0.0, -1)], defaultdict(list)  # places: of the open elements of a tag, in the stack
+    out, marks, parts, linked, in_link, number = [], [], [], 0, False, 0
 
     def end_block() -> None:
         nonlocal linked
         if parts:
             if text := " ".join("".join(parts).split()):
-                out.append(Block(text, evidence(text, linked, stack[-1]), stack[-1].parent))
+                top = stack[-1]
+                out.append(Block(text, evidence(text, linked, top), top.parent, top.mark))
             parts.clear()
             linked = 0
 
@@ -126,44 +182,50 @@ def blocks(page: str) -> list[Block]:
         text(page[at : m.start()])
         at, closing, tag = m.end(), m[1], (m[2] or "").lower()
         if not tag:
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                break  # a comment that never ends holds the rest of the page
             continue
         if tag == "a":
             in_link = not closing
         elif tag == "br":
             parts.append(" ")
         elif tag in RAW and not closing:
-            close = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, at)
+            close = RAW_END[tag].search(page, at)
             at = n if close is None else close.start()
         elif tag in BLOCKS:
             end_block()
             if closing:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        del stack[k:]
-                        break
+                if places[tag]:  # it ends all that is open inside it
+                    first = places[tag][-1]
+                    for gone in stack[first:]:
+                        places[gone.tag].pop()
+                    del stack[first:]
             elif tag not in VOID:
                 if stack[-1].tag == "p" or tag in SELF_ENDING and stack[-1].tag == tag:
-                    stack.pop()
+                    places[stack.pop().tag].pop()
                 number += 1
-                stack.append(_element(tag, m[3], stack[-1], number))
+                places[tag].append(len(stack))
+                stack.append(_element(tag, m[3], stack[-1], number, marks))
     end_block()
-    return out
+    return out, marks
 
 
-def minimum_cut(content: list[int], boilerplate: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
+def minimum_cut(content: list[int], boilerplate: list[int], edges: list[tuple[int, ...]]) -> list[bool]:
     """Labels (True: content) of least cost: content[i] if i is content, boilerplate[i] if not, and c for each edge (i, j, c) cut.
 
+    An edge (i, j, c, back) costs c if i alone is content and back if j alone is.
+
     Maximum flow by shortest augmenting layers. A node's direct flow between both terminals is taken first, so that only
     the excess moves along edges. Of several least cuts the one with the most content is returned.
     """
     n = len(content)
     supply = [b - a for a, b in zip(content, boilerplate)]  # above 0: from the content terminal, below: to the other
     to, room, out = [], [], [[] for _ in range(n)]
-    for i, j, c in edges:
+    for i, j, c, *back in edges:
         out[i].append(len(to))
         out[j].append(len(to) + 1)
         to += [j, i]
-        room += [c, c]
+        room += [c, back[0] if back else c]
     while True:
         layer, queue, reached = [-1] * n, deque(i for i in range(n) if supply[i] > 0), False
         for i in queue:
@@ -211,21 +273,34 @@ def minimum_cut(content: list[int], boilerplate: list[int], edges: list[tuple[in
     return [not x for x in away]
 
 
-def main_text(page: str | None) -> str:
-    """Content blocks joined by newlines; empty for a null or empty page."""
-    found = blocks(page or "")
+def prices(marks: list[list]) -> list[float]:
+    """Prices of the boilerplate elements: one around <main>, however deep, is the page's frame rather than a part of it."""
+    for price, around, holds in reversed(marks):
+        if holds and around >= 0:
+            marks[around][2] = True
+    return [min(price, AROUND_MAIN) / (2 if price <= FORM else 1) if holds else price for price, _, holds in marks]
+
+
+def main_text(page: str | None, cut: bool = True) -> str:
+    """Content blocks joined by newlines; empty for a null or empty page. cut=False takes each block's own evidence alone."""
+    found, marks = blocks(page or "")
     if not found:
         return ""
-    z = [b.evidence for b in found]
-    content = [round(UNITS * math.log1p(math.exp(-x))) for x in z]
-    boilerplate = [round(UNITS * math.log1p(math.exp(x))) for x in z]
-    edges, last = [], {found[0].parent: 0}
-    for j in range(1, len(found)):
-        parent = found[j].parent
-        edges.append((j - 1, j, round(UNITS * (ADJACENT + (SIBLING if found[j - 1].parent == parent else 0)))))
-        if (i := last.get(parent)) is not None and i < j - 1:
+    z, n = [b.evidence for b in found], len(found)
+    if not cut:
+        return "\n".join(b.text for b in found if b.evidence >= 0)
+    content = [round(UNITS * math.log1p(math.exp(-x))) for x in z] + [round(UNITS * p) for p in prices(marks)]
+    boilerplate = [round(UNITS * math.log1p(math.exp(x))) for x in z] + [0] * len(marks)
+    edges = [(n + i, n + around, UNCUT, 0) for i, (_, around, _) in enumerate(marks) if around >= 0]
+    last: dict[int, int] = {}
+    for j, b in enumerate(found):
+        if b.mark >= 0:
+            edges.append((j, n + b.mark, UNCUT, 0))
+        if j:
+            edges.append((j - 1, j, round(UNITS * (ADJACENT + (SIBLING if found[j - 1].parent == b.parent else 0)))))
+        if (i := last.get(b.parent)) is not None and i < j - 1:
             edges.append((i, j, round(UNITS * KIN)))
-        last[parent] = j
+        last[b.parent] = j
     return "\n".join(b.text for b, keep in zip(found, minimum_cut(content, boilerplate, edges)) if keep)
 
 
@@ -240,7 +315,12 @@ def extract(page: Column) -> Column:
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per page: id, url, text, n_chars (code points). Whole pages, no shuffle; null and empty pages have empty texts."""
+    """One row per row of pages: id, url, text, n_chars (code points). Whole pages, no shuffle.
+
+    Null and empty pages have empty texts, null ids and urls stay null, rows that repeat an id or a page give a row each,
+    and an empty table gives an empty result. Other columns, of whatever name, are left out. Of several least cuts the one
+    with the most content is taken.
+    """
     ship(pages.sparkSession)
     out = pages.select(pages[id_col], pages[url_col], F.coalesce(extract(pages[html_col]), F.lit("")).alias("text"))
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
