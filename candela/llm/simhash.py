@@ -31,6 +31,11 @@ BLOCK = 1 << 15
 SEED = 42
 
 
+def majority(hashes: bytes) -> np.ndarray:
+    """For each of 64 bits, how many of the 8-byte big-endian hashes have it."""
+    return np.unpackbits(np.frombuffer(hashes, dtype=np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+
+
 def fingerprint(text: str | None, words_each: int = 3) -> int:
     """Unsigned 64-bit SimHash of a whole text: bit set if it is in over half of the shingles' hashes."""
     words = (text or "").encode(errors="surrogatepass").lower().split()  # bytes: A-Z and the six ASCII spaces alone
@@ -43,9 +48,7 @@ def fingerprint(text: str | None, words_each: int = 3) -> int:
     starts, ends = starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist()
     digest, ones = xxhash.xxh64_digest, np.zeros(64, dtype=np.int64)
     for k in range(0, len(starts), BLOCK):
-        hashes = b"".join([digest(data[a:b], SEED) for a, b in zip(starts[k : k + BLOCK], ends[k : k + BLOCK])])
-        bits = np.unpackbits(np.frombuffer(hashes, dtype=np.uint8).reshape(-1, 8), axis=1)
-        ones += bits.sum(axis=0, dtype=np.int64)
+        ones += majority(b"".join([digest(data[a:b], SEED) for a, b in zip(starts[k : k + BLOCK], ends[k : k + BLOCK])]))
     return int.from_bytes(np.packbits(ones * 2 > len(starts)).tobytes(), "big")
 
 
@@ -60,19 +63,20 @@ def fingerprints(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
     return df.select(df[id_col].alias("id"), F.pandas_udf(_fingerprints, "long")(df[text_col]).alias("fp"))
 
 
-def _segment(fp: Column, i: int) -> Column:
-    return F.shiftrightunsigned(fp, WIDTH * (SEGMENTS - 1 - i % SEGMENTS)).bitwiseAND(F.lit((1 << WIDTH) - 1))
+def _segment(fp: Column, i: int, segments: int = SEGMENTS) -> Column:
+    width = 64 // segments
+    return F.shiftrightunsigned(fp, width * (segments - 1 - i % segments)).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def _in_chain(x: Column, y: Column) -> Column:
-    """Some segment starts a chain within the budgets."""
-    differ = [F.bit_count(_segment(x.bitwiseXOR(y), i)) for i in range(SEGMENTS)]
-    chains = []
-    for i in range(SEGMENTS):
-        sums = [sum((differ[(i + k) % SEGMENTS] for k in range(1, n)), differ[i]) for n in range(1, SEGMENTS + 1)]
-        tests = [s <= n * MOST_BITS // SEGMENTS for n, s in enumerate(sums, 1)]
-        chains.append(tests[0] & tests[1] & tests[2] & tests[3])
-    return chains[0] | chains[1] | chains[2] | chains[3]
+def in_chain(x: Column, y: Column, segments: int = SEGMENTS, most: int = MOST_BITS) -> Column:
+    """Some segment starts a chain within the budgets: l of them in a row differ in l * most / segments bits at most."""
+    differ = [F.bit_count(_segment(x.bitwiseXOR(y), i % segments, segments)).cast("int") for i in range(2 * segments)]
+    # sums[i]: bits that differ before segment i of the ring, gone round twice
+    sums = F.aggregate(F.array(*differ), F.array(F.lit(0)), lambda s, d: F.concat(s, F.array(F.element_at(s, -1) + d)))
+    ring = F.struct(sums.alias("sums"))
+    chain = lambda s, i: F.forall(F.sequence(F.lit(1), F.lit(segments)), lambda n: F.get(s, i + n) - F.get(s, i) <= F.floor(n * most / segments))
+    found = F.transform(F.array(ring), lambda r: F.exists(F.sequence(F.lit(0), F.lit(segments - 1)), lambda i: chain(r["sums"], i)))
+    return F.get(found, F.lit(0))
 
 
 def links(nodes: DataFrame) -> DataFrame:
@@ -84,7 +88,7 @@ def links(nodes: DataFrame) -> DataFrame:
     shared = stored(keyed.join(counts, ["pair", "value"]), "keyed")
     few = shared.where(F.col("n") <= PAIRED).groupBy("pair", "value").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
     pairs = few.select(F.posexplode("fps").alias("at", "a"), "fps").select("a", F.explode(F.expr("slice(fps, at + 2, size(fps))")).alias("b"))
-    pairs = pairs.where(_in_chain(F.col("a"), F.col("b"))).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MOST_BITS)
+    pairs = pairs.where(in_chain(F.col("a"), F.col("b"))).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MOST_BITS)
     many = shared.where(F.col("n") > PAIRED).select("fp").distinct()
     flips = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit((1 << b) - (1 << 64) if b == 63 else 1 << b)) for b in range(64)))
     near = many.select("fp", F.explode(flips).alias("via")).groupBy("via").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
