@@ -27,12 +27,13 @@ from candela.llm._shared import ship
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SPACE + r"\p{L}\p{N}]+"
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-#: Pieces of text remembered by each Python worker, twice at most; and fragments.
-MEMORY = 1 << 18
-#: Fragments up to so many bytes are merged by a plain scan; a pair without a merge ranks last.
-SHORT, NO_MERGE = 48, (1 << 30, -1)
-#: Bits of an id within the key of a pair.
+#: Pieces of text remembered by each Python worker, twice at most; and fragments. Longer ones are not remembered.
+MEMORY, LONGEST = 1 << 18, 64
+#: Bits of an id within the key of a pair, and below the rank of its merge.
 WIDE = 24
+ID = (1 << WIDE) - 1
+#: Fragments up to so many bytes are merged by a plain scan; a pair without a merge ranks last.
+SHORT, NO_MERGE = 48, 1 << 60
 
 
 def _byte_letters() -> list[str]:
@@ -56,16 +57,18 @@ class Codec:
         self.last = [vocab[c + self.end] for c in letters]
         self.merges = {}
         for rank, (a, b) in enumerate(tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]):
-            self.merges[vocab[a] << WIDE | vocab[b]] = rank, vocab[a + b]
+            self.merges[vocab[a] << WIDE | vocab[b]] = rank << WIDE | vocab[a + b]
         self.path, self.library = path, None
         byte_of = self.byte_of = {c: b for b, c in enumerate(letters)}
         self.inside = {(byte_of[x], byte_of[y]) for t in vocab for form in (t, t.removesuffix(self.end)) for x, y in zip(form, form[1:])}
+        self.joined = [bytes((a, b) in self.inside for b in range(256)) for a in range(256)]
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.spaces, self.odd_spaces, self.words = re.compile(f"[{SPACE}]+"), re.compile("[\x1c-\x1f]"), regex.compile(WORD)
         self.known: dict[str, tuple[int, str, str]] = {}
         self.older: dict[str, tuple[int, str, str]] = {}
         self.fragments: dict[tuple[bytes, bool], list[int]] = {}
+        self.hollow = False  # whether a piece without ids was met
 
     def fragment(self, data: bytes, final: bool) -> list[int]:
         """Ids of bytes without a forced boundary inside; lowest rank first, then leftmost."""
@@ -76,10 +79,10 @@ class Codec:
             return self.long_fragment(ids)
         found = self.merges.get
         ranks = [found(a << WIDE | b, NO_MERGE) for a, b in zip(ids, ids[1:])]
-        while ranks and (least := min(ranks)) is not NO_MERGE:
+        while ranks and (least := min(ranks)) < NO_MERGE:
             i = ranks.index(least)
-            ids[i : i + 2] = [least[1]]
-            del ranks[i]
+            ids[i] = least & ID
+            del ids[i + 1], ranks[i]
             if i:
                 ranks[i - 1] = found(ids[i - 1] << WIDE | ids[i], NO_MERGE)
             if i < len(ranks):
@@ -90,11 +93,12 @@ class Codec:
         """As fragment(), with a heap: n log n steps for n bytes."""
         n, merges = len(ids), self.merges
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(rank, i, *pair, new) for i, pair in enumerate(zip(ids, ids[1:])) for rank, new in [merges.get(pair[0] << WIDE | pair[1], NO_MERGE)] if new >= 0]
+        ranked = ((merges.get(a << WIDE | b, NO_MERGE), i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:])))
+        heap = [x for x in ranked if x[0] < NO_MERGE]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b, new = heapq.heappop(heap)
-            j = after[i]
+            rank, i, a, b = heapq.heappop(heap)
+            j, new = after[i], rank & ID
             if ids[i] != a or j >= n or ids[j] != b:
                 continue
             ids[i], ids[j] = new, None
@@ -103,21 +107,22 @@ class Codec:
                 before[k] = i
             for at, pair in ((i, (new, ids[k]) if k < n else None), (before[i], (ids[before[i]], new) if before[i] >= 0 else None)):
                 if pair and (pair[0] << WIDE | pair[1]) in merges:
-                    rank, made = merges[pair[0] << WIDE | pair[1]]
-                    heapq.heappush(heap, (rank, at, *pair, made))
+                    heapq.heappush(heap, (merges[pair[0] << WIDE | pair[1]], at, *pair))
         return [x for x in ids if x is not None]
 
     def word(self, data: bytes) -> list[int]:
         """Ids of one word: cut at the forced boundaries, encode the fragments, concatenate."""
-        inside, fragments = self.inside, self.fragments
-        cuts = [i for i, pair in enumerate(zip(data, data[1:]), 1) if pair not in inside]
+        joined, fragments = self.joined, self.fragments
+        cuts = [i for i in range(1, len(data)) if not joined[data[i - 1]][data[i]]]
         out: list[int] = []
         for a, b in zip([0, *cuts], [*cuts, len(data)]):
             key = data[a:b], b == len(data)
             if (ids := fragments.get(key)) is None:
-                if len(fragments) >= self.memory:
-                    fragments.clear()
-                ids = fragments[key] = self.fragment(*key)
+                ids = self.fragment(*key)
+                if b - a <= LONGEST:
+                    if len(fragments) >= self.memory:
+                        fragments.clear()
+                    fragments[key] = ids
             out += ids
         return out
 
@@ -129,7 +134,9 @@ class Codec:
         return [bytes(self.byte_of[c] for c in w) for w, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(raw))]
 
     def chunk(self, raw: str) -> tuple[int, str, str]:
-        """(number of ids, ids, tokens) of text without white space, both joined by one space."""
+        """(number of ids, ids, tokens) of text without white space, both joined by one space; a special token is itself."""
+        if raw in self.special:
+            return 1, self.digits[self.special[raw]], raw
         if raw.isascii():
             text = raw.lower()
             words = [text.encode()] if text.isalpha() else [w.encode() for w in self.words.findall(text)]
@@ -141,23 +148,37 @@ class Codec:
         ids = [i for w in words for i in self.word(w)]
         return len(ids), " ".join([self.digits[i] for i in ids]), " ".join([self.token[i] for i in ids])
 
-    def encode(self, text: str) -> list[tuple[int, str, str]]:
-        """As chunk(), for each piece of the text; special tokens in the text stand for themselves."""
-        out, known = [], self.known
+    def pieces(self, text: str) -> list[str]:
+        """The text without its white space; special tokens in it are pieces of their own."""
+        out: list[str] = []
         for part in self.at_special.split(text) if "<|" in text else (text,):
             if part in self.special:
-                out.append((1, str(self.special[part]), part))
-                continue
-            for raw in self.spaces.split(part) if self.odd_spaces.search(part) else part.split():
-                if (got := known.get(raw)) is None:
-                    if len(known) >= self.memory:  # what is still in use comes back from the older half
-                        self.older, known = known, {}
-                        self.known = known
-                    got = known[raw] = self.older.get(raw) or self.chunk(raw)
-                if got[0]:
-                    out.append(got)
+                out.append(part)
+            else:
+                out += filter(None, self.spaces.split(part)) if self.odd_spaces.search(part) else part.split()
         return out
 
+    def encode(self, text: str) -> list[tuple[int, str, str]]:
+        """As chunk(), for each piece of the text that has ids."""
+        pieces = self.pieces(text)
+        out = list(map(self.known.get, pieces))
+        if None in out:
+            for k, got in enumerate(out):
+                if got is None:
+                    out[k] = self.recall(pieces[k])
+        return [got for got in out if got[0]] if self.hollow else out
+
+    def recall(self, raw: str) -> tuple[int, str, str]:
+        """As chunk(), by memory: of two halves, the older of which goes when the newer is full."""
+        if (got := self.known.get(raw)) is None:
+            got = self.older.get(raw) or self.chunk(raw)
+            self.hollow = self.hollow or not got[0]
+            if len(raw) <= LONGEST:
+                if len(self.known) >= self.memory:
+                    self.older, self.known = self.known, {}
+                self.known[raw] = got
+        return got
+
     def ids(self, text: str) -> list[int]:
         return [int(i) for _, ids, _ in self.encode(text) for i in ids.split()]
 
@@ -182,8 +203,8 @@ def bpe_digests(text: Column, path: str, memory: int | None = None) -> Column:
         for batch in batches:
             rows = []
             for text in batch:
-                got = codec.encode(text or "")
-                rows.append((sum(n for n, _, _ in got), sha(i for _, i, _ in got), sha(t for _, _, t in got)))
+                n, ids, tokens = zip(*codec.encode(text or "")) if text and not text.isspace() else ((), (), ())
+                rows.append((sum(n), sha(ids), sha(tokens)))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return digests(text)
@@ -208,7 +229,8 @@ def bpe_encode(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
 def bpe_report(df: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id", memory: int | None = None) -> DataFrame:
     """One row per row of df: id, n_tokens, ids_sha256, decoded_sha256. Rows stay where they are: no shuffle.
 
-    memory: pieces of text that a worker remembers; fewer take more time and change nothing else.
+    A null text counts as empty; null ids stay, rows that repeat give a row each, other columns are left out, and an empty
+    table gives an empty result. memory: pieces of text that a worker remembers; fewer take more time and change nothing else.
     """
     ship(df.sparkSession)
     return df.select(id_col, bpe_digests(df[text_col], path, memory).alias("d")).select(id_col, "d.*")

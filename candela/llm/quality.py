@@ -22,8 +22,8 @@ SAMPLE = 12_000
 BUCKETS, RANK, THRESHOLD = 1 << 12, 8, 0.3
 #: Passes over the sample, and rows seen in all of them at least.
 EPOCHS, SEEN = 8, 60_000
-#: Words of a text hashed at once, and words remembered by each task.
-BLOCK, MEMORY = 1 << 16, 1 << 16
+#: Words of a text hashed at once, and words remembered by each task, those up to LONGEST bytes.
+BLOCK, MEMORY, LONGEST = 1 << 16, 1 << 16, 64
 #: Structure statistics, then metadata: the text's length and number of lines as powers of two, one feature each.
 STATS, LENGTHS, LINES = 15, 24, 16
 WIDTH = BUCKETS + STATS + LENGTHS + LINES
@@ -46,9 +46,11 @@ class Featurizer:
 
     def bucket(self, word: bytes) -> int:
         if (b := self.known.get(word)) is None:
-            if len(self.known) >= MEMORY:
-                self.known.clear()
-            b = self.known[word] = zlib.crc32(word.lower()) % BUCKETS
+            b = zlib.crc32(word.lower()) % BUCKETS
+            if len(word) <= LONGEST:
+                if len(self.known) >= MEMORY:
+                    self.known.clear()
+                self.known[word] = b
         return b
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -169,7 +171,11 @@ def quality_score(text: Column, model: FactorisationMachine) -> Column:
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: id, held_out, score, predicted. Rows stay where they are."""
+    """One row per document: id, held_out, score, predicted. Rows stay where they are.
+
+    Null and empty texts have a score; a null id counts as empty text for held_out; rows that repeat give a row each; other
+    columns are left out; an empty table gives an empty result, and without labels every margin is that of an unfitted model.
+    """
     model = fit_quality(docs, labels, text_col, id_col)
     out = docs.select(docs[id_col], held_out(docs[id_col]).alias("held_out"), quality_score(docs[text_col], model).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

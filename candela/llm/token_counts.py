@@ -21,8 +21,8 @@ from candela.llm._shared import ship
 from candela.llm.bpe import SPACE
 
 MARK, UNKNOWN, PENALTY = "▁", "<unk>", 10.0
-#: Words remembered by each task.
-MEMORY = 1 << 17
+#: Words remembered by each task, those up to LONGEST characters.
+MEMORY, LONGEST = 1 << 17, 64
 
 
 def unigram_vocabulary(path: str) -> list[tuple[str, float]]:
@@ -73,15 +73,22 @@ class Counter:
         return count[n]
 
     def text(self, text: str) -> int:
-        total, known = 0, self.known
-        for w in self.spaces.split(text) if self.odd_spaces.search(text) else text.split():
-            if w:
-                if (c := known.get(w)) is None:
-                    if len(known) >= MEMORY:
-                        known.clear()
-                    c = known[w] = self.word(MARK + w)
-                total += c
-        return total
+        words = [w for w in self.spaces.split(text) if w] if self.odd_spaces.search(text) else text.split()
+        counts = list(map(self.known.get, words))
+        if None in counts:
+            for k, c in enumerate(counts):
+                if c is None:
+                    counts[k] = self.recall(words[k])
+        return sum(counts)
+
+    def recall(self, w: str) -> int:
+        if (c := self.known.get(w)) is None:
+            c = self.word(MARK + w)
+            if len(w) <= LONGEST:
+                if len(self.known) >= MEMORY:
+                    self.known.clear()
+                self.known[w] = c
+        return c
 
 
 def count_tokens(text: Column, path: str) -> Column:
@@ -97,7 +104,10 @@ def count_tokens(text: Column, path: str) -> Column:
 
 
 def with_token_counts(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """df with a column n_tokens (a column of this name is replaced). Whole texts, no shuffle."""
+    """df with a column n_tokens (a column of this name is replaced). Whole texts, no shuffle.
+
+    Null and empty texts have 0; rows that repeat give a row each; an empty table gives an empty result.
+    """
     ship(df.sparkSession)
     return df.withColumn("n_tokens", count_tokens(df[text_col], path))
 
