@@ -27,6 +27,8 @@ from candela.llm.exact_dedup import annotate_copies
 
 #: Bytes of a chunk, uncompressed bytes after which a new split begins, and payloads too small for revisits.
 CHUNK, SPLIT, SMALL = 1 << 18, 1 << 23, 100
+#: Compressed bytes that a reading task takes on.
+TASK_BYTES = 1 << 26
 #: Rows and bytes gathered before a batch is handed to Spark.
 BATCH_ROWS, BATCH_BYTES = 512, 1 << 22
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -204,7 +206,9 @@ def read_warc(splits: DataFrame, payload: bool = True) -> DataFrame:
         if rows:
             yield batch_of()
 
-    tasks = max(1, min(splits.count(), 4096))
+    # One task for each TASK_BYTES of archives, and no fewer than the cores that there are splits for.
+    n, size = splits.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0))).head()
+    tasks = max(1, -(-size // TASK_BYTES), min(n, spark.sparkContext.defaultParallelism))
     return splits.repartition(tasks, "archive", "start").mapInArrow(read, RECORDS)
 
 
@@ -219,9 +223,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = f"""
 with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
-f as (select *, min(page_id) over (partition by payload_digest) as first from p)
+f as (select *, min(page_id) over same as first, row_number() over (partition by payload_digest order by page_id nulls last) as n
+      from p window same as (partition by payload_digest))
 select page_id, payload_bytes, payload_digest,
-       case when payload_bytes >= {SMALL} and page_id <> first then 'revisit' else 'response' end as record_type,
-       case when payload_bytes >= {SMALL} and page_id <> first then first end as refers_to
+       case when payload_bytes >= {SMALL} and n > 1 then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= {SMALL} and n > 1 then first end as refers_to
 from f
 """
