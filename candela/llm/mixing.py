@@ -11,6 +11,7 @@ Documents never shuffle: the cell table is broadcast under the same bound.
 
 from __future__ import annotations
 
+import warnings
 from collections import defaultdict
 from collections.abc import Callable
 
@@ -18,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST_CELLS, SWEEPS = 200_000, 60
+#: Distance of a fitted share from its target that calls for a warning.
+MISFIT = 1e-3
 #: Targets of the query: natural shares to this power (which lifts small categories), and the part of all tokens to draw.
 TEMPER, BUDGET = 0.7, 0.8
 DIMS = ("source", "lang", "topic")
@@ -50,6 +53,17 @@ def rake(mass: dict[Cell, float], targets: Targets, sweeps: int = SWEEPS) -> dic
     return w
 
 
+def misfit(fitted: dict[Cell, float], targets: Targets) -> float:
+    """Largest distance between a category's fitted share and its target, over all dimensions."""
+    total, worst = sum(fitted.values()) or 1.0, 0.0
+    for k, dim in enumerate(DIMS):
+        sums: dict[str, float] = defaultdict(float)
+        for cell, m in fitted.items():
+            sums[cell[k]] += m / total
+        worst = max([worst, *(abs(sums.get(c, 0.0) - t) for c, t in targets[dim].items())])
+    return worst
+
+
 def calibrate(mass: dict[Cell, float], raked: dict[Cell, float], budget: float) -> dict[Cell, tuple[float, float]]:
     """(weight, probability) of each cell: min(1, scale * weight) with sum(mass * probability) = budget."""
     weight = {c: raked[c] / m for c, m in mass.items()}
@@ -75,7 +89,8 @@ def mix(df: DataFrame, tokens: Column, source: Column, lang: Column, topic: Colu
 
     targets: shares for each dimension, or a function of the cell masses that gives them. budget: part of all tokens.
     Null categories count as empty ones; tokens are 1 at least. Rows that repeat an id are drawn together. An empty
-    table gives an empty result.
+    table gives an empty result. Targets that contradict each other on the cells there are give the last sweep's weights and
+    a warning.
     """
     names = [f"_c{i}" for i in range(len(df.columns))]
     row = F.struct(*(df[c].alias(n) for c, n in zip(df.columns, names)))
@@ -85,7 +100,11 @@ def mix(df: DataFrame, tokens: Column, source: Column, lang: Column, topic: Colu
     if len(cells) > MOST_CELLS:
         raise ValueError(f"more than {MOST_CELLS} cells: merge rare categories first")
     mass = {tuple(r[:3]): r["mass"] for r in sorted(cells)}
-    got = calibrate(mass, rake(mass, targets(mass) if callable(targets) else targets), budget * sum(mass.values()))
+    wanted = targets(mass) if callable(targets) else targets
+    raked = rake(mass, wanted)
+    if mass and (off := misfit(raked, wanted)) > MISFIT:
+        warnings.warn(f"target shares that these cells can't meet: one is off by {off:.3f}", stacklevel=2)
+    got = calibrate(mass, raked, budget * sum(mass.values()))
     spark = df.sparkSession
     table = spark.createDataFrame([(*c, *x) for c, x in got.items()], "_source string, _lang string, _topic string, weight double, probability double")
     out = base.join(F.broadcast(table), [f"_{d}" for d in DIMS], "left").withColumn("sampled", uniform(F.col("_id")) < F.col("probability"))
