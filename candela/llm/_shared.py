@@ -11,6 +11,10 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candela.functions.tables import shared_path, stored
+
+__all__ = ["bloom", "join_groups", "maybe_in", "shared_path", "ship", "stored"]
+
 #: A group that holds more than 1/HOT_PARTS of the rows is hot, so there are at most HOT_PARTS hot groups.
 HOT_PARTS = 256
 #: Rows of one bitmap of a Bloom filter: the built-in bitmap functions use 4,096 bytes.
@@ -18,29 +22,6 @@ BITMAP_BITS = 1 << 15
 BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 512
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one in local mode only."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = Path(tempfile.mkdtemp(prefix="candela-")).as_uri()
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/candela-{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: its lineage ends there and it survives lost executors."""
-    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ship(spark: SparkSession) -> None:
     """Give the executors' Python this package, once for each application, and whole texts in small batches.
 

@@ -1,9 +1,9 @@
 """Exact dedup with two-pass Bloom filtering (DataFrame functions only).
 
-Pass 1 hashes every row and counts hits on two cells per hash; cells hit twice or more form a Bloom filter of
-possibly repeated hashes, `filter_bits`/8 bytes at most. Pass 2 probes it by broadcast: a row whose hash is certainly
-alone passes straight through; only the others shuffle to be counted exactly. A full filter only makes more rows
-shuffle; results never depend on it.
+Pass 1 hashes every row and counts hits on two cells per hash, which is all that leaves its task (a count a cell); cells
+hit twice or more form a Bloom filter of possibly repeated hashes. Pass 2 probes it by broadcast: a row whose hash is
+certainly alone passes straight through; only the others shuffle to be counted exactly. The filter is sized from the
+number of rows, up to MOST_BITS; a full one only makes more rows shuffle, and results never depend on it.
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from candela.llm._shared import bloom, join_groups, maybe_in, stored
 
-#: 16 MB of bitmaps at most; doubles usefully up to about filter_bits / 8 distinct texts.
-FILTER_BITS = 1 << 27
+#: Bits for each row, and at most: 128 MB of bitmaps, which serve up to about 134 million texts.
+ROW_BITS, MOST_BITS = 8, 1 << 30
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -24,7 +24,14 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(t) == F.char_length(t), F.lower(t)).otherwise(F.translate(t, UPPER, LOWER))
 
 
-def annotate_copies(df: DataFrame, content: Column, id_col: str, keep: str = "max", carry: tuple[str, ...] = (), filter_bits: int = FILTER_BITS) -> DataFrame:
+def filter_size(rows: int) -> int:
+    """Bits of a filter for so many rows: a power of two."""
+    return min(MOST_BITS, 1 << max(16, (ROW_BITS * rows - 1).bit_length()))
+
+
+def annotate_copies(
+    df: DataFrame, content: Column, id_col: str, keep: str = "max", carry: tuple[str, ...] = (), filter_bits: int | None = None
+) -> DataFrame:
     """One row per row of df: _id, _row (struct of the carried columns, null if none), sha256, keep_id, group_size, kept.
 
     content: string or binary column; rows are copies if its bytes are equal. Of copies, the row with the largest
@@ -34,6 +41,7 @@ def annotate_copies(df: DataFrame, content: Column, id_col: str, keep: str = "ma
     row = F.struct(*(df[c] for c in carry)) if carry else F.lit(None).cast("string")
     base = df.select(df[id_col].alias("_id"), F.sha2(content.cast("binary"), 256).alias("sha256"), row.alias("_row"))
     base = stored(base.withColumn("_rid", F.monotonically_increasing_id()), "digests")
+    filter_bits = filter_bits or filter_size(base.count())
     hashed = F.xxhash64("sha256")
     repeated = bloom(base, hashed, filter_bits, least=2, name="repeated")
     probed = maybe_in(base, hashed, repeated, filter_bits, "_maybe")
@@ -48,17 +56,31 @@ def annotate_copies(df: DataFrame, content: Column, id_col: str, keep: str = "ma
     return single.select(columns).unionByName(counted.select(columns))
 
 
-def exact_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", filter_bits: int = FILTER_BITS) -> DataFrame:
+def exact_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", filter_bits: int | None = None) -> DataFrame:
     """The rows of df that stay (largest id of each group of texts equal but for the case of A-Z), its columns alone.
 
-    Nulls in any column are kept as they are; a null text equals an empty one. Texts are compared whole by SHA-256.
+    Nulls in any column are kept as they are; a null text equals an empty one, and a null id loses to any other. Of rows
+    that repeat the largest id too, one stays. Texts are compared whole by SHA-256. An empty table gives an empty result.
+
+    df is read twice and never stored: rows that are certainly alone keep their place, of the others each task sends one
+    candidate for a text on.
     """
-    out = annotate_copies(df, lower_ascii(df[text_col]), id_col, carry=tuple(df.columns), filter_bits=filter_bits)
-    return out.where("kept").select("_row.*")
+    names = [f"_c{i}" for i in range(len(df.columns))]
+    row = F.struct(*(df[c].alias(n) for c, n in zip(df.columns, names)))
+    rows = df.select(row.alias("_row"), df[id_col].alias("_id"), F.sha2(lower_ascii(df[text_col]).cast("binary"), 256).alias("sha256"))
+    filter_bits = filter_bits or filter_size(df.count())
+    hashed = F.xxhash64("sha256")
+    probed = maybe_in(rows, hashed, bloom(rows, hashed, filter_bits, least=2, name="repeated"), filter_bits, "_maybe")
+    best = probed.where("_maybe").groupBy("sha256").agg(F.max_by("_row", F.struct(F.col("_id").isNotNull(), "_id")).alias("_row"))
+    kept = probed.where(~F.col("_maybe")).select("_row").unionByName(best.select("_row"))
+    return kept.select(*(F.col(f"_row.{n}").alias(c) for c, n in zip(df.columns, names)))
+
 
+def exact_dedup_report(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", filter_bits: int | None = None) -> DataFrame:
+    """One row per row of df: id, keep_id, group_size, kept, text_sha256 (of the normalised text).
 
-def exact_dedup_report(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", filter_bits: int = FILTER_BITS) -> DataFrame:
-    """One row per row of df: id, keep_id, group_size, kept, text_sha256 (of the normalised text)."""
+    Only digests are stored. Of rows that repeat the largest id of a text, one is kept.
+    """
     out = annotate_copies(df, lower_ascii(df[text_col]), id_col, filter_bits=filter_bits)
     return out.select(F.col("_id").alias(id_col), "keep_id", "group_size", "kept", F.col("sha256").alias("text_sha256"))
 
@@ -71,6 +93,6 @@ OP2_SQL = f"""
 with t as (select doc_id, sha256(translate(coalesce(text, ''), '{UPPER}', '{LOWER}')) as text_sha256 from documents)
 select doc_id, max(doc_id) over (partition by text_sha256) as keep_id,
        count(*) over (partition by text_sha256) as group_size,
-       coalesce(doc_id = max(doc_id) over (partition by text_sha256), true) as kept, text_sha256
+       row_number() over (partition by text_sha256 order by doc_id desc nulls last) = 1 as kept, text_sha256
 from t
 """

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candela.llm._shared import bloom, join_groups, maybe_in, ship, stored
+from candela.llm.exact_dedup import filter_size
 from candela.llm.simhash import SEED, components, in_chain, majority, without_larger_ids
 
 WORDS, LEAST, BANDS, ROWS = 5, 0.8, 24, 5
@@ -137,17 +138,18 @@ def candidates(keyed: DataFrame, counts: DataFrame) -> DataFrame:
     return stored(near.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "candidates")
 
 
-def texts_of(wanted: DataFrame, texts: DataFrame, nodes: DataFrame, filter_bits: int) -> DataFrame:
+def texts_of(wanted: DataFrame, texts: DataFrame, nodes: DataFrame, filter_bits: int | None) -> DataFrame:
     """wanted (node and others, a row a node) with the node's text. texts: text and its hash th; nodes: node, th.
 
     Only texts of these nodes move: a Bloom filter of their hashes clears the others.
     """
     wanted = stored(wanted.join(nodes.select("node", "th"), "node"), "wanted")
+    filter_bits = filter_bits or filter_size(wanted.count())
     probed = maybe_in(texts, F.col("th"), bloom(wanted, F.col("th"), filter_bits, name="texts"), filter_bits, "_maybe").where("_maybe")
     return stored(probed.groupBy("th").agg(F.any_value("text").alias("text")).join(wanted, "th").drop("th"), "texts")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, filter_bits: int) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, filter_bits: int | None) -> DataFrame:
     """The pairs whose texts have a Jaccard similarity of LEAST or more."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
     held = texts_of(ends, texts, nodes, filter_bits)
@@ -160,7 +162,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, filter_bits:
     return stored(both.select("a", "b", F.pandas_udf(_jaccards, "double")("text_a", "text_b").alias("j")).where(F.col("j") >= LEAST), "near")
 
 
-def crowded_links(keyed: DataFrame, counts: DataFrame, roots: DataFrame, texts: DataFrame, nodes: DataFrame, filter_bits: int) -> DataFrame:
+def crowded_links(keyed: DataFrame, counts: DataFrame, roots: DataFrame, texts: DataFrame, nodes: DataFrame, filter_bits: int | None) -> DataFrame:
     """Links (a, b) that connect different components (roots: node, root) through keys with more than PAIRED nodes."""
     many = counts.where(F.col("n") > PAIRED).select("value", "n")
     members = join_groups(keyed.select("value", "node"), many, "value", "n", "inner").join(roots, "node", "left")
@@ -191,7 +193,7 @@ def crowded_links(keyed: DataFrame, counts: DataFrame, roots: DataFrame, texts:
     return stored(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "crowd-links")
 
 
-def near_copies(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", filter_bits: int = 1 << 27) -> DataFrame:
+def near_copies(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", filter_bits: int | None = None) -> DataFrame:
     """One row per row of df: id and component (smallest id reachable by pairs of similarity LEAST or more, its own included).
 
     Null, empty and blank texts are one component. Null ids: ignored by the minimum; a component of null ids alone has
@@ -218,6 +220,6 @@ def near_copies(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", f
     return join_groups(rows.select("id", "node"), of, "node", "n", "inner").select("id", "component")
 
 
-def near_copy_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", filter_bits: int = 1 << 27) -> DataFrame:
+def near_copy_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", filter_bits: int | None = None) -> DataFrame:
     """The rows of df of which no row of their component has a smaller id; its columns alone. Rows with a null id stay."""
     return without_larger_ids(df, near_copies(df, text_col, id_col, filter_bits), id_col, filter_bits)

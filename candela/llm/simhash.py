@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candela.llm._shared import bloom, join_groups, maybe_in, ship, stored
+from candela.llm.exact_dedup import filter_size
 
 SEGMENTS, WIDTH, MOST_BITS = 4, 16, 2
 #: Fingerprints of one key that are compared in pairs; keys with more take the linear way.
@@ -139,7 +140,7 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     return join_groups(rows, of, "fp", "n", "inner").drop("n")
 
 
-def near_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", filter_bits: int = 1 << 27) -> DataFrame:
+def near_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", filter_bits: int | None = None) -> DataFrame:
     """The rows of df of which no row of their component has a smaller id; its columns alone.
 
     Ids that go form a Bloom filter; rows certainly outside pass straight through, only the others shuffle with their texts.
@@ -148,9 +149,10 @@ def near_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", fi
     return without_larger_ids(df, near_duplicates(df, text_col, id_col), id_col, filter_bits)
 
 
-def without_larger_ids(df: DataFrame, found: DataFrame, id_col: str, filter_bits: int) -> DataFrame:
+def without_larger_ids(df: DataFrame, found: DataFrame, id_col: str, filter_bits: int | None) -> DataFrame:
     """The rows of df but for those whose id is larger than its component. found: id, component."""
     gone = stored(found.where("id > component").select(F.col("id").alias("_gone")).distinct(), "gone")
+    filter_bits = filter_bits or filter_size(gone.count())
     names = [f"_c{i}" for i in range(len(df.columns))]
     packed = df.select(df[id_col].alias("_id"), F.struct(*(df[c].alias(n) for c, n in zip(df.columns, names))).alias("_row"))
     probed = maybe_in(packed, F.xxhash64("_id"), bloom(gone, F.xxhash64("_gone"), filter_bits), filter_bits, "_maybe")
