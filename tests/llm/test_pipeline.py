@@ -8,7 +8,8 @@ from tokenizers import Tokenizer
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from candela.llm import bpe, mixing, quality, registry  # noqa: E402
-from tests.llm.test_dedup import lower, plain_components, plain_fingerprint  # noqa: E402
+from tests.llm.test_dedup import lower  # noqa: E402
+from tests.llm.test_near_copies import plain_kept  # noqa: E402
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
@@ -38,13 +39,9 @@ def test_stages_against_plain_versions(spark, sf):
     kept = stage["exact_dedup"](spark, kept, sf)
     assert kept.columns == columns and {r.doc_id for r in kept.collect()} == set(best.values())
 
-    rows = sorted(kept.collect())
-    roots = plain_components([plain_fingerprint(r.text) for r in rows])
-    first = {}
-    for r, root in zip(rows, roots):
-        first.setdefault(root, r.doc_id)
+    want = plain_kept([(r.doc_id, r.text) for r in kept.collect()])
     kept = stage["simhash_dedup"](spark, kept, sf)
-    assert kept.columns == columns and {r.doc_id for r in kept.collect()} == set(first.values())
+    assert kept.columns == columns and {r.doc_id for r in kept.collect()} == want
 
     mixed = mixing.mix_documents(kept)
     drawn = {r.doc_id for r in mixed.where("sampled").select(*mixing.unpack(mixed, columns)).collect()}
