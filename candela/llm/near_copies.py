@@ -7,7 +7,7 @@ instead (a band of five minima is shared by two texts of similarity s with proba
 and their Hamming distance; what is left is confirmed on whole shingle sets (64-bit hashes of them).
 
 Texts with one shingle set are one node. A key with more than PAIRED nodes is not expanded into pairs. Its nodes are first
-compared with REPS of them. Then those outside the largest component that this gives are compared with all nodes of the
+compared with one of them, another for each key that they share. Then those outside the largest component that this gives are compared with all nodes of the
 key, in blocks of bounded size that give only links between components: the result is as if all pairs had been compared,
 and a large group of near copies costs its size times what the first step left.
 """
@@ -28,8 +28,8 @@ from candela.llm.exact_dedup import filter_size
 from candela.llm.simhash import SEED, components, in_chain, majority, without_larger_ids
 
 WORDS, LEAST, BANDS, ROWS = 5, 0.8, 24, 5
-#: Nodes of one key that are compared in pairs, and nodes that stand for a key with more.
-PAIRED, REPS = 32, 8
+#: Nodes of one key that are compared in pairs.
+PAIRED = 32
 #: Segments and bits of the pigeonring: the distance at 0.8 has mean 10 and deviation 3.
 RING, BITS = 8, 24
 #: Rows and bytes of text of a block of a crowded key, about.
@@ -114,23 +114,22 @@ def cross_links(left: list[tuple], right: list[tuple]) -> list[tuple[int, int]]:
 
 
 def keys_of(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(value, node, size, fp) of each key of each node; and for each value of several nodes their number and REPS of them."""
+    """(value, node, size, fp) of each key of each node; and for each value of several nodes their number and one of them."""
     keyed = nodes.select("node", "size", "fp", F.explode("keys").alias("value"))
-    reps = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), F.col("node"), F.col("size"), F.col("fp"))).alias(f"r{i}") for i in range(REPS)]
-    return keyed, stored(keyed.groupBy("value").agg(F.count(F.lit(1)).alias("n"), *reps).where("n > 1"), "keys")
+    one = F.min(F.struct(F.xxhash64("node", "value").alias("h"), F.col("node"), F.col("size"), F.col("fp"))).alias("one")
+    return keyed, stored(keyed.groupBy("value").agg(F.count(F.lit(1)).alias("n"), one).where("n > 1"), "keys")
 
 
 def candidates(keyed: DataFrame, counts: DataFrame) -> DataFrame:
     """Different pairs (a, b), a < b, of nodes that share a key, whose sizes allow the similarity and that pass the pigeonring.
 
-    Of keys with more than PAIRED nodes, the pairs with the key's representatives.
+    Of keys with more than PAIRED nodes, the pairs with the key's representative.
     """
     few = keyed.join(counts.where(F.col("n") <= PAIRED).select("value"), "value")
     few = few.groupBy("value").agg(F.array_sort(F.collect_list(F.struct("node", "size", "fp"))).alias("all"))
     pairs = few.select(F.posexplode("all").alias("at", "x"), "all").select("x", F.explode(F.expr("slice(all, at + 2, size(all))")).alias("y"))
-    reps = F.array(*(F.struct(f"r{i}.node", f"r{i}.size", f"r{i}.fp") for i in range(REPS)))
-    many = counts.where(F.col("n") > PAIRED).select("value", "n", reps.alias("reps"))
-    stars = join_groups(keyed, many, "value", "n", "inner").select(F.struct("node", "size", "fp").alias("o"), F.explode("reps").alias("r"))
+    many = counts.where(F.col("n") > PAIRED).select("value", "n", F.struct("one.node", "one.size", "one.fp").alias("r"))
+    stars = join_groups(keyed, many, "value", "n", "inner").select(F.struct("node", "size", "fp").alias("o"), "r")
     stars = stars.where("o.node <> r.node").select(F.least("o", "r").alias("x"), F.greatest("o", "r").alias("y"))
     x, y = F.col("x.fp"), F.col("y.fp")
     fit = (F.least("x.size", "y.size") >= LEAST * F.greatest("x.size", "y.size")) & in_chain(x, y, RING, BITS)
