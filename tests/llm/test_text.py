@@ -2,7 +2,9 @@
 
 import hashlib
 import itertools
+import math
 import random
+import time
 import zlib
 
 import pytest
@@ -153,3 +155,75 @@ def test_pages(spark, sf):
     out = html_extract.extract_pages(rows).collect()
     assert sorted(r.n_chars for r in out) == [0, 0, 499_999]
     assert html_extract.extract_pages(rows.limit(0)).count() == 0
+
+
+PARAGRAPHS = (
+    "<p>The first paragraph of an article says something about the world, in a sentence.</p>"
+    "<p>The second one goes on about it for a while, and then it comes to an end.</p>"
+)
+AROUND = (
+    f'<nav><a href=x>A</a> <a href=y>Bcd</a></nav><aside>{PARAGRAPHS}</aside><div class="comments">{PARAGRAPHS * 10}</div>'
+    f'<div class="user-comment-list">{PARAGRAPHS}</div><form><label>Mail</label><p>Get our letters every week.</p></form>'
+    '<div class="cookie-banner">We use cookies to make this site work.</div><article class="comment"><p>I do not agree with this at all.</p></article>'
+)
+PAGES = [
+    '<body class="no-sidebar">%s</body>', '<div class="overflow-hidden">%s</div>', '<body class="menu-closed">%s</body>', '<div class="menu-closed">%s</div>',
+    '<article class="story-share post">%s</article>', '<main id="legal-news">%s</main>', "<body><form action=x>%s</form></body>",
+    '<div id="header"><main>%s</main></div>', '<div class="has-sidebar layout">%s</div>',
+]
+
+
+@pytest.mark.parametrize("page", PAGES)
+@pytest.mark.parametrize("around", ["", AROUND])
+def test_names_of_frames_do_not_delete_articles(page, around):
+    assert html_extract.main_text("<html>" + page % (PARAGRAPHS + around)).split("\n") == [p.removeprefix("<p>") for p in PARAGRAPHS.split("</p>")[:-1]]
+
+
+def test_the_cut_decides(sf):
+    import duckdb
+
+    pages = [h for (h,) in duckdb.sql(f"select html from '{sf}/pages.parquet' where html is not null").fetchall()]
+    differ = sum(html_extract.main_text(p) != html_extract.main_text(p, cut=False) for p in pages)
+    assert differ >= 0.9 * len(pages)
+
+
+def test_extraction_against_all_labellings():
+    page = '<div><p>A sentence that is long enough to be text of its own.</p><form><p>Short.</p><p>Some words, and more of them here.</p></form><div class="ad">Buy it now.</div></div>'
+    found, marks = html_extract.blocks(page)
+    price, n = html_extract.prices(marks), len(found)
+    best = {}
+    for labels in itertools.product((False, True), repeat=n + len(marks)):
+        kept, opened = labels[:n], labels[n:]
+        if any(k and b.mark >= 0 and not opened[b.mark] for k, b in zip(kept, found)) or any(o and m[1] >= 0 and not opened[m[1]] for o, m in zip(opened, marks)):
+            continue
+        cost = sum(math.log1p(math.exp(-b.evidence if k else b.evidence)) for k, b in zip(kept, found)) + sum(p for o, p in zip(opened, price) if o)
+        last = {}
+        for j, b in enumerate(found):
+            if j and kept[j] != kept[j - 1]:
+                cost += html_extract.ADJACENT + (html_extract.SIBLING if found[j - 1].parent == b.parent else 0)
+            i = last.get(b.parent)
+            cost += html_extract.KIN if i is not None and i < j - 1 and kept[i] != kept[j] else 0
+            last[b.parent] = j
+        best[kept] = min(cost, best.get(kept, cost))
+    want = min(best, key=best.get)
+    assert html_extract.main_text(page) == "\n".join(b.text for b, k in zip(found, want) if k)
+
+
+def test_markup_without_an_end():
+    text = "Hello there, this is a text that stands in a block."
+    assert html_extract.main_text(f"<p>{text}</p><!-- a > b c") == text
+    start = time.process_time()
+    html_extract.main_text("<div>" * 100_000 + "<p>x</p>" + "</span></section></ul>" * 100_000)
+    assert time.process_time() - start < 10  # quadratic time would be minutes
+
+
+def test_long_pieces_are_not_remembered():
+    codec, library = bpe.Codec(bpe.tokenizer_path()), Tokenizer.from_file(bpe.tokenizer_path())
+    text = "short " + "longword" * 5_000 + " <|endoftext|> short"
+    assert codec.ids(text) == library.encode(text, add_special_tokens=False).ids
+    assert max(map(len, codec.known)) <= bpe.LONGEST
+
+
+def test_clashing_columns_of_pages(spark):
+    rows = spark.createDataFrame([(1, "u", "<p>Some words, and more of them here.</p>", 5, "m")], "page_id long, url string, html string, n_chars int, text string")
+    assert html_extract.extract_pages(rows).columns == ["page_id", "url", "text", "n_chars"]
