@@ -203,11 +203,19 @@ def score_groups(pit: DataFrame, score: str, ret: str = "ret_10") -> DataFrame:
 
 
 def condition_base_rates(conditions: DataFrame) -> DataFrame:
-    """Per flag: frequency and rate blocks of every horizon over the rows where it holds."""
-    items = F.explode(F.array(*(F.struct(F.lit(f).alias("flag"), F.col(f).alias("on")) for f in FLAGS)))
+    """Per flag, and for the baseline (every row): frequency, rate blocks of every horizon over the rows where it holds, and
+    the lifts of the 10-bar hit rate and mean over the baseline's.
+
+    conditions: every bar with all its horizons after it whose entry can be filled.
+    """
+    named = [(f, F.col(f)) for f in FLAGS] + [("baseline", F.lit(True))]
+    items = F.explode(F.array(*(F.struct(F.lit(f).alias("flag"), on.alias("on")) for f, on in named)))
     rows = conditions.select(*(f"ret_{h}" for h in HORIZONS), items.alias("f")).select("*", "f.flag", "f.on")
     blocks = [c for h in HORIZONS for c in rate_block(F.when(F.col("on"), F.col(f"ret_{h}")), f"ret_{h}")]
-    return rows.groupBy("flag").agg((100 * F.avg(F.col("on").cast("double"))).alias("frequency"), *blocks)
+    rates = rows.groupBy("flag").agg((100 * F.avg(F.col("on").cast("double"))).alias("frequency"), *blocks)
+    # One row for each flag, so all of them fit a window.
+    base = lambda c: F.max(F.when(F.col("flag") == "baseline", F.col(c))).over(Window.partitionBy())
+    return rates.withColumns({f"lift_{c}": F.col(f"ret_10_{c}") - base(f"ret_10_{c}") for c in ("hit", "mean")})
 
 
 def significance_flags(groups: DataFrame, base_hit: float | Column) -> DataFrame:

@@ -223,7 +223,7 @@ def _(spark, d):
 
     gains = walked(spark, d).withColumn("gain", F.pow(F.col("baseline") - F.col("rebound"), 2) - F.pow(F.col("p") - F.col("rebound"), 2))
     gains = gains.withColumn("pos", F.row_number().over(Window.partitionBy("symbol").orderBy("pos")) - 1)
-    return rg.block_bootstrap(gains.select("symbol", "pos", "gain"), 1000)
+    return rg.block_bootstrap(gains.select("symbol", "pos", "gain"))
 
 
 MISSING = f"array_to_string(list_filter([{', '.join(f"case when {k} is null then '{k}' end" for k in rg.ICE_WEIGHTS)}], lambda x: x is not null), ',')"
@@ -391,9 +391,26 @@ def _(spark, d):
     return ev.score_groups(pit(spark, d), "kdj_j")
 
 
-@query("e18_condition_rates", f"{PIT} " + " union all ".join(f"select '{f}' as flag, 100*avg(case when {f} then 1e0 else 0e0 end) as frequency, {', '.join(rate_sql(f'(case when {f} then ret_{h} end)', f'ret_{h}') for h in ev.HORIZONS)} from pit" for f in ev.FLAGS), "frequency " + _RATES)
+#: Every bar, not only those of the as-of grid, whose entry can be filled.
+EVERY = f"{CONDITIONS}, every as materialized (select * from {GRID.replace('% 3 = 0', '% 1 = 0').format(RETURNS.format('fl'))} _p where fillable)"
+
+
+def _flag_sql(flag: str, holds: str) -> str:
+    blocks = ", ".join(rate_sql(f"(case when {holds} then ret_{h} end)", f"ret_{h}") for h in ev.HORIZONS)
+    return f"select '{flag}' as flag, 100*avg(case when {holds} then 1e0 else 0e0 end) as frequency, {blocks} from every"
+
+
+_FLAGS = " union all ".join([_flag_sql(f, f) for f in ev.FLAGS] + [_flag_sql("baseline", "true")])
+
+
+@query(
+    "e18_condition_rates",
+    f"{EVERY}, r as materialized ({_FLAGS}) select r.*, r.ret_10_hit - b.ret_10_hit as lift_hit, r.ret_10_mean - b.ret_10_mean as lift_mean from r, (select * from r where flag = 'baseline') b",
+    "frequency lift_hit lift_mean " + _RATES,
+)
 def _(spark, d):
-    return ev.condition_base_rates(pit(spark, d))
+    rows = ev.asof_grid(ev.horizon_returns(ev.entry_fill(flagged(spark, d), 1.5)), step=1)
+    return ev.condition_base_rates(rows.where("fillable"))
 
 
 @query("e19_significance", f"{PIT}, g as (select {SIGNAL} as signal, {rate_sql('ret_10', 'ret')} from pit group by 1), b as (select {rate_sql('ret_10', 'base')} from pit) select signal, ret_n, ret_low is null or base_hit between ret_low and ret_high as covers_base from g, b")
