@@ -237,23 +237,14 @@ def reliability_interval(latest_p: DataFrame, table: DataFrame) -> DataFrame:
     return latest_p.withColumn("bucket", reliability_bucket(F.col("p"))).join(table.select(KEY, "bucket", "n", "realised", "low", "high"), [KEY, "bucket"], "left")
 
 
-def weighted_isotonic(points: DataFrame, x: str = "bin", y: str = "value", weight: str = "weight") -> DataFrame:
-    """points of one curve with fitted: the weighted isotonic fit; points of weight 0 stay null."""
-    from pyspark.ml.regression import IsotonicRegression
-
-    used = points.where((F.col(weight) > 0) & F.col(y).isNotNull())
-    model = IsotonicRegression(featuresCol="_x", labelCol=y, weightCol=weight).fit(used.withColumn("_x", F.col(x).cast("double")))
-    fitted = model.transform(used.withColumn("_x", F.col(x).cast("double"))).select(x, F.col("prediction").alias("fitted"))
-    return points.join(fitted, x, "left")
-
-
 def isotonic_curves(points: DataFrame, key: str = KEY, x: str = "bin", y: str = "value", weight: str = "weight") -> DataFrame:
     """points of many short curves with fitted: each key's weighted isotonic fit; points of weight 0 or without a value stay null.
 
-    A pool-adjacent-violators fold over the key's sorted points: a new block takes in the blocks before it that are larger.
+    Points of a key that share an x are one point with their weights added, and get one fit. A pool-adjacent-violators fold over the key's sorted points: a new block takes in the blocks before it that are larger.
     """
     used = points.where((F.col(weight) > 0) & F.col(y).isNotNull())
-    row = F.struct(F.col(x).alias("x"), (F.col(y) * F.col(weight)).cast("double").alias("s"), F.col(weight).cast("double").alias("w"))
+    used = used.groupBy(key, F.col(x).alias("_x")).agg(F.sum((F.col(y) * F.col(weight)).cast("double")).alias("_s"), F.sum(F.col(weight).cast("double")).alias("_w"))
+    row = F.struct(F.col("_x").alias("x"), F.col("_s").alias("s"), F.col("_w").alias("w"))
     rows = used.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("_p"))
     # Blocks are walked from the last one: while its mean is larger than the new block's, it is taken in.
     blocks = """aggregate(_p, cast(array() as array<struct<s: double, w: double, xs: array<double>>>), (done, q) ->

@@ -25,6 +25,12 @@ def test_curves(spark):
     assert got == want | {(50, 0): None, (0, 9): None}
 
 
+def test_points_that_share_a_place(spark):
+    rows = [(1, 0, 0.9, 1.0), (1, 0, 0.1, 3.0), (1, 1, 0.2, 4.0), (1, 1, 0.2, 4.0)]
+    got = regime.isotonic_curves(spark.createDataFrame(rows, "symbol int, bin int, value double, weight double")).collect()
+    assert sorted((r.bin, round(r.fitted, 9)) for r in got) == [(0, round(2.8 / 12, 9))] * 2 + [(1, round(2.8 / 12, 9))] * 2
+
+
 def test_query_fits_every_symbol(spark, sf):
     rows = catalog.QUERIES["p10_isotonic"](spark, sf).where(F.col("fitted").isNotNull())
     assert {r.symbol for r in rows.select("symbol").distinct().collect()} == set(range(5))
