@@ -233,12 +233,12 @@ def eligibility(tags: DataFrame, weekly_tags: DataFrame, least: int = WARMUP + m
 SLICE = 1_000_000
 
 
-def asof_slices(bars: DataFrame, lookback: int | None = None, warmup: int = WARMUP, step: int = STEP, longest: int = max(HORIZONS)) -> DataFrame:
-    """What each as-of point may know: all bars up to it, as a series of its own with symbol = symbol * SLICE + t.
+def asof_slices(bars: DataFrame, lookback: int | None = WARMUP, warmup: int = WARMUP, step: int = 20, longest: int = max(HORIZONS)) -> DataFrame:
+    """What each as-of point may know: its last `lookback` bars (None: all up to it), as a series with symbol = symbol * SLICE + t.
 
     Every operator then works on the slices as on any other series, and can't look ahead. A bar is copied, with no join,
-    into each slice that holds it: (length of the series - its place) / step of them, or lookback / step if only the last
-    `lookback` bars are wanted. A series of SLICE bars or more raises an error.
+    into each slice that holds it: lookback / step of them, or without a lookback (length of the series - its place) / step.
+    A series of SLICE bars or more raises an error.
     """
     n = F.count(F.lit(1)).over(Window.partitionBy(KEY))
     rows = bars.withColumns({"_t": position(), "_n": n}).where(F.col("_n") >= warmup + longest + 2)
