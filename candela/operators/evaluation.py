@@ -101,13 +101,25 @@ def stop_sweep(entries: DataFrame, limit: float, cost: float = COST) -> DataFram
     return rows.select(KEY, "t", "date", F.col("_v.variant").alias("variant"), "horizon", ret.alias("ret"), F.col("_x.hit").alias("hit"))
 
 
-def sweep_report(swept: DataFrame) -> DataFrame:
-    """Per variant and horizon: rate block, censored rows, share of stops among the sold, 5 % quantile and deviation."""
+def sweep_report(swept: DataFrame, entries: DataFrame) -> DataFrame:
+    """Per variant and horizon: rate block, censored rows, share of stops among the sold, 5 % quantile, deviation, and the
+    mean against no stop; atr_pct is the median ATR of all entries in percent of the close.
+
+    The variant none holds the returns at fixed horizons, which aren't sales: its censored is null. entries: close, atr, ret_h.
+    """
+    flat = F.explode(F.array(*(F.struct(F.lit(h).alias("horizon"), F.col(f"ret_{h}").alias("ret")) for h in SWEEP_HORIZONS)))
+    none = entries.select(F.lit("none").alias("variant"), flat.alias("_r")).select("variant", "_r.*", F.lit(False).alias("hit"))
     sold = F.col("ret").isNotNull()
-    return swept.groupBy("variant", "horizon").agg(
+    rates = swept.select("variant", "horizon", "ret", "hit").unionByName(none).groupBy("variant", "horizon").agg(
         *rate_block(F.col("ret"), "ret"), F.count_if(~sold).alias("censored"), (100 * F.avg(F.when(sold, F.col("hit").cast("double")))).alias("stop_hit"),
         F.percentile("ret", F.lit(0.05)).alias("q05"), F.stddev_samp("ret").alias("std"),
     )
+    is_none = F.col("variant") == "none"
+    # A row for each variant and horizon, so these fit a window.
+    base = F.max(F.when(is_none, F.col("ret_mean"))).over(Window.partitionBy("horizon"))
+    typical = entries.where("atr > 0").agg(F.median(rounded(F.col("atr") / F.col("close") * 100, 2)).alias("atr_pct"))  # one row
+    rates = rates.withColumns({"vs_none": F.col("ret_mean") - base, "censored": F.when(~is_none, F.col("censored"))})
+    return rates.crossJoin(F.broadcast(typical))
 
 
 def condition_flags(frame: DataFrame) -> DataFrame:
@@ -125,8 +137,17 @@ def condition_flags(frame: DataFrame) -> DataFrame:
 
 
 def baseline(pit: DataFrame) -> DataFrame:
-    """One row: rate blocks of every horizon and the share of entries that can't be filled."""
-    blocks = [c for h in HORIZONS for c in rate_block(F.col(f"ret_{h}"), f"ret_{h}")]
+    """One row: rate blocks of every horizon and the share of entries that can't be filled.
+
+    Where pit has excess_h, also their blocks; where it has path_ret and stop_loss, how many plans that could be entered were
+    completed, censored, or not evaluated for want of a stop.
+    """
+    names = [f"{k}_{h}" for k in ("ret", "excess") for h in HORIZONS if f"{k}_{h}" in pit.columns]
+    blocks = [c for x in names for c in rate_block(F.col(x), x)]
+    if "path_ret" in pit.columns:
+        stops, sold = F.col("stop_loss").isNotNull(), F.col("path_ret").isNotNull()
+        counts = {"completed": stops & sold, "censored": stops & ~sold, "not_evaluated": ~stops}
+        blocks += [F.count_if(F.col("fillable") & on).alias(c) for c, on in counts.items()]
     return pit.agg(F.count(F.lit(1)).alias("points"), (100 * F.avg((~F.col("fillable")).cast("double"))).alias("unfillable_pct"), *blocks)
 
 
@@ -138,6 +159,19 @@ def by_group(pit: DataFrame, group: str, horizon: int = 10) -> DataFrame:
     return out.select(group, *(f"ret_{c}" for c in ("n", "hit", "low", "high", "mean", "median", "pf")), (F.col("ret_hit") - F.col("base_hit")).alias("lift_hit"), (F.col("ret_mean") - F.col("base_mean")).alias("lift_mean"), (100 * F.col("ret_n") / F.col("base_n")).alias("share"))
 
 
+def by_signal(pit: DataFrame) -> DataFrame:
+    """Entries that can be filled by trade signal: rate blocks of every horizon, of the 10-bar excess and of the plan's path,
+    the share sold by a stop, the base hit rate of all of them, the lifts over it and over their mean, and the share of rows.
+    """
+    rows = pit.where("fillable")
+    base = rows.agg(F.count(F.lit(1)).alias("_all"), *rate_block(F.col("ret_10"), "base")).select("_all", "base_hit", "base_mean")
+    blocks = [c for x in (*(f"ret_{h}" for h in HORIZONS), "excess_10", "path_ret") for c in rate_block(F.col(x), x)]
+    stop = 100 * F.avg(F.when(F.col("path_ret").isNotNull(), F.col("path_hit").cast("double")))
+    out = rows.groupBy("signal").agg(F.count(F.lit(1)).alias("_n"), *blocks, stop.alias("stop_hit")).crossJoin(F.broadcast(base))  # one row
+    out = out.withColumns({f"lift_{c}": F.col(f"ret_10_{c}") - F.col(f"base_{c}") for c in ("hit", "mean")})
+    return out.withColumn("share", 100 * F.col("_n") / F.col("_all")).drop("_n", "_all", "base_mean")
+
+
 def pooled_rank(df: DataFrame, by: str, x: str, name: str) -> DataFrame:
     """df with name: the rank of x (not null) within by, ties averaged, however many rows one value of by has.
 
@@ -153,40 +187,53 @@ def pooled_rank(df: DataFrame, by: str, x: str, name: str) -> DataFrame:
     return df.join(ranks.select(by, x, (F.col("_before") + F.col("_in") + (F.col("_n") + 1) / 2).alias(name)), [by, x])
 
 
-def rank_ic(pit: DataFrame, scores: list[str], ret: str = "ret_10", least_rows: int = 8, least_days: int = 5) -> DataFrame:
-    """Per score: pooled Spearman correlation with the return, and the daily ones' mean, deviation, t value and days."""
+def spearman(ranked: DataFrame, least: int, *by: str) -> DataFrame:
+    """n and ic, the correlation of _rx and _ry, of each group; null under `least` rows or where all ranks are equal."""
+    ic = F.covar_pop("_rx", "_ry") / F.nullif(F.stddev_pop("_rx") * F.stddev_pop("_ry"), F.lit(0.0))
+    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= least, ic).alias("ic"))
+
+
+def pooled_spearman(rows: DataFrame, least: int = 5) -> DataFrame:
+    """n and ic of x and y (neither null) over all rows of each score: ranks come from counts of values in range partitions."""
+    return spearman(pooled_rank(pooled_rank(rows, "score", "x", "_rx"), "score", "y", "_ry"), least, "score")
+
+
+def rank_ic(pit: DataFrame, scores: list[str], ret: str = "ret_10", least_rows: int = 8, least_days: int = 5, excess: str | None = None) -> DataFrame:
+    """Per score: rows and pooled Spearman correlation with the return (and with the excess, if named), and the daily ones'
+    mean, deviation, their ratio, t value and days."""
     items = F.explode(F.array(*(F.struct(F.lit(s).alias("score"), F.col(s).cast("double").alias("x")) for s in scores)))
-    rows = pit.select("date", F.col(ret).alias("y"), items.alias("s")).select("date", "y", "s.*").where(F.col("x").isNotNull() & F.col("y").isNotNull())
 
-    def spearman(ranked: DataFrame, least: int, *by: str) -> DataFrame:
-        # Ranks that are all equal have no deviation, so fewer than two values give null.
-        ic = F.covar_pop("_rx", "_ry") / F.nullif(F.stddev_pop("_rx") * F.stddev_pop("_ry"), F.lit(0.0))
-        return ranked.groupBy(*by).agg(F.when(F.count(F.lit(1)) >= least, ic).alias("ic"))
+    def melted(y: str) -> DataFrame:
+        return pit.select("date", F.col(y).alias("y"), items.alias("s")).select("date", "y", "s.*").where(F.col("x").isNotNull() & F.col("y").isNotNull())
 
-    # A score has all rows of the table, so its ranks come from counts of values in range partitions; a day's fit a window.
-    pooled = spearman(pooled_rank(pooled_rank(rows, "score", "x", "_rx"), "score", "y", "_ry"), 5, "score").withColumnRenamed("ic", "pooled_ic")
+    rows = melted(ret)
+    out = pooled_spearman(rows).withColumnRenamed("ic", "pooled_ic")
+    if excess:
+        out = out.join(pooled_spearman(melted(excess)).select("score", F.col("ic").alias("pooled_excess_ic")), "score", "left")
+    # A day's rows fit a window.
     by_day = rows.withColumns({"_rx": average_rank(F.col("x"), "score", "date"), "_ry": average_rank(F.col("y"), "score", "date")})
     daily = spearman(by_day, least_rows, "score", "date").where(F.col("ic").isNotNull())
-    days = F.count(F.lit(1))
-    t = F.avg("ic") / F.nullif(F.stddev_samp("ic"), F.lit(0.0)) * F.sqrt(days)
-    daily = daily.groupBy("score").agg(days.alias("days"), F.when(days >= least_days, F.avg("ic")).alias("mean_ic"), F.when(days >= least_days, F.stddev_samp("ic")).alias("std_ic"), F.when(days >= least_days, t).alias("t"))
-    return pooled.join(daily, "score", "left").withColumn("days", F.coalesce("days", F.lit(0).cast("long")))
+    days, mean, std = F.count(F.lit(1)), F.avg("ic"), F.stddev_samp("ic")
+    ratio = mean / F.nullif(std, F.lit(0.0))
+    found = {"mean_ic": mean, "std_ic": std, "icir": ratio, "t": ratio * F.sqrt(days)}
+    daily = daily.groupBy("score").agg(days.alias("days"), *(F.when(days >= least_days, v).alias(k) for k, v in found.items()))
+    return out.join(daily, "score", "left").withColumn("days", F.coalesce("days", F.lit(0).cast("long")))
 
 
-def score_quintiles(pit: DataFrame, score: str, ret: str = "ret_10") -> DataFrame:
-    """Rate blocks of five equal buckets of the score, ties broken by date and symbol.
+def score_quintiles(pit: DataFrame, score: str, ret: str = "ret_10", excess: str | None = None) -> DataFrame:
+    """Rate blocks of five equal buckets of the score, ties broken by date and symbol; mean_excess if an excess is named.
 
     All rows of the score are ordered at once: a global rank, by a range sort and counts of the parts before. The parts are
     fixed once, as counts and ranks must come from the same ones and a second range exchange may cut elsewhere.
     """
-    rows = pit.where(F.col(score).isNotNull() & F.col(ret).isNotNull()).select(KEY, "date", F.col(score).alias("x"), F.col(ret).alias("y"))
+    rows = pit.where(F.col(score).isNotNull() & F.col(ret).isNotNull()).select(KEY, "date", F.col(score).alias("x"), F.col(ret).alias("y"), *([F.col(excess).alias("z")] if excess else []))
     ordered = rows.repartitionByRange("x", "date", KEY).sortWithinPartitions("x", "date", KEY).withColumn("_at", F.spark_partition_id())
     ordered = stored(ordered.withColumn("_in", F.row_number().over(Window.partitionBy("_at").orderBy("x", "date", KEY))), "ordered")
     parts = ordered.groupBy("_at").agg(F.count(F.lit(1)).alias("_n"))
     before = parts.select("_at", F.coalesce(F.sum("_n").over(Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
     ranked = ordered.join(F.broadcast(before), "_at").withColumn("_r", F.col("_before") + F.col("_in"))  # a row a partition
     bucket = F.greatest(F.lit(1), F.ceil((F.col("_r") - 1) * 5 / F.nullif(F.col("_all") - 1, F.lit(0)))).cast("int")
-    return ranked.groupBy(F.coalesce(bucket, F.lit(1)).alias("quintile")).agg(*rate_block(F.col("y"), "ret"), F.min("x").alias("from_score"), F.max("x").alias("to_score"))
+    return ranked.groupBy(F.coalesce(bucket, F.lit(1)).alias("quintile")).agg(*rate_block(F.col("y"), "ret"), F.min("x").alias("from_score"), F.max("x").alias("to_score"), *([F.avg("z").alias("mean_excess")] if excess else []))
 
 
 def score_group(score: Column) -> Column:
@@ -198,8 +245,9 @@ def score_group(score: Column) -> Column:
 
 
 def score_groups(pit: DataFrame, score: str, ret: str = "ret_10") -> DataFrame:
+    """Rate blocks of entries by their score's group, and its mean there."""
     rows = pit.withColumn("group", score_group(F.col(score))).where(F.col("group").isNotNull())
-    return rows.groupBy("group").agg(*rate_block(F.col(ret), "ret"))
+    return rows.groupBy("group").agg(*rate_block(F.col(ret), "ret"), F.avg(F.when(F.col(ret).isNotNull(), F.col(score))).alias("score_mean"))
 
 
 def condition_base_rates(conditions: DataFrame) -> DataFrame:
@@ -224,6 +272,14 @@ def significance_flags(groups: DataFrame, base_hit: float | Column) -> DataFrame
     return groups.withColumn("covers_base", F.col("ret_low").isNull() | base.between(F.col("ret_low"), F.col("ret_high")))
 
 
+def doubtful(signals: DataFrame, ics: DataFrame) -> DataFrame:
+    """What can't be told from chance (kind, name, value): signals whose interval of the 10-bar hit rate holds the base rate,
+    and scores whose daily correlations have |t| under 2. signals: of by_signal; ics: of rank_ic."""
+    covered = signals.where(F.col("base_hit").between(F.col("ret_10_low"), F.col("ret_10_high")))
+    weak = ics.where(F.abs("t") < 2)
+    return covered.select(F.lit("signal").alias("kind"), F.col("signal").alias("name"), F.col("ret_10_hit").alias("value")).unionByName(weak.select(F.lit("score").alias("kind"), F.col("score").alias("name"), F.col("t").alias("value")))
+
+
 def eligibility(tags: DataFrame, weekly_tags: DataFrame, least: int = WARMUP + max(HORIZONS) + 2) -> DataFrame:
     """One row a symbol: the adjustment gate and the length; tags need bars."""
     return adjustment_gate(tags, weekly_tags).join(tags.select(KEY, "bars"), KEY).withColumn("evaluated", F.col("eligible") & (F.col("bars") >= least))
@@ -252,14 +308,14 @@ def asof_slices(bars: DataFrame, lookback: int | None = WARMUP, warmup: int = WA
     return rows.withColumn(KEY, key).drop("_t", "_n", "_k")
 
 
-def point_in_time(analysed: DataFrame, bars: DataFrame, limit: float, horizon: int = 10, cost: float = COST) -> DataFrame:
-    """Analysed slices (columns of scoring.score_all) with their later returns, and the plan's executable exit.
+def point_in_time(analysed: DataFrame, bars: DataFrame, limit: float, horizon: int = 10, cost: float = COST, index: DataFrame | None = None) -> DataFrame:
+    """Analysed slices (columns of scoring.score_all) with their later returns (excess ones too, with an index), and the plan's executable exit.
 
     path_ret and path_hit: return in percent and stop of a sale by the plan's stop or after `horizon` bars.
     """
     t, symbol = F.col(KEY) % SLICE, F.floor(F.col(KEY) / SLICE)
     state = analysed.drop("date", "open", "high", "low", "close", "volume", "amount").withColumns({"t": t.cast("int"), KEY: symbol.cast("long")})
-    later = horizon_returns(entry_fill(forward_path(bars), limit)).withColumn("t", position())
+    later = horizon_returns(entry_fill(forward_path(bars), limit).withColumn("t", position()), index)
     out = later.withColumn(KEY, F.col(KEY).cast("long")).join(state, [KEY, "t"])
     out = out.withColumn("_x", executable_exit(F.col("path"), F.col("stop_loss"), horizon, limit)).drop("path")
     ret = F.when(F.col("fillable"), rounded((F.col("_x.price") - F.col("entry")) / F.col("entry") * 100 - cost, 2))
@@ -293,8 +349,10 @@ def rr_groups(pit: DataFrame) -> DataFrame:
 
 
 def insample_validity(pit: DataFrame, least: int = 30) -> DataFrame:
-    """Realised rate blocks by the in-sample win rate (column win_10); none at all under `least` rows with one."""
+    """Realised rate blocks by the in-sample win rate (column win_10) with its mean, and the pooled correlation of it with the
+    return over all of them; none at all under `least` rows with one."""
     rows = pit.where(F.col("win_10").isNotNull() & F.col("ret_10").isNotNull())
-    enough = rows.agg((F.count(F.lit(1)) >= least).alias("_ok"))  # one row
-    rows = rows.crossJoin(F.broadcast(enough)).where("_ok").withColumn("group", bin_label(F.col("win_10"), (-1, 50, 60, 70, 101)))
-    return rows.groupBy("group").agg(*rate_block(F.col("ret_10"), "ret"))
+    whole = pooled_spearman(rows.select(F.lit("win_10").alias("score"), F.col("win_10").cast("double").alias("x"), F.col("ret_10").alias("y")))
+    enough = whole.where(F.col("n") >= least).select(F.col("ic").alias("pooled_ic"))  # one row or none
+    rows = rows.withColumn("group", bin_label(F.col("win_10"), (-1, 50, 60, 70, 101)))
+    return rows.groupBy("group").agg(*rate_block(F.col("ret_10"), "ret"), F.avg("win_10").alias("pred_mean")).crossJoin(F.broadcast(enough))

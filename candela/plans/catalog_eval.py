@@ -289,8 +289,8 @@ BX = f"with recursive bars as materialized ({DAILY})"
 
 
 def entries(spark, d):
-    frame = ev.forward_path(ind.atr(ev.entry_fill(daily(spark, d), 1.5)))
-    return ev.asof_grid(frame).where("fillable").select("symbol", "t", "date", "entry", "atr", "path")
+    frame = ev.forward_path(ind.atr(ev.horizon_returns(ev.entry_fill(daily(spark, d), 1.5))))
+    return ev.asof_grid(frame).where("fillable").select("symbol", "t", "date", "close", "entry", "atr", "path", "ret_10", "ret_20")
 
 
 @query("e5_exit", f"{BX}, {_sweep_sql(ONE, '(select 10 as h) hh')} select symbol, t, ret, hit from sold")
@@ -314,9 +314,19 @@ def _(spark, d):
     return sweep(spark, d)
 
 
-@query("e16_sweep_report", f"{SWEEP} select variant, horizon, {rate_sql('ret', 'ret')}, count(*) - count(ret) as censored, 100*avg(case when ret is not null then case when hit then 1e0 else 0e0 end end) as stop_hit, quantile_cont(ret, 0.05) as q05, stddev_samp(ret) as std from sold group by all", rate_columns("ret") + " stop_hit q05 std")
+_FILLED = f"{GRID.format(RETURNS.format('bars'))} f"
+NO_STOP = f"""al as (select variant, horizon, ret, hit from sold union all select 'none', h, ret, false from (select unnest([10, 20]) as h, unnest([ret_10, ret_20]) as ret from {_FILLED} where fillable) _u),
+ap as (select median(x) as atr_pct from (select {portable('round(atr/close*100, 2)')} as x from {_FILLED} join (select symbol, date, atr from {ATR} _a) a using (symbol, date) where fillable and atr > 0) _m),
+rp as (select variant, horizon, {rate_sql('ret', 'ret')}, case when variant <> 'none' then count(*) - count(ret) end as censored, 100*avg(case when ret is not null then case when hit then 1e0 else 0e0 end end) as stop_hit, quantile_cont(ret, 0.05) as q05, stddev_samp(ret) as std from al group by variant, horizon)"""
+
+
+@query(
+    "e16_sweep_report",
+    f"{SWEEP}, {NO_STOP} select rp.*, ret_mean - max(case when variant = 'none' then ret_mean end) over (partition by horizon) as vs_none, atr_pct from rp, ap",
+    rate_columns("ret") + " stop_hit q05 std vs_none atr_pct",
+)
 def _(spark, d):
-    return ev.sweep_report(sweep(spark, d))
+    return ev.sweep_report(sweep(spark, d), entries(spark, d))
 
 
 CONDITIONS = f"""{BR}, fr as materialized (select c.*, ma_20, ma_60, ma_120, boll_lower, vol_ratio, kdj_j, hist, rsi_6, lag(hist) over (partition by symbol order by c.date) as hist_before from (select * from {CHANGE} _c) c join (select symbol, date, {SMA} from bars) m using (symbol, date)
@@ -374,9 +384,9 @@ def _ranks(by: str) -> str:
 
 
 @query("e11_rank_ic", f"""{PIT}, m as (select 'kdj_j' as score, date, round(kdj_j, 6) as x, ret_10 as y from pit where kdj_j is not null and ret_10 is not null union all select 'rsi_6', date, round(rsi_6, 6), ret_10 from pit where rsi_6 is not null and ret_10 is not null),
-po as (select score, case when count(*) >= 5 then corr(rx, ry) end as pooled_ic from (select *, {_ranks('score')} from m) _p group by score),
+po as (select score, count(*) as n, case when count(*) >= 5 then corr(rx, ry) end as pooled_ic from (select *, {_ranks('score')} from m) _p group by score),
 da as (select score, date, case when count(*) >= 8 and count(distinct x) >= 2 and count(distinct y) >= 2 then corr(rx, ry) end as ic from (select *, {_ranks('score, date')} from m) _d group by score, date)
-select score, max(pooled_ic) as pooled_ic, count(ic) as days, case when count(ic) >= 5 then avg(ic) end as mean_ic, case when count(ic) >= 5 then stddev_samp(ic) end as std_ic, case when count(ic) >= 5 then avg(ic)/stddev_samp(ic)*sqrt(count(ic)) end as t from po left join (select * from da where ic is not null) da using (score) group by score""", "pooled_ic mean_ic std_ic t")
+select score, max(n) as n, max(pooled_ic) as pooled_ic, count(ic) as days, case when count(ic) >= 5 then avg(ic) end as mean_ic, case when count(ic) >= 5 then stddev_samp(ic) end as std_ic, case when count(ic) >= 5 then avg(ic)/stddev_samp(ic) end as icir, case when count(ic) >= 5 then avg(ic)/stddev_samp(ic)*sqrt(count(ic)) end as t from po left join (select * from da where ic is not null) da using (score) group by score""", "pooled_ic mean_ic std_ic icir t")
 def _(spark, d):
     return ev.rank_ic(pit(spark, d).withColumns({c: F.round(c, 6) for c in ("kdj_j", "rsi_6")}), ["kdj_j", "rsi_6"])
 
@@ -386,7 +396,7 @@ def _(spark, d):
     return ev.score_quintiles(pit(spark, d).withColumn("kdj_j", F.round("kdj_j", 6)), "kdj_j")
 
 
-@query("e13_groups", f"{PIT} select case when kdj_j < 40 then '0-40' when kdj_j < 50 then '40-50' when kdj_j < 60 then '50-60' when kdj_j < 70 then '60-70' when kdj_j < 80 then '70-80' else '80-101' end as \"group\", {rate_sql('ret_10', 'ret')} from pit where kdj_j >= 0 and kdj_j < 101 group by 1", rate_columns("ret"))
+@query("e13_groups", f"{PIT} select case when kdj_j < 40 then '0-40' when kdj_j < 50 then '40-50' when kdj_j < 60 then '50-60' when kdj_j < 70 then '60-70' when kdj_j < 80 then '70-80' else '80-101' end as \"group\", {rate_sql('ret_10', 'ret')}, avg(case when ret_10 is not null then kdj_j end) as score_mean from pit where kdj_j >= 0 and kdj_j < 101 group by 1", rate_columns("ret") + " score_mean")
 def _(spark, d):
     return ev.score_groups(pit(spark, d), "kdj_j")
 
