@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from candela.llm import ann, bpe, exact_dedup, html_extract, mixing, quality, sharding, simhash, token_counts, warc
+from candela.llm import ann, bpe, exact_dedup, html_extract, line_rules, mixing, quality, sharding, simhash, token_counts, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_html": html_extract.op9_html,
     "op10_neighbours": ann.op10_neighbours,
+    "op11_line_rules": line_rules.op11_line_rules,
 }
 
 ORACLE_SQL = {
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op3_warc": warc.OP3_SQL,
     "op5_sharding": sharding.OP5_SQL,
+    "op11_line_rules": line_rules.OP11_SQL,
 }
