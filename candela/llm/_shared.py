@@ -76,13 +76,13 @@ def maybe_in(df: DataFrame, hashed: Column, filter_: DataFrame, bits: int, flag:
     return out.withColumn(flag, held[0] & held[1]).drop(*(f"_bf_{x}{i}" for i in (0, 1) for x in ("bucket", "bits", "cell")), "_bf_hash")
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, weight: str, how: str = "left") -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, weight: str, how: str = "left", parts: int = HOT_PARTS) -> DataFrame:
     """rows joined with groups (one row a key; weight: how many of the rows have it), whatever the skew.
 
-    Keys with over 1/HOT_PARTS of the rows are HOT_PARTS at most, so they are broadcast; the others are shuffled.
+    Keys with over 1/parts of the weight are parts at most, so they are broadcast; the others are shuffled.
     """
     total = groups.agg(F.sum(weight)).head()[0] or 0
-    floor = max(2, total // HOT_PARTS + 1)
+    floor = max(2, total // parts + 1)
     hot = F.broadcast(groups.where(F.col(weight) >= floor))
     rest = rows.join(hot.select(key), key, "left_anti").join(groups.where(F.col(weight) < floor), key, how)
     return rows.join(hot, key).unionByName(rest)

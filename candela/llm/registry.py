@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from candela.llm import ann, bpe, exact_dedup, html_extract, line_rules, mixing, quality, sharding, simhash, token_counts, warc
+from candela.llm import alignment, ann, bpe, exact_dedup, html_extract, line_rules, mixing, quality, sharding, simhash, token_counts, warc, whitening
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_html": html_extract.op9_html,
     "op10_neighbours": ann.op10_neighbours,
     "op11_line_rules": line_rules.op11_line_rules,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_alignment": alignment.op13_alignment,
 }
 
 ORACLE_SQL = {
