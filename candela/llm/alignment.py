@@ -7,6 +7,7 @@ into ranges that other tasks encode, and a tree of bounded groups puts its fragm
 
 A range is encoded within the words that reach into it. Both tokenizers end a token before a space between two other
 characters (the first one's pattern, and no piece of the second crosses it), so text may be cut there before encoding.
+Within a word they both do so between a letter and a mark that no piece of the second joins, and around line ends.
 """
 
 from __future__ import annotations
@@ -15,9 +16,9 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache, reduce
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -30,7 +31,7 @@ from candela.llm._shared import join_groups, ship, stored
 from candela.llm.bpe import _byte_letters
 
 #: Bytes of a range; fragments that one task composes; words remembered by a worker, twice at most, those up to LONGEST.
-RANGE_BYTES, FAN_IN, MEMORY, LONGEST = 1 << 16, 16, 1 << 16, 64
+RANGE_BYTES, FAN_IN, MEMORY, LONGEST = 1 << 16, 16, 1 << 18, 64
 #: A pair of ids is one long: B's id in the low bits.
 LOW = 24
 #: Pairs that hold over 1/HOT_PAIRS of all links, so HOT_PAIRS of them at most, are broadcast; the others are shuffled.
@@ -38,16 +39,20 @@ HOT_PAIRS = 1 << 16
 #: Not beside a space to cut at: white space to either tokenizer or to Python.
 BESIDE = "[^\\s\u2581\u180e\u200b\ufeff]"
 CUT = re.compile(f"(?<={BESIDE}) (?={BESIDE})")
+#: Letters to every version of Unicode, marks that may be cut off behind one, and the first tokenizer's pattern (fixed values).
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?|*&#$%\"'’)"
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PLAIN = re.compile(f" [{LETTERS}]+")
 
 
 class Piece(NamedTuple):
-    """A word with the space before it, aligned."""
+    """A word with the space before it, aligned; links: a long for each, as bytes."""
 
     sound: bool
     n_a: int
     n_b: int
     groups: str
-    links: list[int]
+    links: bytes
 
 
 class Fragment(NamedTuple):
@@ -63,6 +68,18 @@ def written(a: list[int], b: list[int]) -> str:
     return ",".join(map(str, a)) + "|" + ",".join(map(str, b))
 
 
+UNSOUND = Piece(False, 0, 0, "", b"")
+
+
+def joined(parts: list[Piece]) -> Piece:
+    """The piece of a word from those of its parts."""
+    if len(parts) == 1:
+        return parts[0]
+    if not all(p.sound for p in parts):
+        return UNSOUND
+    return Piece(True, sum(p.n_a for p in parts), sum(p.n_b for p in parts), ";".join([p.groups for p in parts]), b"".join([p.links for p in parts]))
+
+
 def compose(left: Fragment, right: Fragment) -> Fragment:
     """The fragment of two neighbouring ranges. Associative."""
     join = lambda x, y: (x[0] + y[0], x[1] + y[1])
@@ -80,6 +97,7 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str, memory: int = MEMORY):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a, self.b = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
@@ -90,19 +108,29 @@ class Aligner:
         with open(path_a, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
         self.bytes_a = {i: bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode() for t, i in vocab.items()}
+        specials = {c["content"] for c in json.loads(self.a.to_str())["added_tokens"]}
+        # Ids are merge ranks in this format, so the same vocabulary serves the faster encoder of plain words.
+        ranks = {self.bytes_a[i]: i for t, i in vocab.items() if t not in specials}
+        self.plain_a = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         pieces = [(i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
         self.bytes_b = {i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces}
-        self.cuttable = not any(re.search("[^▁]▁", p) for _, p in pieces)
-        self.memory, self.known, self.older = memory, {}, {}
+        texts = [p for i, p in pieces if not self.b.is_byte(i)]
+        self.cuttable = not any(re.search("[^▁]▁|[\n]", p) for p in texts)
+        free = re.escape("".join(m for m in MARKS if not any(re.search(f"[{LETTERS}]{re.escape(m)}", p) for p in texts)))
+        self.within = re.compile(f"(?<=[{LETTERS}])(?=[{free}\n])|(?<={BESIDE})(?=\n)|(?<=\n)(?={BESIDE})")
+        self.line_end = self.b.encode("\n")
+        self.memory, self.known, self.older, self.parts = memory, {}, {}, {}
 
     def words(self, text: str) -> list[str]:
         """The text cut where both tokenizers end a token before a space; those spaces are left out."""
         return CUT.split(text) if self.cuttable else [text]
 
-    def tokens(self, words: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids of each word with a space before it, by both."""
-        a = self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)
-        return list(zip((e.ids for e in a), self.b.encode(words, num_threads=1)))
+    def tokens(self, parts: list[str]) -> list[tuple[list[int], list[int]]]:
+        """Ids of each part by both. A part starts with its space, or behind a cut within a word."""
+        a = self.a.encode_batch_fast(parts, add_special_tokens=False)
+        # The second tokenizer sets a space before each text; parts without one come behind a line end, whose ids go.
+        b = self.b.encode([p[1:] if p[0] == " " else "\n" + p for p in parts], num_threads=1)
+        return [(x.ids, y if p[0] == " " else y[len(self.line_end) :]) for p, x, y in zip(parts, a, b)]
 
     def aligned(self, a: list[int], b: list[int]) -> Iterator[tuple[list[int], list[int]]]:
         """(A ids, B ids) of each group; tokens after the last common end are left out."""
@@ -118,24 +146,64 @@ class Aligner:
                 yield a[from_a:i], b[from_b:j]
                 from_a, from_b = i, j
 
-    def sound(self, word: str, a: list[int], b: list[int]) -> bool:
-        want = (" " + word).encode()
-        return b"".join([self.bytes_a[i] for i in a]) == want and b"".join([self.bytes_b[i] for i in b]) == want
-
-    def piece(self, word: str, a: list[int], b: list[int]) -> Piece:
-        if not self.sound(word, a, b):
-            return Piece(False, 0, 0, "", [])
+    def piece(self, part: str, a: list[int], b: list[int]) -> Piece:
+        want = part.encode()
+        if b"".join([self.bytes_a[i] for i in a]) != want or b"".join([self.bytes_b[i] for i in b]) != want:
+            return UNSOUND
         groups = list(self.aligned(a, b))
-        return Piece(True, len(a), len(b), ";".join([written(x, y) for x, y in groups]), [x[-1] << LOW | y[-1] for x, y in groups])
+        return Piece(True, len(a), len(b), ";".join([written(x, y) for x, y in groups]), array("q", [x[-1] << LOW | y[-1] for x, y in groups]).tobytes())
+
+    def plain_pieces(self, parts: list[str]) -> list[Piece]:
+        """As piece(), of parts that are a space and letters: encoded in a row, as both tokenizers cut between them."""
+        whole = "".join(parts)
+        a, b = self.plain_a.encode_ordinary(whole), self.b.encode(whole[1:], num_threads=1)
+        bytes_a, bytes_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
+        if b"".join(bytes_a) != (want := whole.encode()) or b"".join(bytes_b) != want:
+            return [self.piece(p, x, y) for p, (x, y) in zip(parts, self.tokens(parts))]
+        digits_a, digits_b = list(map(str, a)), list(map(str, b))
+        out, i, j = [], 0, 0
+        for p in parts:
+            left_a = left_b = len(p.encode())
+            first_a, first_b, from_a, from_b, groups, links = i, j, i, j, [], []
+            while left_a or left_b:
+                if left_a >= left_b:
+                    left_a -= len(bytes_a[i])
+                    i += 1
+                else:
+                    left_b -= len(bytes_b[j])
+                    j += 1
+                if left_a == left_b:
+                    groups.append(f"{','.join(digits_a[from_a:i])}|{','.join(digits_b[from_b:j])}")
+                    links.append(a[i - 1] << LOW | b[j - 1])
+                    from_a, from_b = i, j
+            out.append(Piece(True, i - first_a, j - first_b, ";".join(groups), array("q", links).tobytes()))
+        return out
+
+    def parts_of(self, words: list[str]) -> list[list[Piece]]:
+        """The pieces of each word's parts, by a memory of parts that is cleared when full."""
+        cut = [self.within.split(" " + w) if self.cuttable else [" " + w] for w in words]
+        if len(self.parts) > self.memory:
+            self.parts = {}
+        known = self.parts
+        new = {p: None for parts in cut for p in parts if p not in known}
+        plain = [p for p in new if PLAIN.fullmatch(p)]
+        if plain:
+            new.update(zip(plain, self.plain_pieces(plain)))
+        if odd := [p for p, found in new.items() if found is None]:
+            new.update(zip(odd, (self.piece(p, *ids) for p, ids in zip(odd, self.tokens(odd)))))
+        out = [[known.get(p) or new[p] for p in parts] for parts in cut]
+        if len(new) <= self.memory:
+            known.update((p, found) for p, found in new.items() if len(p) <= LONGEST)
+        return out
 
     def pieces(self, words: list[str]) -> list[Piece]:
-        """As piece(), for words in order; by memory of two halves, the older of which goes when the newer is full."""
+        """Each word with the space before it, aligned; by memory of two halves, the older of which goes when the newer is full."""
         known, older = self.known, self.older
         out = list(map(known.get, words))
         if None in out:
             new = {w: older.get(w) for w, p in zip(words, out) if p is None}
             missing = [w for w, p in new.items() if p is None]
-            new.update(zip(missing, map(self.piece, missing, *zip(*self.tokens(missing)))) if missing else ())
+            new.update(zip(missing, map(joined, self.parts_of(missing))))
             out = [p or new[w] for w, p in zip(words, out)]
             if len(known) + len(new) > self.memory:
                 self.older, self.known = known, {}
@@ -162,7 +230,7 @@ class Aligner:
             first, end = int(np.searchsorted(starts, low, side="right")) - 1, int(np.searchsorted(starts, high, side="left"))
             yield low, high, int(starts[first]), " ".join(words[first:end])
 
-    def fragment(self, window: str, start: int, low: int, high: int) -> tuple[Fragment, int, int, list[int]] | None:
+    def fragment(self, window: str, start: int, low: int, high: int) -> tuple[Fragment, int, int, list[bytes]] | None:
         """(fragment, number of A and B tokens, links) of the tokens that end in (low, high]; None if a word's bytes differ."""
         prefix, closed, links, open_a, open_b, n_a, n_b = None, [], [], [], [], 0, 0
         words = self.words(window)
@@ -172,10 +240,10 @@ class Aligner:
             end = start + 1 + len(word.encode())
             if prefix is not None and not open_a and not open_b and low <= start and end <= high:
                 closed.append(whole.groups)
-                links += whole.links
+                links.append(whole.links)
                 n_a, n_b = n_a + whole.n_a, n_b + whole.n_b
             else:
-                ((a, b),) = self.tokens([word])
+                ((a, b),) = self.tokens([" " + word])
                 ends_a, ends_b = (start + np.cumsum([len(of[i]) for i in ids]) for of, ids in ((self.bytes_a, a), (self.bytes_b, b)))
                 common = np.intersect1d(ends_a, ends_b)
                 (i, to_a), (j, to_b) = (np.searchsorted(ends, (low, high), side="right").tolist() for ends in (ends_a, ends_b))
@@ -187,7 +255,7 @@ class Aligner:
                         prefix = group
                     else:
                         closed.append(written(*group))
-                    links.append(group[0][-1] << LOW | group[1][-1])
+                    links.append(array("q", [group[0][-1] << LOW | group[1][-1]]).tobytes())
                     i, j, open_a, open_b = to_i, to_j, [], []
                 open_a, open_b = open_a + a[i:to_a], open_b + b[j:to_b]
             start = end
@@ -202,9 +270,11 @@ def aligner_of(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)
 
 
-def _counted(links: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    pairs, times = np.unique(np.array(links, dtype=np.int64), return_counts=True)
-    return pairs, times.astype(np.int64)
+def _counted(links: list[bytes]) -> tuple[int, np.ndarray, np.ndarray]:
+    """(number of links, distinct ones, how often each)."""
+    every = np.frombuffer(b"".join(links), dtype=np.int64)
+    pairs, times = np.unique(every, return_counts=True)
+    return len(every), pairs, times.astype(np.int64)
 
 
 PAIRS = "pairs array<long>, times array<long>"
@@ -238,8 +308,8 @@ def _short_texts(path_a: str, path_b: str):
                 pieces = aligner.pieces(aligner.words(text.as_py())) if text.is_valid and text.as_py() else []
                 if pieces and all(p.sound for p in pieces):
                     _, n_a, n_b, groups, links = zip(*pieces)
-                    links = list(chain.from_iterable(links))
-                    rows.append((sum(n_a), sum(n_b), len(links), hashlib.sha256(";".join(groups).encode()).hexdigest(), *_counted(links)))
+                    n, pairs, times = _counted(links)
+                    rows.append((sum(n_a), sum(n_b), n, hashlib.sha256(";".join(groups).encode()).hexdigest(), pairs, times))
                 else:
                     rows.append(NO_TOKENS)
             if rows:
@@ -277,8 +347,8 @@ def _encode_ranges(path_a: str, path_b: str):
     return task
 
 
-def _part(f: Fragment, n_a: int, n_b: int, links: list[int]) -> tuple:
-    return True, f.closes, *f.prefix, ";".join(f.closed), *f.suffix, n_a, n_b, len(links), *_counted(links)
+def _part(f: Fragment, n_a: int, n_b: int, links: list[bytes]) -> tuple:
+    return True, f.closes, *f.prefix, ";".join(f.closed), *f.suffix, n_a, n_b, *_counted(links)
 
 
 def _composed(frame: pd.DataFrame) -> pd.DataFrame:

@@ -13,7 +13,7 @@ from candela.llm import alignment as A
 PATHS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 ODD = [
     None, "", " ", "  two  spaces ", "\n\n a\n b", "tab\there", "▁a ▁", "x▁ y", "<s> </s> <unk> <|endoftext|> <0x41>", "日本語 テスト 😀 é ́", "a\x00b c", "don't I'll we've 'tis",
-    "x" * 3000, "word " * 900, "ab cd ef  gh", "a\x1c b \x85 c", "a​ b ᠎ c﻿ d", "12 345 6.7, (8)", "ÉÊ!! ## ...", "\r\n x",
+    "x" * 3000, "word " * 900, "ab cd ef  gh", "a\x1c b \x85 c", "a​ b ᠎ c﻿ d", "12 345 6.7, (8)", "end.\nNext, a|b don’t (x).\n\n Go\n", "été.\nÀ l'eau: naïve; œuf æ ß×÷", "x.y a,b 'quoted' e.g. I'm. we'll!", "ÉÊ!! ## ...", "\r\n x",
 ]
 
 
@@ -116,7 +116,7 @@ def test_memory_is_bounded():
     words = [f"w{k % 40}" for k in range(400)]
     for k in range(0, 400, 5):
         assert aligner.pieces(words[k : k + 5]) == A.Aligner(*PATHS).pieces(words[k : k + 5]) if k < 20 else aligner.pieces(words[k : k + 5])
-    assert len(aligner.known) <= 8 and len(aligner.older) <= 8
+    assert len(aligner.known) <= 8 and len(aligner.older) <= 8 and len(aligner.parts) <= 16
 
 
 def test_a_long_word_lies_in_two_windows_at_most():
