@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 #: Every series is keyed by this column and ordered by its own time column.
@@ -21,16 +21,39 @@ def last_rows(n: int, by: str = "date") -> WindowSpec:
 
 #: Ten decimals hold a price, or a difference of prices, if they are within HELD of its value.
 EXACT, HELD = "decimal(28,10)", 1e-9
+#: Bits of the integers that stand for other values, against the largest of a symbol.
+UNIT_BITS = 52
 
 
-def exact_sum(x: Column, w: WindowSpec) -> Column:
-    """Window sum of doubles, added as decimals where these hold every value, so that later comparisons don't flip on a last bit.
+def moving_means(df: DataFrame, x: Column, spans: dict[str, int], by: str = "date") -> DataFrame:
+    """df with a column for each span: the mean of x over the last n rows, null before n rows have a value.
 
-    A window with a value that they don't hold (tiny, 1e18 or more, NaN) is summed as plain doubles.
+    Sums are exact, so that later comparisons don't flip on a last bit: one running sum of decimals a symbol, of which each
+    window is a difference of two values, whatever its length. A symbol with values that ten decimals don't hold (tiny, 1e18
+    or more) adds integers of 52 bits in a unit of its own, by its largest value. A window with NaN or infinity is NaN.
     """
-    held = x.try_cast(EXACT)
-    holds = x.isNull() | F.coalesce(F.abs(held.cast("double") - x) <= HELD * F.abs(x), F.lit(False))
-    return F.when(F.every(holds).over(w), F.sum(held).over(w).cast("double")).otherwise(F.sum(x).over(w))
+    w = series(by)
+    every, run = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), w.rowsBetween(Window.unboundedPreceding, 0)
+    names = [c for c in df.columns if c not in spans]
+    v, held = F.col("_v"), F.col("_v").try_cast(EXACT)
+    finite = F.abs(v) < float("inf")  # false for NaN, which is above all
+    holds = v.isNull() | F.coalesce(F.abs(held.cast("double") - v) <= HELD * F.abs(v), F.lit(False))
+    out = df.select(*names, x.cast("double").alias("_v"))
+    out = out.withColumns({"_held": F.every(holds).over(every), "_top": F.max(F.when(finite, F.abs(v))).over(every)})
+    unit = F.pow(F.lit(2.0), F.ceil(F.log2(F.nullif(F.col("_top"), F.lit(0.0)))) - UNIT_BITS)
+    out = out.withColumn("_unit", F.coalesce(F.when(~F.col("_held"), unit), F.lit(1.0)))
+    whole = F.when(finite & ~F.col("_held"), F.rint(v / F.col("_unit")).try_cast("decimal(20,0)"))
+    out = out.withColumns({
+        "_a": F.sum(F.when(F.col("_held"), held)).over(run), "_b": F.sum(whole).over(run),
+        "_n": F.count("_v").over(run), "_odd": F.count(F.when(~finite, 1)).over(run),
+    })
+
+    def over(n: int) -> Column:
+        left = lambda c: F.coalesce(F.col(c), F.lit(0)) - F.coalesce(F.lag(c, n).over(w), F.lit(0))
+        total = F.when(F.col("_held"), left("_a").cast("double")).otherwise(left("_b").cast("double") * F.col("_unit"))
+        return F.when(left("_n") >= n, F.when(left("_odd") > 0, F.lit(float("nan"))).otherwise(total / n))
+
+    return out.select(*names, *(over(n).alias(c) for c, n in spans.items()))
 
 
 def full(value: Column, x: Column, n: int, by: str = "date") -> Column:
@@ -38,11 +61,6 @@ def full(value: Column, x: Column, n: int, by: str = "date") -> Column:
     return F.when(F.count(x).over(last_rows(n, by)) >= n, value)
 
 
-def mean(x: Column, n: int, by: str = "date") -> Column:
-    """Mean over a full window of n prices."""
-    return full(exact_sum(x, last_rows(n, by)) / n, x, n, by)
-
-
 def position(by: str = "date") -> Column:
     """0 for the first row of a symbol."""
     return F.row_number().over(series(by)) - 1

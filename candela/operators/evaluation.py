@@ -8,13 +8,11 @@ from pyspark.sql import functions as F
 from candela.functions.stats import average_rank, rate_block
 from candela.functions.tables import stored
 from candela.functions.windows import KEY, position, rounded, series
+from candela.operators.exits import SWEEP_HORIZONS, exit_within, forward_days
 from candela.operators.normalise import adjustment_gate
 
 HORIZONS, WARMUP, STEP, COST = (5, 10, 20), 250, 3, 1.0
-#: Bars after the entry that an exit may wait for; a sale still open then counts as censored.
-PATH = 60
-#: Variants of the stop sweep: multiples of the ATR, then fixed percents.
-ATR_STOPS, FIXED_STOPS, SWEEP_HORIZONS = (1.0, 1.5, 2.0, 2.5, 3.0), (3.0, 5.0, 8.0, 12.0), (10, 20)
+#: Edges of the score groups, names of the flags.
 GROUP_EDGES = (0, 40, 50, 60, 70, 80, 101)
 FLAGS = ("ma_bull", "ma_bull_full", "ma_bear", "near_ma20", "j_lt45", "j_lt20", "j_gt95", "bt_pattern", "vol_breakout", "shrink_pullback", "macd_gold", "boll_touch_lower", "rsi6_lt20")
 
@@ -54,13 +52,9 @@ def horizon_returns(filled: DataFrame, index: DataFrame | None = None, cost: flo
     return out.drop("_from", "_base")
 
 
-def forward_path(bars: DataFrame, rows: int = PATH) -> DataFrame:
-    """bars with path: the bars after each, from the entry day on, `rows` + 1 at most."""
-    return bars.withColumn("path", F.collect_list(F.struct("open", "high", "low", "close")).over(series().rowsBetween(1, rows + 1)))
-
-
 def executable_exit(path: Column, stop: Column, horizon: Column | int, limit: float) -> Column:
-    """Struct (price, hit): where a position bought at the first open of the path is sold, and whether a stop sold it.
+    """Struct (price, hit) of a path that is at hand as an array: where a position bought at its first open is sold, and
+    whether a stop sold it. Over tables of bars, exits.exit_within() needs no path.
 
     Nothing is sold on the first day, but a low at the stop then leaves an order. On a later day that can be traded (not
     locked at the lower limit, all prices sound), a waiting order is filled at the open, a stop at the smaller of open and
@@ -88,19 +82,6 @@ def executable_exit(path: Column, stop: Column, horizon: Column | int, limit: fl
     return F.aggregate(path, start, step, lambda s: F.struct(s["price"].alias("price"), s["hit"].alias("hit")))
 
 
-def stop_sweep(entries: DataFrame, limit: float, cost: float = COST) -> DataFrame:
-    """One row per entry, stop variant and horizon: return in percent and hit. Variants are exploded on the row itself.
-
-    entries: symbol, t, entry, atr, path.
-    """
-    variants = [F.struct(F.lit(f"atr_{m:g}").alias("variant"), (F.col("entry") - m * F.col("atr")).alias("stop")) for m in ATR_STOPS]
-    variants += [F.struct(F.lit(f"fixed_{p:g}").alias("variant"), (F.col("entry") * (1 - p / 100)).alias("stop")) for p in FIXED_STOPS]
-    rows = entries.withColumn("_v", F.explode(F.array(*variants))).withColumn("horizon", F.explode(F.array(*map(F.lit, SWEEP_HORIZONS))))
-    rows = rows.withColumn("_x", executable_exit(F.col("path"), F.col("_v.stop"), F.col("horizon"), limit))
-    ret = rounded((F.col("_x.price") - F.col("entry")) / F.col("entry") * 100 - cost, 2)
-    return rows.select(KEY, "t", "date", F.col("_v.variant").alias("variant"), "horizon", ret.alias("ret"), F.col("_x.hit").alias("hit"))
-
-
 def sweep_report(swept: DataFrame, entries: DataFrame) -> DataFrame:
     """Per variant and horizon: rate block, censored rows, share of stops among the sold, 5 % quantile, deviation, and the
     mean against no stop; atr_pct is the median ATR of all entries in percent of the close.
@@ -315,9 +296,9 @@ def point_in_time(analysed: DataFrame, bars: DataFrame, limit: float, horizon: i
     """
     t, symbol = F.col(KEY) % SLICE, F.floor(F.col(KEY) / SLICE)
     state = analysed.drop("date", "open", "high", "low", "close", "volume", "amount").withColumns({"t": t.cast("int"), KEY: symbol.cast("long")})
-    later = horizon_returns(entry_fill(forward_path(bars), limit).withColumn("t", position()), index)
+    later = horizon_returns(entry_fill(forward_days(bars, limit, horizon), limit).withColumn("t", position()), index)
     out = later.withColumn(KEY, F.col(KEY).cast("long")).join(state, [KEY, "t"])
-    out = out.withColumn("_x", executable_exit(F.col("path"), F.col("stop_loss"), horizon, limit)).drop("path")
+    out = out.withColumn("_x", exit_within(F.col("days"), F.col("stop_loss"), horizon)).drop("days")
     ret = F.when(F.col("fillable"), rounded((F.col("_x.price") - F.col("entry")) / F.col("entry") * 100 - cost, 2))
     return out.withColumns({"path_ret": ret, "path_hit": F.when(F.col("fillable"), F.col("_x.hit"))}).drop("_x")
 

@@ -6,21 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candela.functions.folds import fold_rows
-from candela.functions.windows import KEY, exact_sum, full, last_rows, mean, series
+from candela.functions.windows import KEY, full, last_rows, moving_means, series
 
 TINY = 1e-9
 SPANS = (5, 10, 20, 30, 60, 120, 250)
 
 
 def sma(bars: DataFrame, spans: tuple[int, ...] = SPANS) -> DataFrame:
-    return bars.withColumns({f"ma_{n}": mean(F.col("close"), n) for n in spans})
+    return moving_means(bars, F.col("close"), {f"ma_{n}": n for n in spans})
 
 
 def bollinger(bars: DataFrame) -> DataFrame:
     """Bands two sample deviations around the 20-bar mean, and their width in percent of it."""
-    close, middle = F.col("close"), mean(F.col("close"), 20)
+    close, middle = F.col("close"), F.col("boll_mid")
     spread = 2 * full(F.stddev_samp(close).over(last_rows(20)), close, 20)
-    out = bars.withColumns({"boll_mid": middle, "boll_upper": middle + spread, "boll_lower": middle - spread})
+    out = moving_means(bars, close, {"boll_mid": 20}).withColumns({"boll_upper": middle + spread, "boll_lower": middle - spread})
     return out.withColumn("boll_width", (F.col("boll_upper") - F.col("boll_lower")) / F.nullif(F.col("boll_mid"), F.lit(0.0)) * 100)
 
 
@@ -55,14 +55,12 @@ def recursions(bars: DataFrame) -> DataFrame:
 def rsi(bars: DataFrame, spans: tuple[int, ...] = (6, 12, 24)) -> DataFrame:
     """Simple means of gains and losses; the first bar's change counts as 0, so n bars suffice."""
     out = bars.withColumn("_delta", F.coalesce(F.col("close") - F.lag("close").over(series()), F.lit(0.0)))
-    zero = F.lit(0.0)
-    gain, loss = F.greatest("_delta", zero), F.greatest(-F.col("_delta"), zero)
-
-    def one(n: int) -> Column:
-        g, l = (full(exact_sum(x, last_rows(n)) / n, F.col("close"), n) for x in (gain, loss))  # noqa: E741
-        return 100 - 100 / (1 + g / (l + TINY))
-
-    return out.withColumns({f"rsi_{n}": one(n) for n in spans}).drop("_delta")
+    zero, priced = F.lit(0.0), F.col("close").isNotNull()
+    for name, change in (("gain", F.col("_delta")), ("loss", -F.col("_delta"))):
+        out = moving_means(out, F.when(priced, F.greatest(change, zero)), {f"_{name}_{n}": n for n in spans})
+    strength = lambda n: F.col(f"_gain_{n}") / (F.col(f"_loss_{n}") + TINY)
+    out = out.withColumns({f"rsi_{n}": 100 - 100 / (1 + strength(n)) for n in spans})
+    return out.drop("_delta", *(f"_{k}_{n}" for k in ("gain", "loss") for n in spans))
 
 
 def true_range(by: str = "date") -> Column:
@@ -74,7 +72,7 @@ def true_range(by: str = "date") -> Column:
 def atr(bars: DataFrame, n: int = 14) -> DataFrame:
     """Mean true range; the true range itself before n bars."""
     out = bars.withColumn("tr", true_range())
-    return out.withColumn("atr", F.coalesce(mean(F.col("tr"), n), F.col("tr")))
+    return moving_means(out, F.col("tr"), {"atr": n}).withColumn("atr", F.coalesce("atr", "tr"))
 
 
 def volume_ma(bars: DataFrame, spans: tuple[int, ...] = (5, 10)) -> DataFrame:

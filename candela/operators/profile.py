@@ -26,9 +26,14 @@ def volume_profile(bars: DataFrame, bins: int = BINS, lookback: int = LOOKBACK,
     rows = bars.withColumn("_n", from_end()).where(F.col("_n") <= lookback)
     rows = rows.where((F.col("volume") > 0) & (F.col("volume") < float("inf"))).withColumn("_weight", F.col("volume") if weight is None else weight)
     w = Window.partitionBy(KEY)
-    low, high = F.min(_milli("low")).over(w), F.max(_milli("high")).over(w)
+    return spread_volume(rows.withColumns({"_close": F.max_by("close", "date").over(w), "_low": F.min(_milli("low")).over(w), "_high": F.max(_milli("high")).over(w)}), bins)
+
+
+def spread_volume(rows: DataFrame, bins: int = BINS) -> DataFrame:
+    """The profile of bars that carry _weight and, the same on all bars of a key, _close, _low and _high (in thousandths)."""
+    low, high = F.col("_low"), F.col("_high")
     flat = low == high
-    rows = rows.withColumns({"_close": F.max_by("close", "date").over(w), "_lo": F.when(flat, low * 0.9).otherwise(low).cast("long"), "_hi": F.when(flat, high * 1.1).otherwise(high).cast("long")})
+    rows = rows.withColumns({"_lo": F.when(flat, low * 0.9).otherwise(low).cast("long"), "_hi": F.when(flat, high * 1.1).otherwise(high).cast("long")})
     d, size = F.col("_hi") - F.col("_lo"), 2 * bins
     first = F.ceil((size * (_milli("low") - F.col("_lo")) - d) / (2 * d)).cast("int")
     last = F.floor((size * (_milli("high") - F.col("_lo")) - d) / (2 * d)).cast("int")

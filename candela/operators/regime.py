@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from candela.functions.folds import fold_rows
 from candela.functions.stats import SQRT_10, normal_tail, wilson
-from candela.functions.windows import KEY, full, last_rows, mean, rounded, series
+from candela.functions.windows import KEY, full, last_rows, moving_means, rounded, series
 from candela.operators.indicators import run_length
 
 LEAST_BARS, HORIZON, THRESHOLD = 260, 10, 2.5
@@ -20,6 +20,8 @@ VARIANCE_WEIGHTS, DECAY = (0.4, 0.3, 0.3), 0.94
 SCORE_EDGES = (0, 20, 40, 60, 80, 101)
 RELIABILITY_EDGES = (0.0, 0.15, 0.25, 0.35, 0.45, 1.0)
 PRIOR, OVERLAP = 20.0, 11
+#: Iterations of the bootstrap in a row.
+DRAWN = 100
 
 
 def regime_features(bars: DataFrame) -> DataFrame:
@@ -28,10 +30,11 @@ def regime_features(bars: DataFrame) -> DataFrame:
     out = bars.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(KEY))).where(F.col("_n") >= LEAST_BARS).drop("_n")
     low = full(F.min("low").over(last_rows(60)), F.col("low"), 60)
     volume = full(F.avg("volume").over(last_rows(20)), F.col("volume"), 20)
+    out = moving_means(out, c, {"ma200": 200, "_ma20": 20})
     return out.withColumns({
-        "ma200": mean(c, 200), "ret20": (c / F.lag(c, 20).over(w) - 1) * 100, "ret60": (c / F.lag(c, 60).over(w) - 1) * 100,
-        "dev_ma20": (c / mean(c, 20) - 1) * 100, "dist_low60": (c / low - 1) * 100, "vol_ratio20": F.col("volume") / F.nullif(volume, F.lit(0.0)),
-    })
+        "ret20": (c / F.lag(c, 20).over(w) - 1) * 100, "ret60": (c / F.lag(c, 60).over(w) - 1) * 100,
+        "dev_ma20": (c / F.col("_ma20") - 1) * 100, "dist_low60": (c / low - 1) * 100, "vol_ratio20": F.col("volume") / F.nullif(volume, F.lit(0.0)),
+    }).drop("_ma20")
 
 
 def funding_join(bars: DataFrame, funding: DataFrame) -> DataFrame:
@@ -261,18 +264,21 @@ def isotonic_curves(points: DataFrame, key: str = KEY, x: str = "bin", y: str =
 def block_bootstrap(gains: DataFrame, iterations: int = 4000, block: int = OVERLAP) -> DataFrame:
     """Per symbol: share of moving-block bootstrap means that are 0 or less; null under five blocks.
 
-    gains: symbol, pos (0-based, without holes), gain. Draw b of iteration i starts at a place made by a hash of both, so
-    runs agree; block sums come from prefix sums, and only (iteration, block) rows are made, never rows of a block.
+    gains: symbol, pos (0-based, without holes), gain. Draw b of iteration i starts where the MD5 of "i:b" says, which any
+    engine can redraw. A symbol's sums of blocks are one array of doubles, which DRAWN iterations at a time look up in a
+    fold: no row for an iteration or a draw.
     """
-    w = Window.partitionBy(KEY).orderBy("pos")
-    sums = gains.withColumn("_to", F.sum("gain").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    sums = sums.withColumn("_block", F.lead("_to", block - 1).over(w) - F.col("_to") + F.col("gain"))
-    starts = sums.where(F.col("_block").isNotNull()).select(KEY, F.col("pos").alias("start"), "_block")
-    size = gains.groupBy(KEY).agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / block)).where(F.col("n") >= 5 * block)
-    draws = size.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).withColumn("b", F.explode(F.sequence(F.lit(1).cast("long"), F.col("blocks"))))
-    draws = draws.withColumn("start", F.pmod(F.xxhash64("i", "b"), F.col("n") - block + 1))
-    means = draws.join(starts, [KEY, "start"]).groupBy(KEY, "i").agg(F.avg("_block").alias("_m"))
-    p = means.groupBy(KEY).agg(F.avg((F.col("_m") <= 0).cast("double")).alias("p_value"))
+    w = Window.partitionBy(KEY).orderBy("pos").rowsBetween(0, block - 1)
+    sums = gains.withColumns({"_sum": F.sum("gain").over(w), "_full": F.count(F.lit(1)).over(w) == block})
+    each = sums.groupBy(KEY).agg(F.array_sort(F.collect_list(F.when(F.col("_full"), F.struct("pos", "_sum")))).alias("_all"), F.count(F.lit(1)).alias("n"))
+    each = each.where(F.col("n") >= 5 * block).select(KEY, F.transform("_all", lambda s: s["_sum"]).alias("_sums"), F.floor(F.col("n") / block).alias("blocks"))
+    parts = each.withColumn("_from", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1), F.lit(DRAWN))))
+    # 15 hexadecimal digits fit a long.
+    draw = lambda i, b: F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", i.cast("string"), b.cast("string"))), 1, 15), 16, 10).cast("long"), F.size("_sums"))
+    total = lambda i: F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("blocks")), F.lit(0.0), lambda a, b: a + F.get("_sums", draw(i, b).cast("int")))
+    drawn = F.sequence(F.col("_from"), F.least(F.col("_from") + DRAWN, F.lit(iterations)) - 1)
+    below = F.size(F.filter(drawn, lambda i: total(i) <= 0))
+    p = parts.repartition(KEY, "_from").select(KEY, below.alias("_below")).groupBy(KEY).agg((F.sum("_below") / iterations).alias("p_value"))
     return gains.select(KEY).distinct().join(p, KEY, "left")
 
 

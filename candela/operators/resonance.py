@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candela.functions.folds import fold_rows
-from candela.functions.windows import KEY, clip, last_rows, mean, position, rounded, score_sum, series
+from candela.functions.windows import KEY, clip, last_rows, moving_means, position, rounded, score_sum, series
 from candela.operators.indicators import run_length, true_range
 
 LEAST_BARS, WINDOW = 30, 250
@@ -49,12 +49,13 @@ def resonance_features(bars: DataFrame) -> DataFrame:
     out = indicators(bars)
     out = out.withColumn("_before", F.lag("close").over(w))
     out = run_length(run_length(out, F.col("close") < F.col("_before"), "down_run"), F.col("close") > F.col("_before"), "up_run")
-    m20 = F.coalesce(mean(F.col("close"), 20), F.col("close"))
+    out = moving_means(out, F.col("close"), {"_m20": 20})
+    m20 = F.coalesce("_m20", "close")
     factors = {
         "rsi14": F.col("rsi14"), "j": F.col("j"), "deviation": (F.col("close") - m20) / F.nullif(m20, F.lit(0.0)) * 100, "hist": F.col("hist"), "prev_hist": F.coalesce(F.lag("hist").over(w), F.lit(0.0)),
         "vol_ratio": F.avg("volume").over(last_rows(5)) / F.avg("volume").over(last_rows(20)), "chg_5": F.coalesce((F.col("close") / F.lag("close", 5).over(w) - 1) * 100, F.lit(0.0)),
     }
-    return out.withColumns({k: F.round(v, 10) for k, v in factors.items()}).drop("_before")
+    return out.withColumns({k: F.round(v, 10) for k, v in factors.items()}).drop("_before", "_m20")
 
 
 def rd_cd_scores(features: DataFrame) -> DataFrame:
@@ -117,11 +118,12 @@ def resonance_labels(scored: DataFrame) -> DataFrame:
 def stage_trend(bars: DataFrame) -> DataFrame:
     """trend_score and trend_label of each bar from its means and five-bar change."""
     c = F.col("close")
-    m5, m20 = F.coalesce(mean(c, 5), c), F.coalesce(mean(c, 20), c)
+    bars = moving_means(bars, c, {"_m5": 5, "_m20": 20})
+    m5, m20 = F.coalesce("_m5", "close"), F.coalesce("_m20", "close")
     first = F.first("close").over(last_rows(6))
     change = (c - first) / F.nullif(first, F.lit(0.0)) * 100
     score = score_sum((c > m5, 0.2), (~(c > m5), -0.2), (c > m20, 0.3), (~(c > m20), -0.3), (m5 > m20, 0.2), (~(m5 > m20), -0.2), (change > 3, 0.2), (change < -3, -0.2))
-    out = bars.withColumn("trend_score", F.round(score, 4))
+    out = bars.withColumn("trend_score", F.round(score, 4)).drop("_m5", "_m20")
     s = F.col("trend_score")
     return out.withColumn("trend_label", F.when(s > 0.5, "bull").when(s > 0.2, "weak_bull").when(s < -0.5, "bear").when(s < -0.2, "weak_bear").otherwise("neutral"))
 

@@ -19,7 +19,9 @@ WEIGHTS = ("w_trend", "w_chips", "w_momentum", "w_position")
 
 def state_rows(daily: DataFrame, weekly: DataFrame, summary: DataFrame, divergence: DataFrame, features: DataFrame, bands: DataFrame) -> DataFrame:
     """One row a symbol from the parts above; parts that a symbol lacks are null, its bands empty."""
-    counted = latest(daily).join(daily.groupBy(KEY).agg(F.count(F.lit(1)).alias("n")), KEY)
+    counted = latest(daily)
+    if "n" not in daily.columns:
+        counted = counted.join(daily.groupBy(KEY).agg(F.count(F.lit(1)).alias("n")), KEY)
     week = latest(weekly).select(KEY, *(F.col(c).alias(f"week_{c}") for c in ("close", "ma_20", "ma_60")))
     marks = latest(features.select(KEY, "date", "is_breakout", "is_shrink", "vp_state")).drop("date")
     side = lambda s: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("nth", "centre")))), lambda x: x["centre"])

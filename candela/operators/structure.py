@@ -61,6 +61,11 @@ def fibonacci_wave(bars: DataFrame) -> DataFrame:
         return F.struct(F.max(high).alias("high"), F.min(low).alias("low"), (at_low < at_high).alias("up")).alias(name)
 
     both = rows.groupBy(KEY).agg(F.max("n").alias("n"), wave(recent, "near"), wave(F.lit(True), "all"))
+    return wave_levels(both)
+
+
+def wave_levels(both: DataFrame) -> DataFrame:
+    """Wave and levels from rows (symbol, n, near, all), the waves as structs (high, low, up)."""
     small = ((F.col("near.high") - F.col("near.low")) / (F.col("near.low") + 1e-9) * 100 < SMALL_WAVE) & (F.col("n") > WAVE)
     w = both.select(KEY, F.when(small, F.col("all")).otherwise(F.col("near")).alias("w"))
     high, low, up = F.col("w.high"), F.col("w.low"), F.col("w.up")

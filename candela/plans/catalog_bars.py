@@ -59,6 +59,17 @@ def kept(name: str, spark: SparkSession, sf_dir: str, make) -> DataFrame:
     return _KEPT[key]
 
 
+_MADE: dict[tuple, object] = {}
+
+
+def made(name: str, spark: SparkSession, sf_dir: str, make):
+    """What several queries of a run share and make() has stored: made once for each application and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _MADE:
+        _MADE[key] = make()
+    return _MADE[key]
+
+
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept("daily", spark, sf_dir, lambda: derive(spark, sf_dir, DAILY))
 

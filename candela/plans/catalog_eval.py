@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from candela.functions import stats
 from candela.functions.windows import position
 from candela.operators import evaluation as ev
+from candela.operators import exits as ex
 from candela.operators import indicators as ind
 from candela.operators import normalise as norm
 from candela.operators import regime as rg
@@ -211,13 +212,28 @@ def _(spark, d):
     return g.withColumns({"low": low, "high": high})
 
 
-@query("p10_isotonic")
+#: The fit at k is the largest over starts up to k of the smallest, over ends from k on, of the weighted means between.
+ISOTONIC = f"""{FULL}, b as (select symbol, (sum(rebound) + 1)/(count(*) + 2e0) as base from labelled group by symbol),
+pt as (select symbol, bin, (sum(rebound) + 20*max(base))/(count(*) + 20) as value, count(*)::double as weight from labelled join b using (symbol) group by symbol, bin),
+iv as (select i.symbol, i.bin as i, j.bin as j, sum(m.value*m.weight)/sum(m.weight) as v from pt i join pt j on i.symbol = j.symbol and i.bin <= j.bin join pt m on m.symbol = i.symbol and m.bin between i.bin and j.bin group by all),
+lo as (select k.symbol, k.bin, i, min(v) as v from pt k join iv on iv.symbol = k.symbol and iv.i <= k.bin and iv.j >= k.bin group by all)
+select pt.*, fitted from pt join (select symbol, bin, max(v) as fitted from lo group by symbol, bin) f using (symbol, bin)"""
+
+
+@query("p10_isotonic", ISOTONIC, "value fitted")
 def _(spark, d):
     bins = rg.shrunk_bins(rg.labelled(regime(spark, d)))
     return rg.isotonic_curves(bins.select("symbol", "bin", F.col("probability").alias("value"), F.col("n").cast("double").alias("weight")))
 
 
-@query("p13_bootstrap")
+BOOTSTRAP = f"""{FULL}, {WF}, gn as (select symbol, row_number() over (partition by symbol order by pos) - 1 as pos, pow(baseline - rebound, 2) - pow(p - rebound, 2) as gain from wf),
+bk as (select symbol, pos, sum(gain) over (partition by symbol order by pos rows between current row and 10 following) as total, count(*) over (partition by symbol) as n from gn),
+dr as (select symbol, i, b, ('0x' || substr(md5(i || ':' || b), 1, 15))::bigint % (n - 10) as pos from (select symbol, max(n) as n from bk group by symbol) _s, range(4000) _i(i), range(1, 100000) _b(b) where n >= 55 and b <= n//11),
+tt as (select symbol, i, sum(total) as total from dr join bk using (symbol, pos) group by symbol, i)
+select symbol, avg(case when total <= 0 then 1e0 else 0e0 end) as p_value from (select distinct symbol from gn) _g left join tt using (symbol) group by symbol"""
+
+
+@query("p13_bootstrap", BOOTSTRAP, "p_value")
 def _(spark, d):
     from pyspark.sql import Window
 
@@ -279,24 +295,24 @@ wk(symbol, t, variant, h, k, stop, s, due, before, price, hit) as (
     case when trades and (s or due) then o when trades and touched then least(o, stop) when trades and isdue then c end, case when trades and (s or due) then s when trades and touched then true when trades and isdue then false end
   from (select wk.*, nb.open as o, nb.close as c, nb.low <= stop as touched, k >= h as isdue,
           k > 0 and not (nb.close <= before*(1 - 1.5e0/100 + 0.001e0) and abs(nb.low - nb.close) <= 1e-8 and abs(nb.high - nb.low) <= 1e-8 and abs(nb.open - nb.low) <= 1e-8) as trades
-        from wk join nb on nb.symbol = wk.symbol and nb.i = wk.t + 1 + k where price is null and k <= 60) _x),
+        from wk join nb on nb.symbol = wk.symbol and nb.i = wk.t + 1 + k where price is null) _x),
 sold as materialized (select en.symbol, en.t, en.date, en.variant, en.h as horizon, {portable('round((wk.price - en.entry)/en.entry*100 - 1, 2)')} as ret, wk.hit from en left join (select * from wk where price is not null) wk on wk.symbol = en.symbol and wk.t = en.t and wk.variant = en.variant and wk.h = en.h)"""
 
 
 ONE = "(select 'atr_3' as variant) v0, lateral (select g.entry - 3*atr as stop) v"
-ALL = "(select unnest([" + ", ".join([f"'atr_{m:g}'" for m in ev.ATR_STOPS] + [f"'fixed_{p:g}'" for p in ev.FIXED_STOPS]) + "]) as variant, unnest([" + ", ".join([f"{m}e0" for m in ev.ATR_STOPS] + ["null"] * len(ev.FIXED_STOPS)) + "]) as m, unnest([" + ", ".join(["null"] * len(ev.ATR_STOPS) + [f"{p}e0" for p in ev.FIXED_STOPS]) + "]) as f) v0, lateral (select case when m is not null then g.entry - m*atr else g.entry*(1 - f/100) end as stop) v"
+ALL = "(select unnest([" + ", ".join([f"'atr_{m:g}'" for m in ex.ATR_STOPS] + [f"'fixed_{p:g}'" for p in ex.FIXED_STOPS]) + "]) as variant, unnest([" + ", ".join([f"{m}e0" for m in ex.ATR_STOPS] + ["null"] * len(ex.FIXED_STOPS)) + "]) as m, unnest([" + ", ".join(["null"] * len(ex.ATR_STOPS) + [f"{p}e0" for p in ex.FIXED_STOPS]) + "]) as f) v0, lateral (select case when m is not null then g.entry - m*atr else g.entry*(1 - f/100) end as stop) v"
 BX = f"with recursive bars as materialized ({DAILY})"
 
 
 def entries(spark, d):
-    frame = ev.forward_path(ind.atr(ev.horizon_returns(ev.entry_fill(daily(spark, d), 1.5))))
-    return ev.asof_grid(frame).where("fillable").select("symbol", "t", "date", "close", "entry", "atr", "path", "ret_10", "ret_20")
+    frame = ex.forward_days(ind.atr(ev.horizon_returns(ev.entry_fill(daily(spark, d), 1.5))), 1.5)
+    return ev.asof_grid(frame).where("fillable").select("symbol", "t", "date", "close", "entry", "atr", "days", "ret_10", "ret_20")
 
 
 @query("e5_exit", f"{BX}, {_sweep_sql(ONE, '(select 10 as h) hh')} select symbol, t, ret, hit from sold")
 def _(spark, d):
     rows = entries(spark, d)
-    rows = rows.withColumn("x", ev.executable_exit(F.col("path"), F.col("entry") - 3 * F.col("atr"), 10, 1.5))
+    rows = rows.withColumn("x", ex.exit_within(F.col("days"), F.col("entry") - 3 * F.col("atr"), 10))
     from candela.functions.windows import rounded
 
     return rows.select("symbol", "t", rounded((F.col("x.price") - F.col("entry")) / F.col("entry") * 100 - 1, 2).alias("ret"), F.col("x.hit").alias("hit"))
@@ -306,7 +322,7 @@ SWEEP = f"{BX}, {_sweep_sql(ALL, '(select unnest([10, 20]) as h) hh')}"
 
 
 def sweep(spark, d):
-    return cb.kept("sweep", spark, d, lambda: ev.stop_sweep(entries(spark, d), 1.5))
+    return cb.kept("sweep", spark, d, lambda: ex.stop_sweep(entries(spark, d)))
 
 
 @query("e6_sweep", f"{SWEEP} select * from sold")

@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candela.functions.tables import shared_path as folder
+from candela.functions.windows import from_end
 from candela.plans import catalog_bars as cb
 from candela.plans.catalog_bars import B, daily, query
 from candela.plans.fixtures import derive
 from candela.sources import sinks
 from candela.sources.bars import latest
 from candela.streaming import bars as sb
+from candela.streaming import live
 
 _LOCAL = set(cb.QUERIES)
 
@@ -70,6 +72,33 @@ def _(spark, d):
     return sb.merge_live_bar(daily(spark, d), snapshots(spark, d))
 
 
+#: Four runs of snapshots over a history without its last two bars (r counts from the end): the last kept bar changes; a new
+#: bar, unfinished (without volume for one in five symbols); its end, an old snapshot and one without a price; the last bar.
+RUNS = (
+    "select symbol, date, 1 as ts, open, high, low, close*1.01e0 as close, volume*2 as volume, amount*2 as amount from {0} where r = 3",
+    "select symbol, date, 2 as ts, open, high, low, close*0.99e0 as close, case when symbol % 5 = 2 then 0e0 else volume/2 end as volume, amount/2 as amount from {0} where r = 2",
+    "select symbol, date, 3 as ts, open, high, low, case when r = 5 then close*2 when r = 1 then 0e0 else close end as close, volume, amount from {0} where r = 2 or r = 5 or (r = 1 and symbol % 7 = 0)",
+    "select symbol, date, 4 as ts, open, high, low, close, volume, 0e0 as amount from {0} where r = 1",
+)
+STREAMED = f"""{B}, n as (select *, row_number() over (partition by symbol order by date desc) as r from bars)
+select symbol, date, open, case when r = 3 then greatest(high, close*1.01e0) else high end as high, case when r = 3 then least(low, close*1.01e0) when r = 2 and symbol % 5 <> 2 then least(low, close*0.99e0) else low end as low,
+  case when r = 3 then close*1.01e0 else close end as close, case when r = 3 then volume*2 else volume end as volume, case when r = 3 then amount*2 when r = 1 then volume*close else amount end as amount,
+  case when symbol % 2 = 0 then 'unknown/mixed' else 'estimated/current' end as provenance from n"""
+
+
+@query("st3_merge_stream", STREAMED, "high low close amount")
+def _(spark, d):
+    path, inbox, at = (folder(spark, f"st3-{x}") for x in ("history", "snapshots", "at"))
+    numbered = daily(spark, d).withColumn("r", from_end())
+    tag = F.when(F.col("symbol") % 2 == 0, "reliable/historical").otherwise("estimated/current")
+    live.create_history(numbered.where("r > 2").drop("r").withColumn("provenance", tag), path)
+    for run in RUNS:
+        rows = spark.sql(run.format("{n}"), n=numbered)
+        rows.write.mode("append").parquet(inbox)
+        live.merge_stream(spark.readStream.schema(rows.schema).parquet(inbox), path, at).awaitTermination()
+    return live.read_history(spark, path, len(RUNS))
+
+
 @query("st4_late_snapshot", f"{B} select symbol, count(*) as bars, max(date) as last_date, false as merged from bars group by symbol")
 def _(spark, d):
     late = latest(daily(spark, d)).withColumns({"date": F.date_sub("date", 30), "close": F.col("close") * 1.01, "volume": F.col("volume") * 2})

@@ -56,27 +56,12 @@ def newest(snapshots: DataFrame, by: str = "ts") -> DataFrame:
     return snapshots.groupBy(KEY).agg(F.max_by(F.struct(*rest), by).alias("_r")).select(KEY, "_r.*")
 
 
-def merge_stream(snapshots: DataFrame, history_path: str, checkpoint: str) -> StreamingQuery:
-    """Merge each micro-batch of snapshots into a history table of versions under history_path; runs to the end of what is there.
-
-    Each batch writes the next version from the last, named by its id, so a repeated batch writes the same version again.
-    """
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        history = spark.read.parquet(f"{history_path}/v{batch_id}")
-        one = newest(batch.withColumn("_at", F.struct("date", "ts")), "_at").drop("_at", "ts")
-        merge_live_bar(history, one).drop("merged").write.mode("overwrite").parquet(f"{history_path}/v{batch_id + 1}")
-
-    return snapshots.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def daily_job(bars: DataFrame, path: str, checkpoint: str, job) -> StreamingQuery:
     """Run job(rows of a date) for every date that has had rows since the last run; its result has one folder a date.
 
     bars: a stream with a column date. Its rows are kept beside the result, by date and batch, and a date that gets more of
     them is computed again from all it has, so no batch pushes out another's. A repeated batch writes the same folders
-    again. The timer is outside.
+    again. Rows without a date count as a date of their own. The timer is outside.
     """
     inbox, kinds = f"{path.rstrip('/')}-rows", bars.schema
     overwrite = lambda df: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -84,8 +69,9 @@ def daily_job(bars: DataFrame, path: str, checkpoint: str, job) -> StreamingQuer
     def once(batch: DataFrame, batch_id: int) -> None:
         overwrite(batch.withColumn("_batch", F.lit(batch_id))).partitionBy("date", "_batch").parquet(inbox)
         held = batch.sparkSession.read.schema(StructType([*kinds, StructField("_batch", LongType())])).parquet(inbox)
-        touched = held.where(F.col("_batch") == batch_id).select("date").distinct()
-        overwrite(job(held.join(touched, "date", "left_semi").select(*batch.columns))).partitionBy("date").parquet(path)
+        touched = held.where(F.col("_batch") == batch_id).select(F.col("date").alias("_date")).distinct()
+        rows = held.join(touched, F.col("date").eqNullSafe(F.col("_date")), "left_semi")
+        overwrite(job(rows.select(*batch.columns))).partitionBy("date").parquet(path)
 
     return bars.writeStream.foreachBatch(once).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
