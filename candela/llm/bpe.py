@@ -11,7 +11,6 @@ import hashlib
 import heapq
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,6 +26,8 @@ from candela.llm._shared import ship
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SPACE + r"\p{L}\p{N}]+"
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+#: Text without combining marks or letters that NFC changes, and of the same classes in every version of Unicode.
+STABLE = re.compile("[\x00-\u02ff]+")
 #: Pieces of text remembered by each Python worker, twice at most; and fragments. Longer ones are not remembered.
 MEMORY, LONGEST = 1 << 18, 64
 #: Bits of an id within the key of a pair, and below the rank of its merge.
@@ -127,7 +128,7 @@ class Codec:
         return out
 
     def by_library(self, raw: str) -> list[bytes]:
-        """Words of text with code points that this Python's Unicode doesn't assign: the library may know them."""
+        """Words of text with marks or letters on which versions of Unicode may differ: the library's own tables decide."""
         from tokenizers import Tokenizer
 
         t = self.library = self.library or Tokenizer.from_file(self.path)
@@ -140,8 +141,8 @@ class Codec:
         if raw.isascii():
             text = raw.lower()
             words = [text.encode()] if text.isalpha() else [w.encode() for w in self.words.findall(text)]
-        elif all(unicodedata.category(c) != "Cn" for c in raw):
-            text = unicodedata.normalize("NFC", raw).replace("Σ", "σ").lower()
+        elif STABLE.fullmatch(raw):
+            text = raw.lower()
             words = [w.encode() for w in self.words.findall(text)]
         else:
             words = self.by_library(raw)
@@ -203,7 +204,7 @@ def bpe_digests(text: Column, path: str, memory: int | None = None) -> Column:
         for batch in batches:
             rows = []
             for text in batch:
-                n, ids, tokens = zip(*codec.encode(text or "")) if text and not text.isspace() else ((), (), ())
+                n, ids, tokens = zip(*got) if (got := codec.encode(text or "")) else ((), (), ())
                 rows.append((sum(n), sha(ids), sha(tokens)))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 

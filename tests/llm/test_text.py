@@ -36,6 +36,16 @@ def test_bpe_equals_the_library(sf):
         assert codec.decode(want) == library.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_on_controls_and_marks():
+    """White-space-like controls, and marks whose order and classes differ between versions of Unicode."""
+    codec, library, rng = bpe.Codec(bpe.tokenizer_path()), Tokenizer.from_file(bpe.tokenizer_path()), random.Random(12)
+    marks = [*range(0x300, 0x370), *range(0x591, 0x5C8), *range(0x610, 0x61B), *range(0x8D3, 0x900), *range(0x1AB0, 0x1ACF), *range(0x1DC0, 0x1E00), 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x130, 0x3A3, 0x212B, 0xFB01]
+    pick = lambda: chr(rng.choice(marks)) if rng.random() < 0.4 else chr(rng.choice([rng.randrange(32, 127), rng.randrange(0xA0, 0x600), rng.randrange(0x600, 0x3000)]))
+    cases = ["\x1c", "\x1f\x1e", "\x1c \x1d", "\x85", *("".join(pick() for _ in range(rng.randrange(1, 12))) for _ in range(4000))]
+    for t in cases:
+        assert codec.ids(t) == library.encode(t, add_special_tokens=False).ids, ascii(t)
+
+
 def test_bpe_long_and_short_merges_agree(monkeypatch):
     words = [bytes(random.Random(k).choice(b"theandri") for _ in range(k)) for k in range(1, 90)]
     short = [bpe.Codec(bpe.tokenizer_path()).fragment(w, f) for w in words for f in (True, False)]
@@ -61,12 +71,13 @@ def test_bpe_memory_is_bounded(monkeypatch):
 
 
 def test_bpe_report(spark):
-    df = spark.createDataFrame([(1, None, 3), (1, None, 3), (None, "Hi there", 1), (4, "", None)], "doc_id long, text string, n_tokens int")
+    df = spark.createDataFrame([(1, None, 3), (1, None, 3), (None, "Hi there", 1), (4, "", None), (5, "\x1c", 2)], "doc_id long, text string, n_tokens int")
     got = {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.bpe_report(df, bpe.tokenizer_path()).collect()}
     library, nothing = Tokenizer.from_file(bpe.tokenizer_path()), hashlib.sha256(b"").hexdigest()
     ids = library.encode("Hi there", add_special_tokens=False).ids
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    assert got == {(1, 0, nothing, nothing), (4, 0, nothing, nothing), (None, len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False)))}
+    control = library.encode("\x1c", add_special_tokens=False).ids
+    assert got == {(5, len(control), sha(" ".join(map(str, control))), sha(library.decode(control, skip_special_tokens=False))), (1, 0, nothing, nothing), (4, 0, nothing, nothing), (None, len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False)))}
     both = bpe.bpe_encode(df.withColumn("ids", F.lit(1)), bpe.tokenizer_path()).where("doc_id is null").head()
     assert both.ids == ids and both.decoded == library.decode(ids, skip_special_tokens=False)
     assert bpe.bpe_report(df.limit(0), bpe.tokenizer_path()).count() == 0
