@@ -118,11 +118,11 @@ def _element(tag: str, attributes: str, above: _Open, number: int, marks: list[l
         for name, a, b, c in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), a or b or c
             if name in ("class", "id"):
-                if len(value) <= 1000:
-                    found, nearness, whole = class_evidence(value)
-                    # An article's compound names are its topic or state, not its kind.
-                    price = max(price, found if tag not in NEAR_TAGS else CERTAIN if whole else 0.0, CERTAIN if whole else 0.0)
-                    near = max(near, nearness)
+                # Long values are read whole too, but not remembered.
+                found, nearness, whole = (class_evidence if len(value) <= 1000 else class_evidence.__wrapped__)(value)
+                # An article's compound names are its topic or state, not its kind.
+                price = max(price, found if tag not in NEAR_TAGS else CERTAIN if whole else 0.0, CERTAIN if whole else 0.0)
+                near = max(near, nearness)
             elif name == "role":
                 price = max(price, CERTAIN if value.lower() in AWAY_ROLES else FORM if value.lower() == "form" else 0.0)
                 near = max(near, NEAR) if value.lower() in ("main", "article") else near
