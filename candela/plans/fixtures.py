@@ -28,8 +28,9 @@ group by symbol, date"""
 HOURLY = """
 select symbol, ts, min_by(px,rn) as open, max(px) as high, min(px) as low, max_by(px,rn) as close, round(sum(v),2) as volume
 from (select symbol, date_trunc('hour', t) as ts, v, rn, round(1000*exp(sum(st) over (partition by symbol order by rn rows between unbounded preceding and current row)*1e-3),2) as px
-      from (select cast(dense_rank() over (order by event_type) - 1 as int) as symbol, cast(ts as timestamp) as t, value as v, cast(round(value*100) as bigint)%11-5 as st,
-                   row_number() over (partition by event_type order by ts, event_id) as rn from events) e) p
+      from (select symbol, cast(ts as timestamp) as t, value as v, cast(round(value*100) as bigint)%11-5 as st,
+                   row_number() over (partition by event_type order by ts, event_id) as rn
+            from events join (select event_type, cast(dense_rank() over (order by event_type) - 1 as int) as symbol from (select distinct event_type from events) k) k using (event_type)) e) p
 group by symbol, ts"""
 FUNDING = "select cast(o_orderdate as date) as date, round(sum(o_totalprice),2) as balance from orders group by 1"
 INSTRUMENTS = "select s_suppkey as symbol, s_name as name, r_name as industry from supplier left join nation on s_nationkey = n_nationkey left join region on n_regionkey = r_regionkey"
