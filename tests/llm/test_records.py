@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from candela.llm import ann, mixing, sharding, warc
 from candela.llm._shared import shared_path
+from tests.conftest import DATA
 
 
 def round_trip(spark, df, chunk):
@@ -115,9 +116,9 @@ def brute(x, ids, q, k=20):
 
 
 def test_recall(spark):
-    pdf = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    pdf = spark.read.parquet(f"{DATA}/sf0.1/embeddings.parquet").toPandas()
     x, ids = np.stack(pdf["embedding"]).astype(float), pdf["vec_id"].to_numpy()
-    got = ann.op10_neighbours(spark, "/root/testdata/sf0.1").toPandas().groupby("query_id")["vec_id"].apply(list)
+    got = ann.op10_neighbours(spark, f"{DATA}/sf0.1").toPandas().groupby("query_id")["vec_id"].apply(list)
     asked = np.flatnonzero(ids % 20 == 0)
     assert len(got) == len(asked)
     assert np.mean([len(set(brute(x, ids, q)) & set(got[ids[q]])) / 20 for q in asked]) >= 0.9

@@ -2,7 +2,6 @@
 
 import hashlib
 import itertools
-import math
 import random
 import time
 import zlib
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 from candela.llm import bpe, html_extract, quality, token_counts
+from tests.conftest import DATA
 
 TEXTS = ["", " ", "Hello, World's 42nd day!", "Σας ΣΑΣ", "<|endoftext|>x<|startoftext|>", "é ́ naïve", "a\x1cb\x85c​d", "日本語 テスト 😀", "ab" * 3000, "word " * 30_000, "</w> <s> <unk>", "\x00"]
 
@@ -113,7 +113,7 @@ def test_factorisation_machine_identity():
 
 
 def test_quality_on_held_out_labels(spark):
-    d = "/root/testdata/sf0.01"
+    d = f"{DATA}/sf0.01"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
     got = quality.op8_quality(spark, d).collect()
     assert len(got) == spark.read.parquet(f"{d}/documents.parquet").count()
@@ -196,33 +196,56 @@ def test_class_values_of_any_length():
         assert "Buy this" not in html_extract.main_text(page) and "<" not in html_extract.main_text(page)
 
 
-def test_boilerplate_elements_matter(sf):
-    """Without the cut there are no elements' prices either, so this tells nothing of the smoothness edges."""
+KEPT = {
+    "<article>{P}<ul><li><a href=x>Eggs here</a></li><li><a href=y>Milk</a></li></ul>{Q}</article>": ["P", "Eggs here", "Milk", "Q"],
+    "{P}<ul><li>eggs</li><li>milk</li></ul>{Q}": ["P", "eggs", "milk", "Q"],
+    "{P}<ul>" + "<li>eggs</li>" * 30 + "</ul>{Q}": ["P", *["eggs"] * 30, "Q"],
+    "{P}<table><tr><th>Name</th><th>Size</th></tr><tr><td>a</td><td>3</td></tr></table>{Q}": ["P", "Name", "Size", "a", "3", "Q"],
+    "<p>Press the <button>OK</button> key to go on.</p>": ["Press the OK key to go on."],
+    "<p>Put <label>your name</label> here, please.</p>": ["Put your name here, please."],
+    "{P}<p>Some text here. <button>Share</button> <label>this</label></p>": ["P", "Some text here."],
+    "{P}<div>Read on <button><div>Press me</div></button></div>": ["P", "Read on"],
+    "<div class=article><header><h1>The Title</h1></header>{P}</div>": ["The Title", "P"],
+    "<article><h1>T</h1><div class=byline>By A. B.</div>{P}</article>": ["T", "By A. B.", "P"],
+    "<div>Hello</div><div>World</div>": ["Hello", "World"],
+    "just a plain text": ["just a plain text"],
+    "<div>{P}" + "<p>short</p>" * 8 + "{Q}</div>": ["P", *["short"] * 8, "Q"],
+    "<div class=x><ul><li><a href=a>Home</a></li><li><a href=a>News</a></li></ul></div><div>{P}{Q}</div>": ["P", "Q"],
+    "<article>{P}</article><section><h3>3 Comments</h3><p>I like this very much.</p><p>I do not.</p></section>": ["P"],
+}
+
+
+@pytest.mark.parametrize("page", KEPT)
+def test_content_around_decides(page):
+    first, second = (p + "</p>" for p in PARAGRAPHS.split("</p>")[:2])
+    want = [{"P": first[3:-4], "Q": second[3:-4]}.get(line, line) for line in KEPT[page]]
+    assert html_extract.main_text(page.replace("{P}", first).replace("{Q}", second)).split("\n") == want
+
+
+def test_smoothness_edges_decide():
+    """With the smoothness edges alone at 0 these pages, and some of the given ones, lose text."""
     import duckdb
 
-    pages = [h for (h,) in duckdb.sql(f"select html from '{sf}/pages.parquet' where html is not null").fetchall()]
-    differ = sum(html_extract.main_text(p) != html_extract.main_text(p, cut=False) for p in pages)
-    assert differ >= 0.9 * len(pages)
+    for page in list(KEPT)[:4]:
+        page = page.replace("{P}", PARAGRAPHS).replace("{Q}", PARAGRAPHS)
+        assert len(html_extract.main_text(page, smooth=0.0)) < len(html_extract.main_text(page))
+    pages = [h for (h,) in duckdb.sql(f"select html from '{DATA}/sf0.1/pages.parquet' where html is not null").fetchall()]
+    differ = sum(html_extract.main_text(p) != html_extract.main_text(p, smooth=0.0) for p in pages)
+    assert differ >= 0.005 * len(pages)
 
 
 def test_extraction_against_all_labellings():
-    page = '<div><p>A sentence that is long enough to be text of its own.</p><form><p>Short.</p><p>Some words, and more of them here.</p></form><div class="ad">Buy it now.</div></div>'
-    found, marks = html_extract.blocks(page)
-    price, n = html_extract.prices(marks), len(found)
-    best = {}
-    for labels in itertools.product((False, True), repeat=n + len(marks)):
-        kept, opened = labels[:n], labels[n:]
-        if any(k and b.mark >= 0 and not opened[b.mark] for k, b in zip(kept, found)) or any(o and m[1] >= 0 and not opened[m[1]] for o, m in zip(opened, marks)):
-            continue
-        cost = sum(math.log1p(math.exp(-b.evidence if k else b.evidence)) for k, b in zip(kept, found)) + sum(p for o, p in zip(opened, price) if o)
-        last = {}
-        for j, b in enumerate(found):
-            if j and kept[j] != kept[j - 1]:
-                cost += html_extract.ADJACENT + (html_extract.SIBLING if found[j - 1].parent == b.parent else 0)
-            i = last.get(b.parent)
-            cost += html_extract.KIN if i is not None and i < j - 1 and kept[i] != kept[j] else 0
-            last[b.parent] = j
-        best[kept] = min(cost, best.get(kept, cost))
+    page = '<article><p>A sentence that is long enough.</p><form><p>Short.</p></form><ul><li>x<li><a href=y>yes</a></ul><div class="ad">Buy it.</div></article>'
+    found, marks, elements = html_extract.blocks(page)
+    content, boilerplate, edges = html_extract.graph(found, marks, elements)
+    n, best = len(content), {}
+    assert n <= 16
+    for x in itertools.product((False, True), repeat=n):
+        cost = sum(content[i] if x[i] else boilerplate[i] for i in range(n))
+        for i, j, c, *back in edges:
+            if x[i] != x[j]:
+                cost += c if x[i] or not back else back[0]
+        best[x[: len(found)]] = min(cost, best.get(x[: len(found)], cost))
     want = min(best, key=best.get)
     assert html_extract.main_text(page) == "\n".join(b.text for b, k in zip(found, want) if k)
 
