@@ -1,37 +1,92 @@
-"""Ordered folds: recursive series of one symbol as one aggregate() over its sorted rows.
+"""Linear recursions of one symbol, y = a y + b from row to row, as a blocked scan.
 
-The rows of a symbol meet in one array, so a series should stay within some thousands of bars; all of a series'
-recursions run in one fold.
+A block of rows is one affine map, and maps compose: each block's map is folded from its rows, the maps of blocks before it
+are composed in steps of a block's length, and each block then follows its own rows from the value that arrives. No array
+is longer than a block (or the series' length over BLOCK cubed), time is linear in the series, and all of it uses the one
+partitioning by symbol.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candela.functions.windows import KEY
+from candela.functions.windows import KEY, series
 
+BLOCK = 64
 
-def fold_rows(df: DataFrame, order: list[str], start: Column, step: Callable[[Column, Column], Column], out: list[str]) -> DataFrame:
-    """df with columns `out`: the state after each row of its symbol, in order.
 
-    start is a struct with a field for each state; step(state, row) gives the next such struct.
+class Step(NamedTuple):
+    """A row's map: y becomes a y + b, or b alone where `cut` holds. Before the first cut y is null."""
+
+    cut: Column
+    a: Column
+    b: Column
+
+
+def ema_step(x: Column, span: int, by: str = "date") -> Step:
+    """y = (1 - w) y + w x with w = 2 / (span + 1), from the first value; a null x gives null and starts anew after it."""
+    w = 2.0 / (span + 1)
+    new = F.lag(x).over(series(by)).isNull()
+    return Step(new, F.lit(1 - w), F.when(new, x).otherwise(w * x))
+
+
+def decay_step(x: Column, weight: float, start: float, by: str = "date") -> Step:
+    """y = (1 - weight) y + weight x from `start` before the first row; null from a null x on."""
+    rest = 1 - weight
+    new = F.row_number().over(series(by)) == 1
+    return Step(new, F.lit(rest), F.when(new, rest * start + weight * x).otherwise(weight * x))
+
+
+def affine_scan(df: DataFrame, steps: dict[str, Step], by: str = "date") -> DataFrame:
+    """df with a column for each recursion: its value after each row of the symbol, in the order of `by`.
+
+    Rows that repeat a symbol and time follow one another in an undefined order. An empty table gives an empty one.
     """
-    row = F.struct(*order, *[c for c in df.columns if c not in (KEY, *order)])
-    rows = df.groupBy(KEY).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    begin = F.struct(start.alias("now"), F.array().cast(_array_of(df, start)).alias("all"))
+    names, columns = list(steps), [c for c in df.columns if c not in steps]
+    parts = [F.struct(s.cut.alias("cut"), s.a.cast("double").alias("a"), s.b.cast("double").alias("b")).alias(n) for n, s in steps.items()]
+    placed = df.select(*columns, F.struct(*parts).alias("_scan_map"), (F.row_number().over(series(by)) - 1).alias("_scan_i"))
+    row = F.struct("_scan_i", "_scan_map", F.struct(*[c for c in columns if c != KEY]).alias("row"))
+    blocks = placed.groupBy(KEY, F.floor(F.col("_scan_i") / BLOCK).alias("_scan_block")).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
 
-    def each(state: Column, x: Column) -> Column:
-        now = step(state["now"], x)
-        return F.struct(now.alias("now"), F.concat(state["all"], F.array(now)).alias("all"))
+    def each(f: Callable[[str], Column]) -> Column:
+        return F.struct(*(f(n).alias(n) for n in names))
 
-    folded = rows.select(KEY, "_rows", F.aggregate("_rows", begin, each, lambda s: s["all"]).alias("_states"))
-    each_row = folded.select(KEY, F.explode(F.arrays_zip("_rows", "_states")).alias("_r"))
-    kept = [F.col(f"_r._rows.{c}").alias(c) for c in df.columns if c != KEY]
-    return each_row.select(KEY, *kept, *(F.col(f"_r._states.{c}").alias(c) for c in out)).select(*df.columns, *out)
+    def after(first: Column, then: Column) -> Column:
+        """The map of `first` and `then` in a row."""
+        def one(n: str) -> Column:
+            l, r = first[n], then[n]
+            return F.struct((l["cut"] | r["cut"]).alias("cut"), (l["a"] * r["a"]).alias("a"), F.when(r["cut"], r["b"]).otherwise(r["a"] * l["b"] + r["b"]).alias("b"))
 
+        return each(one)
+
+    # A fold takes its type from its start, so that b must be nullable there.
+    zero = F.nullif(F.lit(0.0), F.lit(1.0))
+    still = each(lambda n: F.struct(F.lit(False).alias("cut"), F.lit(1.0).alias("a"), zero.alias("b")))
+    composed = lambda maps: F.aggregate(maps, still, after)
+    out = blocks.withColumn("_total", composed(F.transform("_rows", lambda r: r["_scan_map"])))
+    # Maps before a block: of the blocks in its run of BLOCK, of the runs in its run of BLOCK runs, and of those before.
+    for level, span in enumerate((BLOCK, BLOCK * BLOCK, None)):
+        keys = [KEY] if span is None else [KEY, F.floor(F.col("_scan_block") / span)]
+        ahead = Window.partitionBy(*keys).orderBy("_scan_block").rowsBetween(Window.unboundedPreceding, -1)
+        out = out.withColumn(f"_before{level}", composed(F.collect_list("_total").over(ahead)))
+        if span:
+            ends = F.col("_scan_block") % span == span - 1
+            out = out.withColumn("_total", F.when(ends, after(F.col(f"_before{level}"), F.col("_total"))))
+    arriving = reduce(after, (F.col(f"_before{level}") for level in (2, 1, 0)))
+    out = out.select(KEY, "_rows", arriving.alias("_m")).select(KEY, "_rows", each(lambda n: F.when(F.col("_m")[n]["cut"], F.col("_m")[n]["b"])).alias("_now"))
+
+    def follow(state: Column, r: Column) -> Column:
+        value = lambda n: F.when(r["_scan_map"][n]["cut"], r["_scan_map"][n]["b"]).otherwise(r["_scan_map"][n]["a"] * state["now"][n] + r["_scan_map"][n]["b"])
+        now = each(value)
+        return F.struct(now.alias("now"), F.concat(state["all"], F.array(now)).alias("all"))
 
-def _array_of(df: DataFrame, start: Column) -> str:
-    return f"array<{df.select(start.alias('s')).schema['s'].dataType.simpleString()}>"
+    none = F.array().cast(f"array<struct<{','.join(f'`{n}`:double' for n in names)}>>")
+    states = F.aggregate("_rows", F.struct(F.col("_now").alias("now"), none.alias("all")), follow, lambda s: s["all"])
+    rows = out.select(KEY, F.explode(F.arrays_zip("_rows", states.alias("_states"))).alias("_r"))
+    kept = [F.col(KEY) if c == KEY else F.col("_r._rows.row")[c].alias(c) for c in columns]
+    return rows.select(*kept, *(F.col("_r._states")[n].alias(n) for n in names))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candela.functions.folds import fold_rows
+from candela.functions.folds import affine_scan, decay_step, ema_step
 from candela.functions.windows import KEY, full, last_rows, moving_means, series
 
 TINY = 1e-9
@@ -25,31 +25,19 @@ def bollinger(bars: DataFrame) -> DataFrame:
 
 
 def recursions(bars: DataFrame) -> DataFrame:
-    """EMA 12 and 26, MACD (dif, dea, hist) and KDJ in one fold.
+    """EMA 12 and 26, MACD (dif, dea, hist) and KDJ.
 
     EMA: y = (1 - a) y + a x with a = 2 / (span + 1), from the first value. KDJ: k and d from 50, weight one third;
     the raw value is 50 before nine bars.
     """
     low, high = full(F.min("low").over(last_rows(9)), F.col("low"), 9), full(F.max("high").over(last_rows(9)), F.col("high"), 9)
     raw = F.coalesce((F.col("close") - low) / (high - low + TINY) * 100, F.lit(50.0))
-    rows = bars.select(KEY, "date", "close", raw.alias("rsv"))
-    null = F.lit(None).cast("double")
-    start = F.struct(null.alias("ema_12"), null.alias("ema_26"), null.alias("dea"), F.lit(50.0).alias("kdj_k"), F.lit(50.0).alias("kdj_d"))
-
-    def ema(before: Column, x: Column, span: int) -> Column:
-        a = 2.0 / (span + 1)
-        return F.coalesce((1 - a) * before + a * x, x)
-
-    def step(s: Column, x: Column) -> Column:
-        fast, slow = ema(s["ema_12"], x["close"], 12), ema(s["ema_26"], x["close"], 26)
-        k = 2.0 / 3 * s["kdj_k"] + 1.0 / 3 * x["rsv"]
-        d = 2.0 / 3 * s["kdj_d"] + 1.0 / 3 * k
-        return F.struct(fast.alias("ema_12"), slow.alias("ema_26"), ema(s["dea"], fast - slow, 9).alias("dea"), k.alias("kdj_k"), d.alias("kdj_d"))
-
-    folded = fold_rows(rows, ["date"], start, step, ["ema_12", "ema_26", "dea", "kdj_k", "kdj_d"]).drop("close", "rsv")
-    out = bars.join(folded, [KEY, "date"])
-    out = out.withColumns({"dif": F.col("ema_12") - F.col("ema_26"), "kdj_j": 3 * F.col("kdj_k") - 2 * F.col("kdj_d")})
-    return out.withColumn("hist", 2 * (F.col("dif") - F.col("dea")))
+    close, third = F.col("close"), 1.0 / 3
+    out = bars.withColumn("_rsv", raw)
+    out = affine_scan(out, {"ema_12": ema_step(close, 12), "ema_26": ema_step(close, 26), "kdj_k": decay_step(F.col("_rsv"), third, 50.0)})
+    out = out.withColumn("dif", F.col("ema_12") - F.col("ema_26"))
+    out = affine_scan(out, {"dea": ema_step(F.col("dif"), 9), "kdj_d": decay_step(F.col("kdj_k"), third, 50.0)})
+    return out.withColumns({"kdj_j": 3 * F.col("kdj_k") - 2 * F.col("kdj_d"), "hist": 2 * (F.col("dif") - F.col("dea"))}).drop("_rsv")
 
 
 def rsi(bars: DataFrame, spans: tuple[int, ...] = (6, 12, 24)) -> DataFrame:

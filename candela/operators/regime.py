@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candela.functions.folds import fold_rows
+from candela.functions.folds import Step, affine_scan
 from candela.functions.stats import SQRT_10, normal_tail, wilson
 from candela.functions.windows import KEY, full, last_rows, moving_means, rounded, series
 from candela.operators.indicators import run_length
@@ -79,14 +79,14 @@ def blended_volatility(bars: DataFrame) -> DataFrame:
     """sigma_pct (a day) and sigma10_pct: high-low range, decayed squared returns and the 250-bar deviation, blended."""
     step = F.log(F.col("close") / F.lag("close").over(series()))
     base = bars.withColumns({"_ret": step, "_range": F.pow(F.log(F.col("high") / F.col("low")), 2)})
-    null = F.lit(None).cast("double")
-
-    def decayed(s: Column, x: Column) -> Column:
-        square = x["_ret"] * x["_ret"]
-        return F.struct(F.coalesce(F.lit(DECAY) * s["_ewma"] + F.lit(1 - DECAY) * square, square, s["_ewma"]).alias("_ewma"))
-
-    folded = fold_rows(base.select(KEY, "date", "_ret"), ["date"], F.struct(null.alias("_ewma")), decayed, ["_ewma"]).drop("_ret")
-    out = base.join(folded, [KEY, "date"])
+    square, earlier = F.col("_ret") * F.col("_ret"), series().rowsBetween(Window.unboundedPreceding, -1)
+    first = F.count("_ret").over(earlier) == 0
+    # A missing return leaves the variance as it is.
+    decayed = Step(
+        F.col("_ret").isNotNull() & first, F.when(F.col("_ret").isNull(), 1.0).otherwise(DECAY),
+        F.when(F.col("_ret").isNull(), 0.0).when(first, square).otherwise((1 - DECAY) * square),
+    )
+    out = affine_scan(base, {"_ewma": decayed})
     parkinson = full(F.avg("_range").over(last_rows(20)), F.col("_range"), 20) / (4 * math.log(2))
     anchor = F.pow(full(F.stddev_samp("_ret").over(last_rows(250)), F.col("_ret"), 250), 2)
     a, b, c = VARIANCE_WEIGHTS

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candela.functions.folds import fold_rows
+from candela.functions.folds import affine_scan, decay_step, ema_step
 from candela.functions.windows import KEY, clip, last_rows, moving_means, position, rounded, score_sum, series
 from candela.operators.indicators import run_length, true_range
 
@@ -27,19 +27,10 @@ def indicators(bars: DataFrame) -> DataFrame:
     low, high = F.min("low").over(last_rows(9)), F.max("high").over(last_rows(9))
     rsv = F.when((F.col("_i") < 8) | (high == low), 50.0).otherwise((F.col("close") - low) / F.nullif(high - low, F.lit(0.0)) * 100)
     out = out.withColumns({"rsi14": F.when(F.col("_i") < 14, 50.0).otherwise(100 - 100 / (1 + ratio)), "atr14": F.avg("_tr").over(w), "_rsv": rsv})
-    null = F.lit(None).cast("double")
-    start = F.struct(null.alias("fast"), null.alias("slow"), null.alias("dea"), F.lit(50.0).alias("k"), F.lit(50.0).alias("d"))
-
-    def ema(y: Column, x: Column, span: int) -> Column:
-        return F.coalesce((x - y) * (2.0 / (span + 1)) + y, x)
-
-    def step(s: Column, x: Column) -> Column:
-        fast, slow = ema(s["fast"], x["close"], 12), ema(s["slow"], x["close"], 26)
-        k = 2.0 / 3 * s["k"] + 1.0 / 3 * x["_rsv"]
-        return F.struct(fast.alias("fast"), slow.alias("slow"), ema(s["dea"], fast - slow, 9).alias("dea"), k.alias("k"), (2.0 / 3 * s["d"] + 1.0 / 3 * k).alias("d"))
-
-    folded = fold_rows(out.select(KEY, "date", "close", "_rsv"), ["date"], start, step, ["fast", "slow", "dea", "k", "d"]).drop("close", "_rsv")
-    out = out.join(folded, [KEY, "date"]).withColumn("dif", F.col("fast") - F.col("slow"))
+    close, third = F.col("close"), 1.0 / 3
+    out = affine_scan(out, {"fast": ema_step(close, 12), "slow": ema_step(close, 26), "k": decay_step(F.col("_rsv"), third, 50.0)})
+    out = out.withColumn("dif", F.col("fast") - F.col("slow"))
+    out = affine_scan(out, {"dea": ema_step(F.col("dif"), 9), "d": decay_step(F.col("k"), third, 50.0)})
     return out.withColumns({"hist": 2 * (F.col("dif") - F.col("dea")), "j": 3 * F.col("k") - 2 * F.col("d")}).drop("_delta", "_tr", "_rsv", "fast", "slow")
 
 
