@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from candela.functions.windows import KEY, series
 
-BLOCK = 64
+BLOCK = 256
 
 
 class Step(NamedTuple):
