@@ -17,10 +17,12 @@ def sma(bars: DataFrame, spans: tuple[int, ...] = SPANS) -> DataFrame:
 
 
 def bollinger(bars: DataFrame) -> DataFrame:
-    """Bands two sample deviations around the 20-bar mean, and their width in percent of it."""
+    """Bands two sample deviations around the 20-bar mean, and their width in percent of it. A ma_20 of sma() is that mean."""
     close, middle = F.col("close"), F.col("boll_mid")
     spread = 2 * full(F.stddev_samp(close).over(last_rows(20)), close, 20)
-    out = moving_means(bars, close, {"boll_mid": 20}).withColumns({"boll_upper": middle + spread, "boll_lower": middle - spread})
+    known = "ma_20" in bars.columns
+    out = bars.withColumn("boll_mid", F.col("ma_20")) if known else moving_means(bars, close, {"boll_mid": 20})
+    out = out.withColumns({"boll_upper": middle + spread, "boll_lower": middle - spread})
     return out.withColumn("boll_width", (F.col("boll_upper") - F.col("boll_lower")) / F.nullif(F.col("boll_mid"), F.lit(0.0)) * 100)
 
 

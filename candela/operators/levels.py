@@ -29,10 +29,11 @@ def _from_row(last: DataFrame, weights: dict[str, int], prefix: str, category: s
     return _melted(last, [_named(F.col(c), w, f"{prefix}_{c}", category) for c, w in weights.items()])
 
 
-def level_candidates(daily: DataFrame, weekly: DataFrame | None, hourly: DataFrame | None, summary: DataFrame, peaks: DataFrame, swings: DataFrame, gaps: DataFrame, waves: DataFrame) -> DataFrame:
+def level_candidates(daily: DataFrame, weekly: DataFrame | None, hourly: DataFrame | None, summary: DataFrame, peaks: DataFrame | None, swings: DataFrame, gaps: DataFrame, waves: DataFrame) -> DataFrame:
     """Rows (symbol, price, weight, source, category) of all weighted prices above 0.
 
-    daily, weekly, hourly: indicator frames, whose last rows count. summary and peaks: of the volume profile.
+    daily, weekly, hourly: indicator frames, whose last rows count. summary and peaks: of the volume profile; without peaks
+    those that profile_state() puts into the summary.
     """
     parts = [_from_row(latest(daily), DAILY_WEIGHTS, "day", "MA_CHANNEL")]
     if weekly is not None:
@@ -40,7 +41,11 @@ def level_candidates(daily: DataFrame, weekly: DataFrame | None, hourly: DataFra
     if hourly is not None:
         parts.append(_from_row(latest(hourly, "ts"), HOURLY_WEIGHTS, "hour", "INTRADAY_60M"))
     parts.append(_melted(summary, [_named(F.col("poc"), POC, "poc", "CHIPS"), _named(F.col("low_70"), RANGE_EDGE, "range_low", "CHIPS"), _named(F.col("high_70"), RANGE_EDGE, "range_high", "CHIPS")]))
-    second = peaks.select(KEY, rounded(F.col("centre"), 2).alias("p")).join(summary.select(KEY, "poc"), KEY).where(F.abs(F.col("p") - F.col("poc")) / F.col("poc") > 0.03)
+    if peaks is None:
+        centres = summary.select(KEY, "poc", F.explode("peaks").alias("_p")).select(KEY, "poc", rounded(F.col("_p.centre"), 2).alias("p"))
+    else:
+        centres = peaks.select(KEY, rounded(F.col("centre"), 2).alias("p")).join(summary.select(KEY, "poc"), KEY)
+    second = centres.where(F.abs(F.col("p") - F.col("poc")) / F.col("poc") > 0.03)
     parts.append(_melted(second, [_named(F.col("p"), SECOND_PEAK, F.concat(F.lit("peak_"), F.col("p").cast("decimal(12,2)").cast("string")), "CHIPS")]))
     parts.append(_melted(swings, [_named(F.col("price"), SWING, F.concat(F.lit("swing_"), "kind", F.lit("_"), F.col("date").cast("string")), "STRUCTURE")]))
     edge = F.when(F.col("kind") == "UP_GAP", F.col("bottom")).otherwise(F.col("top"))

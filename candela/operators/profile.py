@@ -73,7 +73,11 @@ def turnover_decay_profile(bars: DataFrame, bins: int = BINS, lookback: int = LO
 
 def profile_poc(profile: DataFrame) -> DataFrame:
     """The densest bin's centre, the lowest of equals."""
-    return profile.groupBy(KEY).agg(rounded(F.min_by("centre", F.struct(-F.col("density"), "bin")), 2).alias("poc"))
+    return profile.groupBy(KEY).agg(_densest())
+
+
+def _densest() -> Column:
+    return rounded(F.min_by("centre", F.struct(-F.col("density"), "bin")), 2).alias("poc")
 
 
 def profile_peaks(profile: DataFrame) -> DataFrame:
@@ -81,26 +85,53 @@ def profile_peaks(profile: DataFrame) -> DataFrame:
     w = Window.partitionBy(KEY).orderBy("bin").rangeBetween(-1, -1), Window.partitionBy(KEY).orderBy("bin").rangeBetween(1, 1)
     left, right = (F.coalesce(F.max("density").over(x), F.lit(0.0)) for x in w)
     out = profile.withColumns({"_left": left, "_right": right})
-    peak = F.col("bin").between(1, BINS - 2) & (F.col("density") > F.col("_left")) & (F.col("density") > F.col("_right")) & (F.col("density") > PEAK)
-    return out.where(peak).select(KEY, "bin", "centre", "density")
+    return out.where(_is_peak()).select(KEY, "bin", "centre", "density")
+
+
+def _is_peak() -> Column:
+    density = F.col("density")
+    return F.col("bin").between(1, BINS - 2) & (density > F.col("_left")) & (density > F.col("_right")) & (density > PEAK)
 
 
 def profit_ratio(profile: DataFrame) -> DataFrame:
     """Percent of the density at centres up to the last close."""
-    return profile.groupBy(KEY).agg(rounded(100 * F.coalesce(F.sum(F.when(F.col("centre") <= F.col("last_close"), F.col("density"))), F.lit(0.0)), 2).alias("profit_ratio"))
+    return profile.groupBy(KEY).agg(_in_profit())
+
+
+def _in_profit() -> Column:
+    below = F.sum(F.when(F.col("centre") <= F.col("last_close"), F.col("density")))
+    return rounded(100 * F.coalesce(below, F.lit(0.0)), 2).alias("profit_ratio")
 
 
 def concentration(profile: DataFrame) -> DataFrame:
     """Ranges that hold the middle 70 and 90 % of the density, their width in percent of the close, and the single-peak flag."""
-    run = F.sum("density").over(Window.partitionBy(KEY).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
-    rows = profile.withColumn("_cum", run)
+    return _widths(profile.withColumn("_cum", _running()).groupBy(KEY).agg(*_cuts()))
+
+
+def _running() -> Column:
+    return F.sum("density").over(Window.partitionBy(KEY).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+
+
+def _cuts() -> list[Column]:
     cut = lambda x: F.min(F.when(F.col("_cum") >= x, F.col("centre")))
-    out = rows.groupBy(KEY).agg(F.max("last_close").alias("_c"), *(cut(x).alias(f"_{n}") for n, x in (("l70", 0.15), ("h70", 0.85), ("l90", 0.05), ("h90", 0.95))))
+    return [F.max("last_close").alias("_c"), *(cut(x).alias(f"_{n}") for n, x in (("l70", 0.15), ("h70", 0.85), ("l90", 0.05), ("h90", 0.95)))]
+
+
+def _widths(out: DataFrame) -> DataFrame:
     wide = lambda p: rounded((F.col(f"_h{p}") - F.col(f"_l{p}")) / (F.col("_c") + 1e-9) * 100, 2)
     edge = {f"{e}_{p}": rounded(F.col(f"_{e[0]}{p}"), 2) for p in (70, 90) for e in ("low", "high")}
     return out.withColumns({"conc_70": wide(70), "conc_90": wide(90), **edge}).withColumn("single_peak", F.col("conc_90") < 10).drop("_c", "_l70", "_h70", "_l90", "_h90")
 
 
+def profile_state(profile: DataFrame) -> DataFrame:
+    """One row a symbol from one pass over its bins: poc, profit_ratio, concentration, and peaks (array of bin, centre, density)."""
+    around = Window.partitionBy(KEY).orderBy("bin")
+    near = lambda k: F.coalesce(F.max("density").over(around.rangeBetween(k, k)), F.lit(0.0))
+    rows = profile.withColumns({"_cum": _running(), "_left": near(-1), "_right": near(1)})
+    peaks = F.array_sort(F.collect_list(F.when(_is_peak(), F.struct("bin", "centre", "density")))).alias("peaks")
+    return _widths(rows.groupBy(KEY).agg(_densest(), _in_profit(), *_cuts(), peaks))
+
+
 def profile_summary(profile: DataFrame) -> DataFrame:
     """One row a symbol: poc, profit_ratio and concentration."""
-    return profile_poc(profile).join(profit_ratio(profile), KEY).join(concentration(profile), KEY)
+    return profile_state(profile).drop("peaks")

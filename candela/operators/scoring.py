@@ -22,11 +22,17 @@ def state_rows(daily: DataFrame, weekly: DataFrame, summary: DataFrame, divergen
     counted = latest(daily)
     if "n" not in daily.columns:
         counted = counted.join(daily.groupBy(KEY).agg(F.count(F.lit(1)).alias("n")), KEY)
-    week = latest(weekly).select(KEY, *(F.col(c).alias(f"week_{c}") for c in ("close", "ma_20", "ma_60")))
     marks = latest(features.select(KEY, "date", "is_breakout", "is_shrink", "vp_state")).drop("date")
+    day = counted.join(divergence.drop("date"), KEY, "left").join(marks, KEY, "left")
+    return join_state(day, latest(weekly), summary, bands)
+
+
+def join_state(day: DataFrame, week: DataFrame, summary: DataFrame, bands: DataFrame) -> DataFrame:
+    """state_rows() from tables with one row a symbol; day: the newest bar with n, the divergences and the volume marks."""
+    week = week.select(KEY, *(F.col(c).alias(f"week_{c}") for c in ("close", "ma_20", "ma_60")))
     side = lambda s: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("nth", "centre")))), lambda x: x["centre"])
     lists = bands.groupBy(KEY).agg(side("support").alias("supports"), side("resistance").alias("resistances"))
-    out = counted.join(week, KEY, "left").join(summary, KEY, "left").join(divergence.drop("date"), KEY, "left").join(marks, KEY, "left").join(lists, KEY, "left")
+    out = day.join(week, KEY, "left").join(summary, KEY, "left").join(lists, KEY, "left")
     none = F.array().cast("array<double>")
     return out.withColumns({c: F.coalesce(c, none) for c in ("supports", "resistances")})
 
@@ -117,7 +123,10 @@ def signal_type(state: DataFrame) -> DataFrame:
 
 
 def trade_plan(state: DataFrame) -> DataFrame:
-    """Entry range, stop, two targets, expected gain and loss net of costs, and their ratio. Prices have two digits."""
+    """Entry range, stop, two targets, expected gain and loss net of costs, their ratio and its label. Prices have two digits.
+
+    rr_quality: no_entry for a ratio of 0 (the stop isn't below the close, or nothing is to be gained), excellent from 3, good from 2.
+    """
     c, s1, atr = F.col("close"), F.col("s1"), F.coalesce("atr", F.col("close") * 0.02)
     out = state.withColumns({
         "entry_low": rounded(F.coalesce(s1 * 0.992, c * 0.985), 2),
@@ -131,7 +140,10 @@ def trade_plan(state: DataFrame) -> DataFrame:
     out = out.withColumn("tp_2", rounded(F.coalesce(F.try_element_at(after, F.lit(1)), F.col("tp_1") * 1.06), 2))
     out = out.withColumns({"gain_pct": rounded((F.col("tp_1") - c) / c * 100 - 2 * COST, 2), "loss_pct": rounded((c - F.col("stop_loss")) / c * 100 + 2 * COST, 2)})
     ratio = F.when((F.col("loss_pct") > 0) & (F.col("gain_pct") > 0), rounded(F.col("gain_pct") / F.nullif(F.col("loss_pct"), F.lit(0.0)), 2)).otherwise(0.0)
-    return out.withColumn("rr_ratio", ratio).withColumn("holding", F.when(F.col("bullish_score") >= 70, "short").otherwise("medium")).drop("_far")
+    out = out.withColumn("rr_ratio", ratio)
+    rr = F.col("rr_ratio")
+    quality = F.when(rr <= 0, "no_entry").when(rr >= 3.0, "excellent").when(rr >= 2.0, "good").otherwise("ordinary")
+    return out.withColumns({"rr_quality": quality, "holding": F.when(F.col("bullish_score") >= 70, "short").otherwise("medium")}).drop("_far")
 
 
 def screens(state: DataFrame) -> DataFrame:

@@ -83,9 +83,24 @@ def macd_divergence(bars: DataFrame) -> DataFrame:
     Pivots are extremes within three bars each side; the last two bars are compared with those before them alone, and then
     need half as much again. The last pivot is held against the latest one five bars or more before it. Bars need dif, atr.
     """
-    rows = bars.withColumns({"_r": from_end(), "n": F.count(F.lit(1)).over(Window.partitionBy(KEY))}).where((F.col("n") >= LEAST_PIVOT) & (F.col("_r") <= PIVOT_ROWS))
-    m = F.least(F.col("n"), F.lit(PIVOT_ROWS))
-    rows = rows.select(KEY, "date", "close", "dif", "atr", (m - F.col("_r")).alias("i"), m.alias("m"))
+    found = _pivot_rows(bars).where(F.col("n") >= LEAST_PIVOT)
+    return found.select(KEY, "date", "bullish_divergence", "bearish_divergence")
+
+
+def last_state(frame: DataFrame) -> DataFrame:
+    """The newest row of each symbol with n (its number of bars) and the marks of macd_divergence(), in one pass; under
+    30 bars the marks are null."""
+    found = _pivot_rows(frame)
+    sure = lambda c: F.when(F.col("n") >= LEAST_PIVOT, F.col(c)).alias(c)
+    return found.select(KEY, "last.*", "n", sure("bullish_divergence"), sure("bearish_divergence"))
+
+
+def _pivot_rows(bars: DataFrame) -> DataFrame:
+    """One row a symbol: n, its newest bar (last) and the two divergences over its last 40 bars."""
+    rows = bars.withColumns({"_r": from_end(), "_bars": F.count(F.lit(1)).over(Window.partitionBy(KEY))}).where(F.col("_r") <= PIVOT_ROWS)
+    m = F.least(F.col("_bars"), F.lit(PIVOT_ROWS))
+    kept = F.when(F.col("_r") == 1, F.struct(*(c for c in bars.columns if c != KEY))).alias("last")
+    rows = rows.select(KEY, "date", "close", "dif", "atr", (m - F.col("_r")).alias("i"), m.alias("m"), F.col("_bars").alias("n"), kept)
     around, left, back = series().rowsBetween(-3, 3), series().rowsBetween(-3, -1), series().rowsBetween(-3, 0)
     whole, edge = F.col("i").between(2, F.col("m") - 3), F.col("i") >= F.col("m") - 2
     eps = F.greatest(F.lit(0.03), 0.05 * F.coalesce(F.max_by("atr", "date").over(Window.partitionBy(KEY)), F.lit(0.0)))
@@ -102,7 +117,9 @@ def macd_divergence(bars: DataFrame) -> DataFrame:
         return pivots.alias(kind)
 
     # 40 pivots at most for each symbol.
-    found = rows.groupBy(KEY).agg(F.max("date").alias("date"), F.max("eps").alias("eps"), pair("low"), pair("high"))
+    found = rows.groupBy(KEY).agg(
+        F.max("date").alias("date"), F.max("eps").alias("eps"), pair("low"), pair("high"), F.max("n").alias("n"), F.max_by("last", "date").alias("last"),
+    )
     for kind in ("low", "high"):
         last = F.try_element_at(kind, F.lit(-1))
         earlier = F.filter(kind, _before(last))
@@ -110,7 +127,8 @@ def macd_divergence(bars: DataFrame) -> DataFrame:
     need = lambda k: F.col("eps") * F.when(F.col(f"{k}_b.edge"), 1.5).otherwise(1.0)
     bull = (F.col("low_b.close") <= F.col("low_a.close") * 1.01) & (F.col("low_b.d2") > F.col("low_a.d1") + need("low"))
     bear = (F.col("high_b.close") >= F.col("high_a.close") * 0.99) & (F.col("high_b.d2") < F.col("high_a.d1") - need("high"))
-    return found.select(KEY, "date", F.coalesce(bull, F.lit(False)).alias("bullish_divergence"), F.coalesce(bear, F.lit(False)).alias("bearish_divergence"))
+    marks = {"bullish_divergence": F.coalesce(bull, F.lit(False)), "bearish_divergence": F.coalesce(bear, F.lit(False))}
+    return found.withColumns(marks).select(KEY, "date", "n", "last", *marks)
 
 
 def volume_features(bars: DataFrame) -> DataFrame:

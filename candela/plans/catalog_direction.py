@@ -86,7 +86,7 @@ k1 as (select ld.symbol, close, coalesce(a1, round(close*0.985e0, 2)) as s1, coa
 select symbol, close, s1, coalesce(a2, round(s1*0.98e0, 2)) as s2, r1, coalesce(b2, round(r1*1.02e0, 2)) as r2 from k1"""))
 def _(spark, d):
     bars = cb.daily(spark, d)
-    return dr.key_levels(closes(bars), lev.levels(candidates(spark, d, bars), closes(bars)))
+    return dr.key_levels(closes(bars), lev.levels(candidates(spark, d), closes(bars)))
 
 
 @query("d10_summary", f"{ALL} " + " union all ".join(f"select symbol, '{n}' as timeframe, label, score, status from {_LAST.format(t)} _x" for n, t in (("day", "dir_d"), ("week", "dir_w"), ("hour", "dir_h"))))

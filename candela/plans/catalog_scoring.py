@@ -6,13 +6,10 @@ from pyspark.sql import functions as F
 
 from candela.operators import indicators as ind
 from candela.operators import levels as lev
-from candela.operators import normalise as norm
-from candela.operators import profile as prof
 from candela.operators import scoring as sc
-from candela.operators import structure as st
 from candela.plans import catalog_bars as cb
 from candela.plans.catalog_bars import B, QUOTES, daily, portable, query, quotes
-from candela.plans.catalog_structure import DIVERGENCE, FEATURES, LEVELS, MA, candidates, closes
+from candela.plans.catalog_structure import DIVERGENCE, FEATURES, LEVELS, MA, candidates, closes, part
 from candela.plans.fixtures import INSTRUMENTS, derive
 
 _LOCAL = set(cb.QUERIES)
@@ -46,7 +43,8 @@ signals as (select *, case when bullish_score >= 75 and (s_dist <= 3 or coalesce
 p1 as (select *, round(coalesce(s1*0.992e0, close*0.985e0), 2) as entry_low, round(case when s1 is not null then greatest(close*1.003e0, s1*1.015e0) else close*1.005e0 end, 2) as entry_high, list_filter(resistances, lambda r: (r - close)/close*100 >= 3) as far from signals),
 p2 as (select *, round(greatest(case when s1 is not null then least(s1*0.975e0, entry_low - 3*atr) else close - 3*atr end, close*0.88e0), 2) as stop_loss, round(coalesce(far[1], r1, close*1.08e0), 2) as tp_1 from p1),
 p3 as (select *, round(coalesce((list_filter(far, lambda r: r > tp_1*1.001e0))[1], tp_1*1.06e0), 2) as tp_2, round((tp_1 - close)/close*100 - 1, 2) as gain_pct, round((close - stop_loss)/close*100 + 1, 2) as loss_pct from p2),
-plans as (select *, case when loss_pct > 0 and gain_pct > 0 then round(gain_pct/loss_pct, 2) else 0e0 end as rr_ratio, case when bullish_score >= 70 then 'short' else 'medium' end as holding from p3),
+p4 as (select *, case when loss_pct > 0 and gain_pct > 0 then round(gain_pct/loss_pct, 2) else 0e0 end as rr_ratio, case when bullish_score >= 70 then 'short' else 'medium' end as holding from p3),
+plans as (select *, case when rr_ratio <= 0 then 'no_entry' when rr_ratio >= 3 then 'excellent' when rr_ratio >= 2 then 'good' else 'ordinary' end as rr_quality from p4),
 tests as (select *, round(kdj_j, 1) as j1, round(vol_ratio, 2) as v2 from plans),
 screened as (select *, array_to_string(list_filter([case when s_dist between 0 and 2.5e0 and (j1 < 30 or signal = 'BUY_SUPPORT_PULLBACK') and rr_ratio >= 2.2e0 then 'SUPPORT_PULLBACK' end, case when v2 >= 1.6e0 and r_dist between -1.5e0 and 2.5e0 and profit_ratio >= 70 then 'BREAKOUT_PRESSURE' end,
     case when weekly_trend = 'bull' and conc_90 <= 10 and close > poc*1.02e0 then 'MAIN_WAVE_TREND' end, case when (close <= boll_lower*1.01e0 or bullish_divergence) and j1 < 15 and v2 <= 1.2e0 then 'OVERSOLD_DIVERGENCE' end], lambda x: x is not null), ',') as strategies from tests)""")
@@ -57,15 +55,17 @@ def state(spark, d):
 
 
 def _state(spark, d):
-    bars = daily(spark, d)
-    return state_of(bars, lev.levels(candidates(spark, d, bars), closes(bars)))
+    parts = (part(name, spark, d) for name in ("day", "week", "profile"))
+    return joined(*parts, lev.levels(candidates(spark, d), closes(daily(spark, d))))
+
+
+def joined(day, week, profiled, bands):
+    return sc.join_state(day, week, profiled.drop("peaks"), bands)
 
 
 def state_of(bars, bands):
     """State rows of any series with date, prices and volume."""
-    frame = ind.recursions(ind.vol_ratio(ind.atr(ind.bollinger(ind.sma(bars)))))
-    week = ind.sma(norm.weekly(bars))
-    return sc.state_rows(frame, week, prof.profile_summary(prof.volume_profile(bars)), st.macd_divergence(frame), st.volume_features(ind.vol_ratio(norm.change_pct(bars))), bands)
+    return joined(*(part(name, None, None, bars) for name in ("day", "week", "profile")), bands)
 
 
 def scored(spark, d):
@@ -76,7 +76,8 @@ for _name, _table, _columns, _doubles in (
     ("c1_adaptive_weights", "weights", "", ""), ("c2_weights", "moved", "w_trend w_chips w_momentum", "w_trend w_chips w_momentum"), ("c3_trend_score", "scored", "trend_score weekly_trend", ""),
     ("c4_chip_score", "scored", "chip_score", ""), ("c5_momentum_score", "moved", "momentum_score", ""), ("c6_position_score", "moved", "s_dist r_dist position_score", "s_dist r_dist"),
     ("c7_composite", "compl", "bullish_score bearish_score bullish_clipped", ""), ("c8_signal", "signals", "signal", ""),
-    ("c9_trade_plan", "plans", "entry_low entry_high stop_loss tp_1 tp_2 gain_pct loss_pct rr_ratio holding", ""), ("c11_screens", "screened", "strategies", ""),
+    ("c9_trade_plan", "plans", "entry_low entry_high stop_loss tp_1 tp_2 gain_pct loss_pct rr_ratio rr_quality holding", ""),
+    ("c11_screens", "screened", "strategies", ""),
 ):
     if _name == "c1_adaptive_weights":
         query(_name, f"{STATE} select symbol, w[1] as w_trend, w[2] as w_chips, w[3] as w_momentum, w[4] as w_position from weights")(lambda spark, d: sc.adaptive_weights(state(spark, d)).select("symbol", *sc.WEIGHTS))

@@ -10,6 +10,7 @@ from candela.operators import normalise as norm
 from candela.operators import profile as prof
 from candela.operators import structure as st
 from candela.plans import catalog_bars as cb
+from candela.sources.bars import latest
 from candela.plans.catalog_bars import ATR, B, BOLL, BR, CHANGE, LIMITS, SMA, VR, WEEKLY, daily, mean_sql, portable, query
 
 _LOCAL = set(cb.QUERIES)
@@ -174,11 +175,35 @@ ranked as materialized (select * exclude (cluster), case when side = 'support' t
 LEVELS = f"{BR}, {PROFILE}, {SUMMARY}, {SWINGS}, {GAPS}, {WAVES}, {candidates_cte()}"
 
 
+def day_frame(bars):
+    """Bars with every indicator that a state row takes."""
+    frame = ind.recursions(ind.vol_ratio(ind.atr(ind.bollinger(ind.sma(bars)))))
+    return st.volume_features(norm.change_pct(frame))
+
+
+def day_state(bars):
+    return st.last_state(day_frame(bars))
+
+
+def week_state(bars):
+    return latest(ind.bollinger(ind.sma(norm.weekly(bars))))
+
+
+def profile_state(bars):
+    return prof.profile_state(prof.volume_profile(bars))
+
+
+def part(name, spark, d, bars=None):
+    """A table of one row a symbol (day, week or profile): the levels and the state rows of all queries stand on the same three."""
+    make = {"day": day_state, "week": week_state, "profile": profile_state}[name]
+    return make(bars) if bars is not None else cb.kept(f"{name}-state", spark, d, lambda: make(daily(spark, d)))
+
+
 def candidates(spark, d, bars=None):
+    """Candidates of the folder's bars, or of other bars."""
+    day, week, profiled = (part(name, spark, d, bars) for name in ("day", "week", "profile"))
     bars = daily(spark, d) if bars is None else bars
-    week = ind.bollinger(ind.sma(norm.weekly(bars)))
-    profiled = prof.volume_profile(bars)
-    return lev.level_candidates(ind.bollinger(ind.sma(bars)), week, None, prof.profile_summary(profiled), prof.profile_peaks(profiled), st.swing_points(bars), st.price_gaps(bars), st.fibonacci_wave(bars))
+    return lev.level_candidates(day, week, None, profiled, None, st.swing_points(bars), st.price_gaps(bars), st.fibonacci_wave(bars))
 
 
 def closes(bars):
