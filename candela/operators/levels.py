@@ -39,7 +39,7 @@ def level_candidates(daily: DataFrame, weekly: DataFrame | None, hourly: DataFra
     if weekly is not None:
         parts.append(_from_row(latest(weekly), WEEKLY_WEIGHTS, "week", "WEEKLY_MA"))
     if hourly is not None:
-        parts.append(_from_row(latest(hourly, "ts"), HOURLY_WEIGHTS, "hour", "INTRADAY_60M"))
+        parts.append(_from_row(latest(hourly), HOURLY_WEIGHTS, "hour", "INTRADAY_60M"))
     parts.append(_melted(summary, [_named(F.col("poc"), POC, "poc", "CHIPS"), _named(F.col("low_70"), RANGE_EDGE, "range_low", "CHIPS"), _named(F.col("high_70"), RANGE_EDGE, "range_high", "CHIPS")]))
     if peaks is None:
         centres = summary.select(KEY, "poc", F.explode("peaks").alias("_p")).select(KEY, "poc", rounded(F.col("_p.centre"), 2).alias("p"))

@@ -104,6 +104,13 @@ def weekly(bars: DataFrame) -> DataFrame:
     return out.withColumns({"change_pct": change, "is_limit_up": F.lit(False), "is_limit_down": F.lit(False)})
 
 
+def roll_up(bars: DataFrame, unit: str) -> DataFrame:
+    """Bars of a coarser unit (hour, day) from finer ones: first open, extremes, last close, sums. Bars of a part of the
+    data combine in the same way, so hours and days come from one table of half-hours. Days are dates."""
+    at = F.date_trunc(unit, "date")
+    return _resample(bars.where(F.col("close").isNotNull()), at.cast("date") if unit == "day" else at)
+
+
 def monthly(bars: DataFrame) -> DataFrame:
     """Months labelled by their first day."""
     return _resample(bars, F.trunc("date", "MM"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from candela.functions.folds import Step, affine_scan
 from candela.functions.stats import SQRT_10, normal_tail, wilson
+from candela.functions.ranks import moving_ranks
 from candela.functions.windows import KEY, full, last_rows, moving_means, rounded, series
 from candela.operators.indicators import run_length
 
@@ -49,21 +50,17 @@ def funding_join(bars: DataFrame, funding: DataFrame) -> DataFrame:
     return out.withColumn("funding_5d", F.lag("_5d").over(series())).drop("_5d")
 
 
-def rolling_rank(x: Column, window: int = RANK_WINDOW, least: int = RANK_LEAST) -> Column:
-    """Share of the last `window` values, its own included, that are below it; null before `least` of them or if it is null."""
-    values = F.collect_list(x).over(last_rows(window))  # leaves nulls out
-    return F.when((F.size(values) >= least) & x.isNotNull(), F.size(F.filter(values, lambda v: v < x)) / F.size(values))
-
-
 def ice_ranks(features: DataFrame) -> DataFrame:
-    """Ranks of the six parts of the cold score; features need regime_features(), funding_5d and down_run."""
+    """Ranks of the six parts of the cold score: the share of a part's last RANK_WINDOW rows' values, its own included, that are
+    below it; null before RANK_LEAST of them or if it is null. features need regime_features(), funding_5d and down_run."""
     raws = {
         "ice_ret20": -F.col("ret20"), "ice_dev": -F.col("dev_ma20"), "ice_ret60": -F.col("ret60"),
         "ice_vol": F.when(F.col("vol_ratio20") > 0, 1 / F.col("vol_ratio20")), "ice_margin": -F.col("funding_5d"), "ice_consec": F.col("down_run").cast("double"),
     }
     out = features.withColumns({f"_{k}": v for k, v in raws.items()})
-    out = out.withColumns({k: rolling_rank(F.col(f"_{k}")) for k in raws})
-    return out.drop(*(f"_{k}" for k in raws))
+    out = moving_ranks(out, [f"_{k}" for k in raws], RANK_WINDOW)
+    share = lambda k: F.when(F.col(f"_{k}_n") >= RANK_LEAST, F.col(f"_{k}_below") / F.nullif(F.col(f"_{k}_n"), F.lit(0)))
+    return out.withColumns({k: share(k) for k in raws}).drop(*(f"_{k}{x}" for k in raws for x in ("", "_n", "_below", "_upto")))
 
 
 def ice_score(ranked: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candela.functions.folds import affine_scan, decay_step, ema_step
+from candela.functions.ranks import moving_ranks
 from candela.functions.windows import KEY, clip, last_rows, moving_means, position, rounded, score_sum, series
 from candela.operators.indicators import run_length, true_range
 
@@ -85,15 +86,11 @@ def turning_trigger(features: DataFrame) -> DataFrame:
 
 def trailing_percentile(scored: DataFrame) -> DataFrame:
     """rd_pct and cd_pct: share of the last 250 scores, from the 31st bar on, that are not above the bar's own."""
-    out = scored
-    for c in ("rd", "cd"):
-        values = F.collect_list(F.when(F.col("_i") >= LEAST_BARS, F.col(c))).over(last_rows(WINDOW))
-        out = out.withColumn(f"{c}_pct", F.when(F.size(values) > 0, rounded(100 * F.size(F.filter(values, _not_above(F.col(c)))) / F.nullif(F.size(values), F.lit(0)), 1)).otherwise(0.0))
-    return out
-
-
-def _not_above(x: Column):
-    return lambda v: v <= x
+    out = scored.withColumns({f"_{c}": F.when(F.col("_i") >= LEAST_BARS, F.col(c)) for c in ("rd", "cd")})
+    out = moving_ranks(out, ["_rd", "_cd"], WINDOW)
+    share = lambda c: rounded(100 * F.col(f"_{c}_upto") / F.nullif(F.col(f"_{c}_n"), F.lit(0)), 1)
+    out = out.withColumns({f"{c}_pct": F.coalesce(share(c), F.lit(0.0)) for c in ("rd", "cd")})
+    return out.drop(*(f"_{c}{x}" for c in ("rd", "cd") for x in ("", "_n", "_below", "_upto")))
 
 
 def resonance_labels(scored: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ from candela.functions.windows import KEY, clip, position, rounded, score_sum, s
 from candela.sources.bars import latest
 
 COST, STOP_ATR, MOST_RISK, FAR = 0.5, 3.0, 12.0, 3.0
+#: Names of the screens.
+STRATEGIES = ("SUPPORT_PULLBACK", "BREAKOUT_PRESSURE", "MAIN_WAVE_TREND", "OVERSOLD_DIVERGENCE")
 WEIGHTS = ("w_trend", "w_chips", "w_momentum", "w_position")
 
 

@@ -11,15 +11,15 @@ from candela.operators import resonance as rs
 from candela.plans import catalog_bars as cb
 from candela.plans.catalog_bars import ATR, CHANGE, WEEK, mean_sql, portable, query, recursion_cte, run_sql
 from candela.plans.catalog_eval import index
-from candela.plans.catalog_structure import LEVELS, candidates, closes
-from candela.plans.fixtures import HOURLY, INDEX_DAILY, derive
+from candela.plans.catalog_structure import LEVELS, candidates, closes, half_hourly
+from candela.plans.fixtures import HALF_HOURLY, HOURLY, INDEX_DAILY
 from candela.sources.bars import latest
 
 _LOCAL = set(cb.QUERIES)
 
 
 def hourly(spark, d):
-    return cb.kept("hourly", spark, d, lambda: derive(spark, d, HOURLY).withColumnRenamed("ts", "date"))
+    return cb.kept("hourly", spark, d, lambda: norm.roll_up(half_hourly(spark, d), "hour"))
 
 
 def weekly(spark, d):
@@ -27,7 +27,7 @@ def weekly(spark, d):
 
 
 def frames(spark, d):
-    make = {"day": lambda: index(spark, d), "week": lambda: weekly(spark, d), "hour": lambda: hourly(spark, d)}
+    make = {"day": lambda: index(spark, d), "week": lambda: weekly(spark, d), "hour": lambda: hourly(spark, d), "half": lambda: half_hourly(spark, d)}
     return {k: cb.kept(f"direction-{k}", spark, d, lambda m=m: dr.directions(m())) for k, m in make.items()}
 
 
@@ -40,8 +40,8 @@ _d{tag} as (select b.symbol, b.date, b.close, {mean_sql('close', 20).replace('cl
 dir{tag} as materialized (select symbol, date, close, dif, hist, kdj_j, n, """ + portable("round(ch/(atr + 1e-9), 2) as slope, round(greatest(-0.95e0, least(0.95e0, 0.3e0*tanh((close - coalesce(ma_20, close))/(0.5e0*greatest(atr, close*0.005e0))) + 0.2e0*tanh((coalesce(ma_20, close) - coalesce(ma_60, close))/(0.5e0*greatest(atr, close*0.005e0))) + case when hist > 0 and hist >= hb then 0.35e0 when hist > 0 then 0.15e0 when hist < 0 and hist <= hb then -0.35e0 when hist < 0 then -0.15e0 else 0e0 end + case when kdj_j < 30 then 0.1e0 when kdj_j > 90 then -0.15e0 else 0e0 end)), 2) as score") + f" from _d{tag})"
 
 
-X = f"with recursive bars as materialized ({INDEX_DAILY}), week as materialized (select symbol, {WEEK} as date, min_by(open, date) as open, max(high) as high, min(low) as low, max_by(close, date) as close, sum(volume) as volume from bars group by symbol, {WEEK}), hour as materialized (select symbol, ts as date, open, high, low, close, volume from ({HOURLY}) h)"
-DAY, ALL = f"{X}, {direction_cte('bars', '_d')}", f"{X}, {direction_cte('bars', '_d')}, {direction_cte('week', '_w')}, {direction_cte('hour', '_h')}"
+X = f"with recursive bars as materialized ({INDEX_DAILY}), week as materialized (select symbol, {WEEK} as date, min_by(open, date) as open, max(high) as high, min(low) as low, max_by(close, date) as close, sum(volume) as volume from bars group by symbol, {WEEK}), hour as materialized (select symbol, ts as date, open, high, low, close, volume from ({HOURLY}) h), half as materialized (select symbol, ts as date, open, high, low, close, volume from ({HALF_HOURLY}) q)"
+DAY, ALL = f"{X}, {direction_cte('bars', '_d')}", f"{X}, {direction_cte('bars', '_d')}, {direction_cte('week', '_w')}, {direction_cte('hour', '_h')}, {direction_cte('half', '_q')}"
 LABEL = "case when {0} >= 0.2e0 then 'bull' when {0} >= 0.1e0 then 'weak_bull' when {0} <= -0.2e0 then 'bear' when {0} <= -0.1e0 then 'weak_bear' else 'neutral' end"
 STATUS = "case when n < 15 then 'insufficient' when score >= 0.3e0 then 'rising' when score >= 0.1e0 then 'firm' when score <= -0.3e0 then 'pressed' else 'range' end"
 PHASE = "case when hist > 0 and dif >= 0 then 'above_growing' when hist > 0 then 'below_mending' when dif < 0 then 'below_widening' else 'above_fading' end"
@@ -89,7 +89,7 @@ def _(spark, d):
     return dr.key_levels(closes(bars), lev.levels(candidates(spark, d), closes(bars)))
 
 
-@query("d10_summary", f"{ALL} " + " union all ".join(f"select symbol, '{n}' as timeframe, label, score, status from {_LAST.format(t)} _x" for n, t in (("day", "dir_d"), ("week", "dir_w"), ("hour", "dir_h"))))
+@query("d10_summary", f"{ALL} " + " union all ".join(f"select symbol, '{n}' as timeframe, label, score, status from {_LAST.format(t)} _x" for n, t in (("day", "dir_d"), ("week", "dir_w"), ("hour", "dir_h"), ("half", "dir_q"))))
 def _(spark, d):
     out = dr.timeframe_summary(frames(spark, d))
     return out.select("symbol", F.explode("timeframes").alias("timeframe", "v")).select("symbol", "timeframe", "v.label", "v.score", "v.status")
@@ -135,24 +135,24 @@ def _(spark, d):
 
 
 def board(spark, d):
-    """One row an index: its last resonance row with the labels and scores of every timeframe; 30 minutes stand on the hourly bars."""
+    """One row an index: its last resonance row with the labels and scores of every timeframe."""
 
     def make():
         f = frames(spark, d)
         out = latest(resonance(spark, d).select("symbol", "date", "rd", "cd", "g")).join(latest(rs.stage_trend(index(spark, d)).select("symbol", "date", "trend_score")).drop("date"), "symbol")
-        for name, label, part in (("score_week", "weekly_label", "week"), ("score_day", None, "day"), ("score_60m", None, "hour")):
+        for name, label, part in (("score_week", "weekly_label", "week"), ("score_day", None, "day"), ("score_60m", None, "hour"), ("score_30m", None, "half")):
             one = latest(f[part].select("symbol", "date", "score", "label")).select("symbol", F.col("score").alias(name), *([F.col("label").alias(label)] if label else []))
             out = out.join(one, "symbol")
-        out = out.withColumn("score_30m", F.col("score_60m") - 0.05).join(dr.monthly_trend(weekly(spark, d)).select("symbol", F.col("label").alias("monthly_label")), "symbol")
+        out = out.join(dr.monthly_trend(weekly(spark, d)).select("symbol", F.col("label").alias("monthly_label")), "symbol")
         return rs.direction_confirmation(rs.confirmation_ladder(rs.maturity(rs.decision(rs.permission_cap(out)))))
 
     return cb.kept("board", spark, d, make)
 
 
-BOARD = f"""{M}, {STAGE}, {direction_cte('bars', '_d')}, {direction_cte('week', '_w')}, {direction_cte('hour', '_h')}, {MONTHS},
-b0 as (select m.symbol, rd, cd, g, trend_score, w.score as score_week, w.label as weekly_label, d.score as score_day, h.score as score_60m, h.score - 0.05e0 as score_30m, {LABEL.format('ms.score')} as monthly_label
+BOARD = f"""{M}, {STAGE}, {direction_cte('bars', '_d')}, {direction_cte('week', '_w')}, {direction_cte('hour', '_h')}, {direction_cte('half', '_q')}, {MONTHS},
+b0 as (select m.symbol, rd, cd, g, trend_score, w.score as score_week, w.label as weekly_label, d.score as score_day, h.score as score_60m, q.score as score_30m, {LABEL.format('ms.score')} as monthly_label
   from (select * from m6 qualify row_number() over (partition by symbol order by date desc) = 1) m join (select * from stage qualify row_number() over (partition by symbol order by date desc) = 1) s using (symbol)
-  join {_LAST.format('dir_w')} w using (symbol) join {_LAST.format('dir_d')} d using (symbol) join {_LAST.format('dir_h')} h using (symbol) join ms using (symbol)),
+  join {_LAST.format('dir_w')} w using (symbol) join {_LAST.format('dir_d')} d using (symbol) join {_LAST.format('dir_h')} h using (symbol) join {_LAST.format('dir_q')} q using (symbol) join ms using (symbol)),
 b1 as (select *, case monthly_label when 'bear' then 'light' when 'weak_bear' then 'half' else 'normal' end as cap from b0),
 b2 as (select *, case when weekly_label in ('bear', 'weak_bear') or trend_score < -0.3e0 then 'pause' when trend_score > 0.6e0 and weekly_label = 'bull' then case when cap = 'normal' then 'full' else 'half' end when trend_score > 0.3e0 then 'light' else 'watch' end as p0,
   case when score_60m > 0.1e0 and score_30m > 0.1e0 then 'both_up' when score_60m < -0.1e0 and score_30m < -0.1e0 then 'both_down' when score_60m > 0.1e0 and score_30m <= 0.1e0 then 'pullback' when score_60m <= -0.1e0 and score_30m > 0.1e0 then 'rebound' else 'range' end as rhythm from b1),

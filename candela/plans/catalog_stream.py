@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import uuid
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candela.functions.tables import shared_path as folder
 from candela.functions.windows import from_end
+from candela.operators import scoring as sc
 from candela.plans import catalog_bars as cb
 from candela.plans.catalog_bars import B, daily, query
+from candela.plans.catalog_scoring import STATE, state
 from candela.plans.fixtures import derive
 from candela.sources import sinks
 from candela.sources.bars import latest
@@ -125,12 +128,12 @@ def _(spark, d):
     return spark.read.parquet(out)
 
 
-@query("k3_scan_results", f"{B} select symbol, max_by(close, date) as close, case when symbol % 2 = 0 then 'even,all' else 'all' end as strategies from bars where symbol % 2 = 0 group by symbol")
+@query("k3_scan_results", f"{STATE} select symbol, close, unnest(string_split(strategies, ',')) as strategy from screened where strategies <> ''")
 def _(spark, d):
     path = folder(spark, "k3")
-    rows = daily(spark, d).groupBy("symbol").agg(F.max_by("close", "date").alias("close"))
-    sinks.write_scan(rows.withColumn("strategies", F.expr("case when symbol % 2 = 0 then array('even', 'all') else array('all') end")), path)
-    return sinks.read_scan(spark, path, "even").withColumn("strategies", F.array_join("strategies", ","))
+    sinks.write_scan(sc.score_all(state(spark, d)).select("symbol", "close", "strategies"), path)
+    views = [sinks.read_scan(spark, path, s).select("symbol", "close", F.lit(s).alias("strategy")) for s in sc.STRATEGIES]
+    return reduce(DataFrame.unionByName, views)
 
 
 @query("k1_calibration", f"{B} select symbol, 'v2' as model_version, timestamp '2026-01-02 00:00:00' as generated_at, count(*) as n from bars where symbol % 3 = 0 group by symbol")

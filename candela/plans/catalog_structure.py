@@ -10,8 +10,9 @@ from candela.operators import normalise as norm
 from candela.operators import profile as prof
 from candela.operators import structure as st
 from candela.plans import catalog_bars as cb
-from candela.sources.bars import latest
 from candela.plans.catalog_bars import ATR, B, BOLL, BR, CHANGE, LIMITS, SMA, VR, WEEKLY, daily, mean_sql, portable, query
+from candela.plans.fixtures import DAILY, EVENT_DAILY, HALF_HOURLY, HOURLY, derive
+from candela.sources.bars import latest
 
 _LOCAL = set(cb.QUERIES)
 
@@ -150,11 +151,14 @@ R_CENTRE = portable("round(centre, 2)")
 BAND = portable("round(sum(price*weight)/(sum(weight) + 1e-9), 2) as centre, round(min(price), 2) as low, round(max(price), 2) as high")
 
 
-def candidates_cte() -> str:
+def candidates_cte(hours: str | None = None) -> str:
+    """hours: text of hourly bars, whose last row then gives candidates too."""
     weekly = f"wb as materialized (select symbol, week as date, open, high, low, close, volume, amount from {WEEKLY} _w)"
     row = lambda t: f"(select m.*, boll_upper, boll_lower from ({MA}) m join (select symbol, date, boll_upper, boll_lower from {BOLL} _b) b using (symbol, date) {LAST})".replace("from bars", f"from {t}")
-    return f"""{weekly}, ld as materialized (select * from {row('bars')} _d), lw as materialized (select * from {row('wb')} _w),
-cand as materialized (select * from ({_items(lev.DAILY_WEIGHTS, 'day', 'MA_CHANNEL', 'ld')} union all {_items(lev.WEEKLY_WEIGHTS, 'week', 'WEEKLY_MA', 'lw')}
+    hourly = f"hb as materialized ({hours}), lh as materialized (select * from {row('hb')} _h), " if hours else ""
+    of_hours = " union all " + _items(lev.HOURLY_WEIGHTS, "hour", "INTRADAY_60M", "lh") if hours else ""
+    return f"""{hourly}{weekly}, ld as materialized (select * from {row('bars')} _d), lw as materialized (select * from {row('wb')} _w),
+cand as materialized (select * from ({_items(lev.DAILY_WEIGHTS, 'day', 'MA_CHANNEL', 'ld')} union all {_items(lev.WEEKLY_WEIGHTS, 'week', 'WEEKLY_MA', 'lw')}{of_hours}
   union all select symbol, poc, 35, 'poc', 'CHIPS' from poc union all select symbol, low_70, 18, 'range_low', 'CHIPS' from conc union all select symbol, high_70, 18, 'range_high', 'CHIPS' from conc
   union all select symbol, {R_CENTRE}, 20, 'peak_' || cast(cast({R_CENTRE} as decimal(12,2)) as varchar), 'CHIPS' from peaks join poc using (symbol) where abs({R_CENTRE} - poc)/poc > 0.03e0
   union all select symbol, price, 24, 'swing_' || kind || '_' || date, 'STRUCTURE' from swings
@@ -199,11 +203,16 @@ def part(name, spark, d, bars=None):
     return make(bars) if bars is not None else cb.kept(f"{name}-state", spark, d, lambda: make(daily(spark, d)))
 
 
-def candidates(spark, d, bars=None):
-    """Candidates of the folder's bars, or of other bars."""
+def half_hourly(spark, d):
+    return cb.kept("half-hourly", spark, d, lambda: derive(spark, d, HALF_HOURLY).withColumnRenamed("ts", "date"))
+
+
+def candidates(spark, d, bars=None, hours=None):
+    """Candidates of the folder's bars, or of other bars, with those of hourly bars if these are given."""
     day, week, profiled = (part(name, spark, d, bars) for name in ("day", "week", "profile"))
     bars = daily(spark, d) if bars is None else bars
-    return lev.level_candidates(day, week, None, profiled, None, st.swing_points(bars), st.price_gaps(bars), st.fibonacci_wave(bars))
+    hour = None if hours is None else ind.bollinger(ind.sma(hours, (20, 60, 120)))
+    return lev.level_candidates(day, week, hour, profiled, None, st.swing_points(bars), st.price_gaps(bars), st.fibonacci_wave(bars))
 
 
 def closes(bars):
@@ -239,5 +248,27 @@ def _(spark, d):
     return lev.levels(candidates(spark, d), closes(daily(spark, d))).withColumn("sources", F.array_join("sources", ","))
 
 
+HOURS = f"select symbol, ts as date, open, high, low, close, volume, volume as amount from ({HOURLY}) h"
+INTRADAY = f"{BR.replace(DAILY, EVENT_DAILY)}, {PROFILE}, {SUMMARY}, {SWINGS}, {GAPS}, {WAVES}, {candidates_cte(HOURS)}"
+
+
+def intraday(spark, d):
+    """Days and candidates of the event series; days and hours are rolled up from one table of half-hours."""
+    half = half_hourly(spark, d)
+    days = norm.roll_up(half, "day")
+    return days, candidates(spark, d, days, norm.roll_up(half, "hour"))
+
+
+@query("l1_intraday", f"{INTRADAY} select * from cand", "price")
+def _(spark, d):
+    return intraday(spark, d)[1]
+
+
+@query("l5_intraday", f"{INTRADAY} select * from ranked")
+def _(spark, d):
+    days, found = intraday(spark, d)
+    return lev.levels(found, closes(days)).withColumn("sources", F.array_join("sources", ","))
+
+
 QUERIES = {k: v for k, v in cb.QUERIES.items() if k not in _LOCAL}
 ORACLE = {k: cb.ORACLE[k] for k in QUERIES if k in cb.ORACLE}

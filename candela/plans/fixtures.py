@@ -32,6 +32,10 @@ from (select symbol, date_trunc('hour', t) as ts, v, rn, round(1000*exp(sum(st)
                    row_number() over (partition by event_type order by ts, event_id) as rn
             from events join (select event_type, cast(dense_rank() over (order by event_type) - 1 as int) as symbol from (select distinct event_type from events) k) k using (event_type)) e) p
 group by symbol, ts"""
+#: Half-hours: the walk of HOURLY, cut at every thirty minutes.
+HALF_HOURLY = HOURLY.replace("date_trunc('hour', t)", "date_trunc('hour', t) + case when minute(t) >= 30 then interval '30' minute else interval '0' minute end")
+#: Days of the same walk.
+EVENT_DAILY = HOURLY.replace("date_trunc('hour', t)", "cast(t as date)").replace("symbol, ts, min_by", "symbol, ts as date, min_by").replace("as volume", "as volume, round(sum(v),2) as amount")
 FUNDING = "select cast(o_orderdate as date) as date, round(sum(o_totalprice),2) as balance from orders group by 1"
 INSTRUMENTS = "select s_suppkey as symbol, s_name as name, r_name as industry from supplier left join nation on s_nationkey = n_nationkey left join region on n_regionkey = r_regionkey"
 TABLES = ("lineitem", "supplier", "nation", "region", "orders", "events")
