@@ -1,0 +1,24 @@
+"""Walks of few long series: sums of days, then each day apart, against the one running sum."""
+
+import re
+
+from candela.plans import fixtures as fx
+
+
+def rows(df):
+    return sorted(map(repr, df.select(sorted(df.columns)).collect()))
+
+
+def test_index_series_are_not_sorted_in_one_task(spark, sf):
+    for new, text in ((fx.index_daily(spark, sf), fx.INDEX_DAILY), (fx.half_hourly(spark, sf), fx.HALF_HOURLY)):
+        assert rows(new) == rows(fx.derive(spark, sf, text))
+        plan = new._jdf.queryExecution().executedPlan().toString()
+        windows = [m for m in re.findall(r"Window \[(?:sum\(st|row_number)[^\n]*", plan)]
+        assert windows and all("day#" in m for m in windows)
+
+
+def test_walk_of_days_with_missing_steps(spark):
+    data = [(1, None, 4, 1), (1, 1, None, 2), (1, 1, None, 3), (1, 2, 5, 1), (1, 2, None, 2), (1, 2, -2, 3), (2, 1, None, 1), (2, 3, 7, 1)]
+    got = fx.walked(spark.createDataFrame(data, "symbol int, day int, st int, k int"), ("k",))
+    found = {tuple(r)[:2] + (r.k,): (r.rn, r.walk) for r in got.collect()}
+    assert found == {(1, None, 1): (1, 4), (1, 1, 2): (1, 4), (1, 1, 3): (2, 4), (1, 2, 1): (1, 9), (1, 2, 2): (2, 9), (1, 2, 3): (3, 7), (2, 1, 1): (1, None), (2, 3, 1): (1, 7)}
