@@ -2,7 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from candela.functions.windows import KEY
+from candela.operators import causal
 from candela.operators import indicators as ind
 from candela.operators import normalise as norm
 from candela.operators import profile as prof
@@ -67,3 +70,15 @@ def test_newest_profile_of_one_pass(spark):
         peaks, same = row.pop("peaks"), got[s].pop("peaks")
         assert got[s] == row
         assert [p["bin"] for p in peaks] == [p["bin"] for p in same]
+
+
+def test_swings_of_points_need_no_join(spark):
+    """Those of each point are the swings of its history."""
+    bars = spark.createDataFrame(series(), SCHEMA).persist()
+    points = causal.Points(warmup=50, step=7)
+    swings = causal.swing_part(bars, points)
+    assert "Join" not in swings._jdf.queryExecution().optimizedPlan().toString()
+    seen = points.marked(bars)
+    at = seen.where("point is not null").select("point", F.col(KEY).alias("_s"), F.col("t").alias("_t"))
+    cut = seen.drop("point").join(at, (F.col(KEY) == F.col("_s")) & (F.col("t") <= F.col("_t"))).select(F.col("point").alias(KEY), "date", "high", "low")
+    assert swings.count() > 1000 and rows(swings) == rows(st.swing_points(cut))
