@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,3 +108,13 @@ def test_points_exchange_nothing_but_the_ticks(spark, sf):
     plan = causal.point_in_time(fx.daily_bars(spark, sf), 1.5, index=fx.index_daily(spark, sf, 0).select("date", "close"))._jdf.queryExecution().executedPlan().toString()
     alone = causal.point_in_time(fx.daily_bars(spark, sf), 1.5)._jdf.queryExecution().executedPlan().toString()
     assert alone.count("Exchange") == 1 and "SortMergeJoin" not in plan
+
+
+def test_daily_correlations_deal_rows_once(spark):
+    """Points are dealt by date before there is a row for each score, and not again for the ranks of each value."""
+    data = [(f"2020-01-{1 + k % 5:02d}", float(k * 7 % 13), float(k % 11), float(k * 3 % 5)) for k in range(120)]
+    df = spark.createDataFrame(data, "date string, ret_10 double, a double, b double")
+    plan = evaluation.rank_ic(df, ["a", "b"])._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(date" in plan and "hashpartitioning(score#" in plan and not re.search(r"hashpartitioning\(score#\d+, date#|hashpartitioning\(date#\d+, score#|hashpartitioning\(score#\d+, date#\d+, [xy]#", plan.replace("partial", ""))
+    got = {r.score: (r.n, r.days) for r in evaluation.rank_ic(df, ["a", "b"]).collect()}
+    assert got == {"a": (120, 5), "b": (120, 0)}  # all of a day have one b
