@@ -1,4 +1,9 @@
-"""Flags of one pass against the operators that take a window for each step."""
+"""Flags of one pass against the operators that take a window for each step, and pooled rank correlations against ranks in one sort."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
 
 from candela.operators import evaluation as ev
 from candela.operators import indicators as ind
@@ -21,3 +26,25 @@ def test_flags_of_one_pass_are_those_of_windows(spark):
 def test_graded_bars_exchange_nothing_but_the_ticks(spark, sf):
     bars = ev.horizon_returns(ev.entry_fill(fx.daily_bars(spark, sf), 1.5))
     assert ev.flagged_bars(bars, ev.on_grid())._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_pooled_correlations_equal_ranks_in_one_sort(spark):
+    rng = random.Random(8)
+    data = [(s, x, round(rng.gauss(0.1 * x, 2), k)) for s, k in (("a", 2), ("b", 0), ("c", 6)) for x in (rng.choice([1.0, 2.0, 2.5]) if s == "b" else round(rng.gauss(0, 3), 4) for _ in range(3000))]
+    data += [("few", 1.0, 2.0), ("few", 2.0, 1.0)] + [("flat", 1.0, float(k)) for k in range(9)]
+    df = spark.createDataFrame(data, "score string, x double, y double").repartition(7)
+    got = {r.score: (r.n, r.ic) for r in ev.pooled_spearman(df).collect()}
+    want = ev.spearman(ev.pooled_rank(ev.pooled_rank(df, "score", "x", "_rx"), "score", "y", "_ry"), 5, "score")
+    want = {r.score: (r.n, r.ic) for r in want.collect()}
+    assert got.keys() == want.keys() and got["few"] == want["few"] == (2, None) and got["flat"] == want["flat"] == (9, None)
+    assert all(got[k] == pytest.approx(want[k], rel=1e-12) for k in "abc")
+
+
+def test_pooled_correlations_move_rows_once(spark):
+    """Values of x are as many as rows here: they are dealt in ranges, without a join or a second exchange of them."""
+    df = spark.range(100_000).select(F.lit("a").alias("score"), (F.col("id") * 7919 % 100_003).cast("double").alias("x"), (F.col("id") % 50).cast("double").alias("y"))
+    plan = ev.pooled_spearman(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("rangepartitioning(") == 1 and "SortMergeJoin" not in plan and "hashpartitioning(score#" in plan
+    import re
+
+    assert not re.search(r"hashpartitioning\(score#\d+, x#", plan)
