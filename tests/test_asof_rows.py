@@ -12,6 +12,7 @@ from candela.operators import levels as lev
 from candela.operators import structure as st
 from candela.plans import fixtures as fx
 from tests.test_causal import COLUMNS, walk
+from tests.test_walks import unread
 
 POINTS = causal.Points(warmup=50, step=7, longest=20)
 
@@ -104,7 +105,8 @@ def test_bands_of_rows_are_those_of_candidates(spark):
     assert rows(got.select("symbol", F.explode("bands").alias("b")).select("symbol", "b.*"), *columns) == rows(want, *columns)
 
 
-def test_points_exchange_nothing_but_the_ticks(spark, sf):
+def test_points_exchange_nothing_but_the_ticks(spark, sf, tmp_path):
+    sf = unread(sf, tmp_path)
     plan = causal.point_in_time(fx.daily_bars(spark, sf), 1.5, index=fx.index_daily(spark, sf, 0).select("date", "close"))._jdf.queryExecution().executedPlan().toString()
     alone = causal.point_in_time(fx.daily_bars(spark, sf), 1.5)._jdf.queryExecution().executedPlan().toString()
     assert alone.count("Exchange") == 1 and "SortMergeJoin" not in plan

@@ -10,6 +10,7 @@ from candela.operators import indicators as ind
 from candela.operators import normalise as norm
 from candela.plans import fixtures as fx
 from tests.test_one_pass import SCHEMA, rows, series
+from tests.test_walks import unread
 
 
 def test_flags_of_one_pass_are_those_of_windows(spark):
@@ -23,8 +24,8 @@ def test_flags_of_one_pass_are_those_of_windows(spark):
         assert rows(ev.flagged_bars(bars, ev.on_grid(40, 3, 20))) == rows(grid) and grid.count() > 20
 
 
-def test_graded_bars_exchange_nothing_but_the_ticks(spark, sf):
-    bars = ev.horizon_returns(ev.entry_fill(fx.daily_bars(spark, sf), 1.5))
+def test_graded_bars_exchange_nothing_but_the_ticks(spark, sf, tmp_path):
+    bars = ev.horizon_returns(ev.entry_fill(fx.daily_bars(spark, unread(sf, tmp_path)), 1.5))
     assert ev.flagged_bars(bars, ev.on_grid())._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
 
 

@@ -24,22 +24,29 @@ def test_walk_of_days_with_missing_steps(spark):
     assert found == {(1, None, 1): (1, 4), (1, 1, 2): (1, 4), (1, 1, 3): (2, 4), (1, 2, 1): (1, 9), (1, 2, 2): (2, 9), (1, 2, 3): (3, 7), (2, 1, 1): (1, None), (2, 3, 1): (1, 7)}
 
 
-def test_daily_bars_and_one_index_are_those_of_the_texts(spark, sf):
+def test_daily_bars_and_one_index_are_those_of_the_texts(spark, sf, tmp_path):
     """Bars from one exchange of the ticks equal those of the text; an index alone is its part of all of them."""
-    got = fx.daily_bars(spark, sf)
+    got = fx.daily_bars(spark, unread(sf, tmp_path))
     assert _exchanges(got) == 1
     assert sorted(got.collect()) == sorted(fx.derive(spark, sf, fx.DAILY).collect())
     assert sorted(fx.index_daily(spark, sf, 0).collect()) == sorted(fx.index_daily(spark, sf).where("symbol = 0").collect())
 
 
+def unread(sf, tmp_path):
+    """The tables by another path, of which no query of the session has persisted anything."""
+    (tmp_path / "tables").symlink_to(sf)
+    return str(tmp_path / "tables")
+
+
 def _exchanges(df):
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
 
 
-def test_excess_returns_exchange_no_bars(spark, sf):
+def test_excess_returns_exchange_no_bars(spark, sf, tmp_path):
     """An index without known size doesn't make all bars move by date."""
     from candela.operators import evaluation as ev
 
+    sf = unread(sf, tmp_path)
     bars, index = fx.daily_bars(spark, sf), fx.index_daily(spark, sf, 0).select("date", "close")
     plain = _exchanges(ev.horizon_returns(ev.entry_fill(bars, 1.5)))
     with_index = ev.horizon_returns(ev.entry_fill(bars, 1.5), index)
